@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: A word is a run of characters other than ASCII white space.
@@ -96,10 +97,6 @@ def free_names(df: DataFrame, *names: str) -> dict[str, str]:
     return out
 
 
-def arrow_schema_of(df: DataFrame) -> T.StructType:
-    return df.schema
-
-
 #: Bits of a membership filter, at most: 128 MB, however many members there are.
 MOST_BITS = 1 << 30
 
@@ -121,3 +118,20 @@ def with_membership(df: DataFrame, key: Column, members: DataFrame, out: str) ->
     hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")) == 1
     df = df.withColumn("_word", F.floor(place / 32768).cast("int")).join(F.broadcast(bitmap), "_word", "left")
     return df.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_word", "_bits")
+
+
+#: Rows that a Python worker handles at once.
+SLICE = 512
+
+
+def lean(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what a worker makes of one stays small; freed memory goes back at the end of the task."""
+    import ctypes
+
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

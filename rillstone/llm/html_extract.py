@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, written
+
 #: Tokens of a substring that counts as long, and the share of a block's tokens that makes it boilerplate.
 RUN = 8
 COVERED = 0.5
@@ -242,7 +244,7 @@ def repeated_runs(pages: DataFrame) -> DataFrame:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches):
         texts, opens, hosts = [], [], []
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             inside, _, found = blocks_of(page or "")
@@ -273,8 +275,6 @@ def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages."""
-    from .common import written
-
     kind = dict(pages.dtypes)["page_id"]
     parsed = pages.select("page_id", "url", "html").mapInArrow(_parse, f"page_id {kind}, url string, host string, text string, open_blocks array<string>")
     parsed = written(parsed, "html-parsed")

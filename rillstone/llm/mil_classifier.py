@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 PASSAGE, SAMPLE, BAG = 1024, 6000, 24
 CUT = 0.3
 HIDDEN, GATE, EPOCHS, SEED = 24, 12, 30, 7
@@ -66,7 +68,7 @@ def crc(doc_id: Column) -> Column:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches):
         bags = []
         for text in batch.column(1):
             x = encode(text.as_py())
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches):
         scores: list[float] = []
         held: list[np.ndarray] = []
         for text in batch.column(1):

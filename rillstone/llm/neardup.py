@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_names, with_membership, written
+from .common import free_names, lean, with_membership, written
 
 WIDTH, COORDINATES, MATCHES = 5, 48, 23
 #: A link: PERCENT of the union at least is shared.
@@ -83,7 +83,7 @@ def node_key(s: np.ndarray) -> bytes:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = _family_of_hashes()
-    for batch in batches:
+    for batch in lean(batches):
         keys, sizes, signs = [], [], []
         for text in batch.column(1):
             s = shingles(text.as_py())
@@ -198,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches):
         keys, sets = [], []
         for text in batch.column(0):
             s = shingles(text.as_py())

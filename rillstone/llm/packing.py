@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import buckets_for, written
+from .common import buckets_for, lean, written
 
 LENGTH = 2048
 END_ID = 0
@@ -98,7 +98,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: i
     import numpy as np
 
     encode = Encoder(path)
-    for batch in batches:
+    for batch in lean(batches):
         out: list[list] = [[], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = np.asarray([*encode(text.as_py() or ""), end_id], dtype="<u4")

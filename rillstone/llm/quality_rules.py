@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, written
+from .common import free_names, lean, written
 
 #: False rejection allowed per rule and stratum, and the chance that any of the bounds fails.
 ALPHA, DELTA = 0.004, 0.05
@@ -83,7 +83,7 @@ def text_features(text: str | None) -> tuple:
 def _features(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """Columns of the batch, then the features of the text in column ``at``."""
     kinds = [pa.int64()] * len(BASE) + [pa.float64()] * len(RULES)
-    for batch in batches:
+    for batch in lean(batches):
         rows = [text_features(x.as_py()) for x in batch.column(at)]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
         extra = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
