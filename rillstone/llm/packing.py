@@ -52,14 +52,19 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         self.odd = re.compile(PLAIN)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        self.fast = self._ranks(model)
+            self.fast = self._ranks(json.load(f))
+
+    @functools.cached_property
+    def slow(self):
+        """Loaded only where a text needs it: a worker's memory holds one vocabulary then."""
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path)
+        model.encode_special_tokens = True
+        return model
 
     @staticmethod
     def _ranks(spec: dict):
