@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import free_names, lean, written
 
 #: False rejection allowed per rule and stratum, and the chance that any of the bounds fails.
-ALPHA, DELTA = 0.004, 0.05
+ALPHA, DELTA = 0.01, 0.05
 #: Rules: a feature, and the cutoffs tried; a text is rejected if its feature is above.
 RULES: dict[str, tuple[float, ...]] = {
     "symbol_share": tuple(k / 100 for k in range(2, 32, 2)),
