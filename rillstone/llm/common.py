@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one bucket of a distributed rank holds on average, at most.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 
 _own: dict[str, str] = {}
 
@@ -60,8 +60,8 @@ def unit_hash(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def buckets_for(rows: int) -> int:
-    return max(1, -(-rows // BUCKET_ROWS))
+def buckets_for(rows: int, most: int = BUCKET_ROWS) -> int:
+    return max(1, -(-rows // most))
 
 
 def running_sum(df: DataFrame, groups: list[str], hashed: str, order: list[str], value: str, out: str, buckets: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, buckets_for, running_sum, unit_hash, written
+from .common import BUCKET_ROWS, WORD, buckets_for, running_sum, unit_hash, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -27,6 +27,9 @@ WEIGHTS = (5, 2, 1)
 TIMES = (0.0, 0.5, 1.0)
 SCHEDULES = ((0.5, 1.0, 1.5), (1.0, 1.0, 1.0), (1.5, 1.0, 0.5))
 
+#: Rows of a bucket whose rows carry texts.
+CARRIED_ROWS = 4_000
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -100,7 +103,7 @@ def assign_positions(
     else:
         rows = narrow = written(rows, "mix-sizes")
     targets = written(source_targets(narrow, weights, share, most), "mix-targets")
-    groups, buckets = ["no_source", "source_key"], buckets_for(narrow.count())
+    groups, buckets = ["no_source", "source_key"], buckets_for(narrow.count(), CARRIED_ROWS if carry else BUCKET_ROWS)
     if carry:
         rows = _with_offsets(rows, narrow, groups, buckets)
     else:
