@@ -1,9 +1,19 @@
-"""The queries on the driver's tables, by subpackage."""
+"""The queries on the driver's tables, with their SQL, by area."""
+
+from __future__ import annotations
+
+import importlib
+
+AREAS = ("advantage_queries", "evaluation_queries")
+
+
+def _areas():
+    return [importlib.import_module(f"rillstone.plans.{name}") for name in AREAS]
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for area in _areas() for k, f in area.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: sql for area in _areas() for k, sql in area.SQL.items()}
