@@ -68,7 +68,7 @@ def top_per_bin(df: DataFrame, bin_col: str, order: list[Column], n: int) -> Dat
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str, text: str, test_text: str, width: int = 12) -> DataFrame:
+def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str, text: str, test_text: str, width: int = 6) -> DataFrame:
     """Ids of the documents in which all words of a test stand in a row; blank tests match nothing.
 
     A test is posted under its first ``width`` words (all, if fewer). The documents' shingles of that length meet
@@ -76,13 +76,14 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str, text: str, test
     """
     words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     t = tests.select(words(F.col(test_text)).alias("_w")).filter(F.size("_w") > 0).distinct()
-    t = t.select(F.least(F.size("_w"), F.lit(width)).alias("_n"), F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.least(F.size("_w"), F.lit(width))), " ")).alias("_key"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_test"))
+    t = t.select(F.least(F.size("_w"), F.lit(width)).alias("_n"), F.col("_w"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_test"))
     d = docs.select(doc_id, words(F.col(text)).alias("_w"))
     pairs = None
     for n in sorted(r["_n"] for r in t.select("_n").distinct().collect()):  # at most ``width`` values
-        keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), _window(n)))
+        keys = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), _window(n))
         posted = d.filter(F.size("_w") >= n).select(doc_id, F.explode(keys).alias("_key"))  # no text beside the keys
-        hit = posted.join(t.filter(F.col("_n") == n), "_key").select(doc_id, "_test")
+        own = t.filter(F.col("_n") == n).select("_test", _window(n)(F.lit(1)).alias("_key"))
+        hit = posted.join(own, "_key").select(doc_id, "_test")
         pairs = hit if pairs is None else pairs.unionByName(hit)
     if pairs is None:
         return docs.select(doc_id).limit(0)
@@ -91,7 +92,7 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str, text: str, test
 
 
 def _window(n: int):
-    return lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " "))
+    return lambda i: F.xxhash64(*[F.get("_w", i - 1 + k) for k in range(n)])
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", test_text: str = "text", removed: bool = False) -> DataFrame:

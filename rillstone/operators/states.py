@@ -52,8 +52,8 @@ def align(a: DataFrame, b: DataFrame, state: str, action: str) -> DataFrame:
 
 
 def aligned_arrays(pairs: DataFrame, state: str, action: str) -> DataFrame:
-    s = pairs.groupBy(state).agg(F.array_sort(F.collect_list(F.struct(action, "p", "q"))).alias("s"))
-    return s.select(state, F.col(f"s.{action}").alias("actions"), F.col("s.p").alias("p"), F.col("s.q").alias("q"))
+    s = pairs.groupBy(state).agg(F.array_sort(F.collect_list(F.struct(action, "p", "q"))).alias("_seq"))
+    return s.select(state, F.col(f"_seq.{action}").alias("actions"), F.col("_seq.p").alias("p"), F.col("_seq.q").alias("q"))
 
 
 def divergences(pairs: DataFrame, state: str, action: str) -> DataFrame:
