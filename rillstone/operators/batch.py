@@ -11,10 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 
 def numbered(df: DataFrame, order: list[str], out: str = "row") -> DataFrame:
-    """Row numbers from 0 in a global order, from per-range counts (one row a range); no task sees all rows."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """Row numbers from 0 in a global order, from per-range counts (one row a range); no task sees all rows.
+
+    The ranges are written once: sampled borders may differ from one run of a plan to the next.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
@@ -106,8 +108,7 @@ def sharded(df: DataFrame, order: str, size: Column, cap: int) -> DataFrame:
     The running sum is built from per-range totals, so no task sees all rows. A shard exceeds
     the cap by at most one row.
     """
-    n = df.rdd.getNumPartitions()
-    rows = df.withColumn("_size", size).repartitionByRange(max(n, 1), order).withColumn("_part", F.spark_partition_id())
+    rows = written(df.withColumn("_size", size).repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "sharded")
     totals = rows.groupBy("_part").agg(F.sum("_size").alias("_total"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 IGNORED = -100
 
 
@@ -15,7 +17,7 @@ def vocabulary(df: DataFrame, text: str, specials: tuple[str, ...] = ("<pad>", "
     Distinct words are range-partitioned and numbered from per-range counts; the counts are one row a range.
     """
     words = df.select(F.explode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("token")).distinct()
-    ranged = words.repartitionByRange("token").withColumn("_part", F.spark_partition_id())
+    ranged = written(words.repartitionByRange("token").withColumn("_part", F.spark_partition_id()), "vocabulary")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ranged.join(F.broadcast(before.select("_part", "_before")), "_part")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir
 from ..sources.tables import table
 from ..streaming import metrics as M
 
@@ -13,19 +14,15 @@ Q, SQL = {}, {}
 
 
 def _checkpoint(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="rillstone-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{scratch_dir(s)}/rillstone/stream-{uuid.uuid4().hex}"
 
 
 def _events(s, d):
-    schema = table(s, d, "events").schema
-    return s.readStream.schema(schema).parquet(f"{d}/events.parquet") if s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet").getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).isDirectory(s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")) else s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The table as a stream of files: a folder of files, or the one file picked by its name."""
+    schema, path = table(s, d, "events").schema, s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    if path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return s.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 def running(s, d):
