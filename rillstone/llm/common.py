@@ -2,57 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import scratch_dir, written
+from ..sources.tables import table
+
+__all__ = ["BUCKET_ROWS", "WORD", "buckets_for", "free_names", "lean", "running_sum", "scratch_dir", "table", "unit_hash", "with_membership", "written"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one bucket of a distributed rank holds on average, at most.
 BUCKET_ROWS = 10_000
 
-_own: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; without one, a temporary folder, in local mode only."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own[app] = tempfile.mkdtemp(prefix="rillstone-")
-    return _own[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is over: the folder belongs to the cluster's clean-up
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the scratch folder: lineage ends there, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/rillstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def unit_hash(*cols: Column) -> Column:
     """A whole number in [0, 2^32) from the first 32 bits of an MD5; the same in every engine."""

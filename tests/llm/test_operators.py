@@ -143,6 +143,14 @@ def test_html_article(spark):
     assert got == {0: "A & B\n\none two three four\n\nfive <b> é é\n\na\n\nb\n\nsix\n\nseven", 1: "", 2: "", 3: "cut off &am"}
 
 
+def test_html_odd_rows(spark):
+    rows = [(1, None, "<article>x</article>", "k"), (1, None, "<article>x</article>", "k"), (None, "http://a/", "<p>" + "long " * 30_000 + "</p>", "k"), (2, "", None, "k"), (3, "::", "<<<>>&#x110000;&bogus;</p></div>", "k")]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
+    found = sorted((r["page_id"] or 0, r["n_chars"]) for r in html_extract.report(odd).collect())
+    assert [f[0] for f in found] == [0, 1, 1, 2, 3] and found[0][1] == 5 * 30_000 - 1 and found[1] == found[2] == (1, 1) and found[3] == (2, 0)
+    assert html_extract.report(odd.limit(0)).collect() == []
+
+
 def test_html_repeated_runs_of_a_host(spark):
     rng = random.Random(2)
     chrome = prose(rng, 30)
