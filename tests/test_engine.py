@@ -243,3 +243,28 @@ def test_notation(spark):
     tests = spark.createDataFrame([("rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2",), (None,)], "FEN string")
     clean, removed = notation.decontaminate_games(games, tests, "id", "moves", "FEN")
     assert [r["id"] for r in removed.collect()] == [1] and sorted(r["id"] for r in clean.collect()) == [2, 3]
+
+
+def test_sampling(spark):
+    from rillstone.operators import sampling
+
+    df = spark.range(3000).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("a")).withColumn("s", F.when(F.col("a") == 1, math.log(3.0)).otherwise(0.0))
+    picked = sampling.gumbel_sample(df, "id", "a", "s").groupBy("a").count().collect()
+    assert {r["a"]: r["count"] for r in picked}[1] == pytest.approx(2250, abs=120)
+    v = F.array(*map(F.lit, [1.0, 2.0, 4.0]))
+    mean, sd = spark.range(1).select(*sampling.bootstrap(v, 2, 2000, 1, F.lit("k"))).first()
+    draws = [max(p) for p in itertools.product([1.0, 2.0, 4.0], repeat=2)]
+    assert mean == pytest.approx(sum(draws) / 9, abs=0.08) and sd > 0
+    w = spark.range(5000).select(sampling.lognormal_width(3, ["id"], 8.0, 0.3, 1, 64).alias("w")).agg(F.avg("w"), F.min("w"), F.max("w")).first()
+    assert w[0] == pytest.approx(8, abs=0.3) and w[1] >= 1 and w[2] <= 64
+    rows = spark.range(1000).select("id", F.col("id").cast("double").alias("c"))
+    assert sampling.penalised_by_covariance(rows, "c", 0.1).agg(F.sum("penalised")).first()[0] == 100
+    assert sampling.clip_by_covariance(rows, "c", 99.5, 299.5, 0.5, 1, "id").filter("keep = 0").count() == pytest.approx(100, abs=30)
+
+
+def test_token_arrays(spark):
+    from rillstone.functions import arrays
+
+    a = lambda *x: F.array(*map(F.lit, x))
+    r = one(spark, arrays.masked_mean(a(1.0, 2.0, 9.0), a(1, 1, 0), 0.0), arrays.decoded(a(1, 0, 2, 3, 1), a("p", "x", "y"), 0, 3), arrays.token_of_char(a(3, 5, 9), F.lit(4)), arrays.token_of_char(a(3, 5), F.lit(9)), arrays.differences(a(1, 4, 9)))
+    assert list(r) == [1.5, "x y", 1, 1, [1, 3, 5]]
