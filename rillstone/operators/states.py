@@ -103,7 +103,7 @@ def collapse(traces: DataFrame, target: DataFrame, state: str, trace: str, actio
         at = lambda c: F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.col(c), k), F.lit(0.0)))
         return D.kl(at(q), at(p))
 
-    near = per.select(state, trace, divergence("q", "p").alias("d")).groupBy(state).agg(F.min("d").alias("d_trace"), F.min_by(trace, F.struct("d", trace)).alias("nearest"))
+    near = per.select(state, trace, divergence("q", "p").alias("d")).groupBy(state).agg(F.min("d").alias("d_trace"), F.min_by(trace, F.struct(F.round("d", 9), trace)).alias("nearest"))
     return m.select(state, divergence("q", "g").alias("d_marginal")).join(near, state).withColumn("gap", F.col("d_marginal") - F.col("d_trace"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -31,31 +33,53 @@ def branching(nodes: Column, depth: Column) -> Column:
     return F.pow(nodes.cast("double"), 1.0 / depth)
 
 
-def kendall_tau(rank_a: Column, rank_b: Column) -> Column:
-    """Kendall's tau of two arrays of distinct ranks; 1.0 with fewer than two. Trees are small: all pairs of one tree's nodes."""
-    n = F.size(rank_a)
-    idx = F.sequence(F.lit(0), n - 1)
-    sign = lambda i, j: F.signum((F.get(rank_a, i) - F.get(rank_a, j)) * (F.get(rank_b, i) - F.get(rank_b, j)))
-    total = F.aggregate(idx, F.lit(0.0), lambda a, i: a + F.aggregate(F.filter(idx, lambda j: j < i), F.lit(0.0), lambda b, j: b + sign(i, j)))
-    return F.when(n < 2, 1.0).otherwise(total / (n * (n - 1) / 2.0))
+def kendall_tau(ranks: list[int]) -> float:
+    """Kendall's tau between 0, 1, 2, ... and distinct ranks, by counting inversions in merges; 1.0 with fewer than two."""
+    n = len(ranks)
+    if n < 2:
+        return 1.0
+    inversions, width, r = 0, 1, list(ranks)
+    while width < n:
+        for at in range(0, n, 2 * width):
+            left, right, out = r[at : at + width], r[at + width : at + 2 * width], []
+            i = j = 0
+            while i < len(left) and j < len(right):
+                if left[i] <= right[j]:
+                    out.append(left[i])
+                    i += 1
+                else:
+                    out.append(right[j])
+                    j += 1
+                    inversions += len(left) - i
+            r[at : at + 2 * width] = out + left[i:] + right[j:]
+        width *= 2
+    return 1.0 - 4.0 * inversions / (n * (n - 1))
+
+
+def preorder_ranks(prefixes: list[str]) -> list[int]:
+    """For nodes in the order of their first visits, their places in depth-first preorder, children as first visited. A parent is visited before its children."""
+    at = {p: k for k, p in enumerate(prefixes)}
+    chains = []
+    for p in prefixes:
+        words = p.split(" ")
+        chains.append([at.get(" ".join(words[:k]), -1) for k in range(1, len(words) + 1)])
+    order = sorted(range(len(prefixes)), key=chains.__getitem__)
+    ranks = [0] * len(prefixes)
+    for place, k in enumerate(order):
+        ranks[k] = place
+    return ranks
+
+
+@F.pandas_udf(DoubleType())
+def _consistency(visits: pd.Series) -> pd.Series:
+    return visits.map(lambda v: kendall_tau(preorder_ranks(list(v)))).astype("float64")
 
 
 def dfs_consistency(v: DataFrame, tree: str, line: str) -> DataFrame:
-    """Tau between the order of first visits and depth-first preorder, children in the order of their first visits."""
+    """Tau between the order of first visits and depth-first preorder, per tree; a tree fits one row, merges count its inversions."""
     first = v.filter("is_first").groupBy(tree, "prefix").agg(F.min(F.struct(line, "depth")).alias("visit"))
-    # preorder: a node's sort key is the chain of first visits from the root to it
-    seq = first.groupBy(tree).agg(F.array_sort(F.collect_list(F.struct("visit", "prefix"))).alias("s"))
-    order = F.transform("s", lambda x, i: i.cast("double"))
-    chain = F.transform(
-        "s",
-        lambda x: F.transform(
-            F.sequence(F.lit(1), F.size(F.split(x["prefix"], " "))),
-            lambda k: F.array_position(F.col("s.prefix"), F.array_join(F.slice(F.split(x["prefix"], " "), F.lit(1), k), " ")),
-        ),
-    )
-    seq = seq.withColumn("chain", chain).withColumn("sorted", F.array_sort("chain")).withColumn("visit_rank", order)
-    pre = F.transform("chain", lambda c: F.array_position(F.col("sorted"), c).cast("double"))
-    return seq.select(tree, kendall_tau(F.col("visit_rank"), pre).alias("tau"))
+    seq = first.groupBy(tree).agg(F.array_sort(F.collect_list(F.struct("visit", "prefix"))).alias("_seq"))
+    return seq.select(tree, _consistency(F.col("_seq.prefix")).alias("tau"))
 
 
 def minimax_level(df: DataFrame, parent: list[str], value: str, maximise: bool) -> DataFrame:

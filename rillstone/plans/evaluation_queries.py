@@ -203,7 +203,13 @@ def alpha_grid(s, d):
     return rounded(S.power_loss(pairs(s, d), "user_id", "event_type", GRID), "loss", digits=5)
 
 
-@query("trace_collapse", None)
+COLLAPSE = "sum(CASE WHEN q > 1e-12 THEN q * ln(q / least(greatest(coalesce(p, 0), 1e-12), 1)) ELSE 0 END)"
+
+
+@query("trace_collapse", f"""WITH {_half(0)}, {_half(1)}, t AS (SELECT user_id, event_type, g AS q FROM g1), d AS (SELECT user_id, day, {COLLAPSE} AS d FROM (SELECT DISTINCT user_id, day FROM p0) JOIN t USING (user_id) LEFT JOIN p0 USING (user_id, day, event_type) GROUP BY 1, 2),
+n AS (SELECT user_id, min(d) AS d_trace, (list(day ORDER BY round(d, 9), day))[1] AS nearest FROM d GROUP BY 1),
+m AS (SELECT user_id, {COLLAPSE} AS d_marginal FROM (SELECT DISTINCT user_id FROM g0) JOIN t USING (user_id) LEFT JOIN (SELECT user_id, event_type, g AS p FROM g0) USING (user_id, event_type) GROUP BY 1)
+SELECT user_id, round(d_marginal, 5) AS d_marginal, round(d_trace, 5) AS d_trace, nearest, round(d_marginal - d_trace, 5) AS gap FROM m JOIN n USING (user_id)""")
 def collapse(s, d):
     p = S.distributions(days(s, d, 0), "user_id", "day", "event_type")
     r = S.collapse(p, half_marginal(s, d, 1).withColumnRenamed("g", "q"), "user_id", "day", "event_type")

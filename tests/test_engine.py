@@ -268,3 +268,14 @@ def test_token_arrays(spark):
     a = lambda *x: F.array(*map(F.lit, x))
     r = one(spark, arrays.masked_mean(a(1.0, 2.0, 9.0), a(1, 1, 0), 0.0), arrays.decoded(a(1, 0, 2, 3, 1), a("p", "x", "y"), 0, 3), arrays.token_of_char(a(3, 5, 9), F.lit(4)), arrays.token_of_char(a(3, 5), F.lit(9)), arrays.differences(a(1, 4, 9)))
     assert list(r) == [1.5, "x y", 1, 1, [1, 3, 5]]
+
+
+def test_kendall_and_preorder():
+    rng = random.Random(2)
+    for _ in range(50):
+        r = list(range(rng.randrange(2, 30)))
+        rng.shuffle(r)
+        pairs = list(itertools.combinations(range(len(r)), 2))
+        assert T.kendall_tau(r) == pytest.approx(sum(1 if r[a] < r[b] else -1 for a, b in pairs) / len(pairs))
+    # visited a, a x, b, a y: preorder is a, a x, a y, b
+    assert T.preorder_ranks(["a", "a x", "b", "a y"]) == [0, 1, 3, 2]
