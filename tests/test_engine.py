@@ -279,3 +279,21 @@ def test_kendall_and_preorder():
         assert T.kendall_tau(r) == pytest.approx(sum(1 if r[a] < r[b] else -1 for a, b in pairs) / len(pairs))
     # visited a, a x, b, a y: preorder is a, a x, a y, b
     assert T.preorder_ranks(["a", "a x", "b", "a y"]) == [0, 1, 3, 2]
+
+
+def test_math_answers(spark):
+    from rillstone.functions import math_answers
+
+    pairs = [
+        (r"\frac{1}{2}", "0.5", True), ("1,234", "1234", True), (r"50\%", "0.5", True), ("(1, 2)", "(1,2)", True), ("(1,2)", "[1,2]", False), ("(1,2)", "(2,1)", False), (r"x=\dfrac34", "3/4", True),
+        (r"\text{Yes}.", "yes", True), ("2", "3", False), (None, "3", False), ("1/0", "1", False), (r"90^\circ", "90", True),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    assert [r["e"] for r in df.orderBy("i").select(math_answers.equal(F.col("a"), F.col("b")).alias("e")).collect()] == [w for _, _, w in pairs]
+
+
+def test_segments(spark):
+    from rillstone.operators import rollouts
+
+    r = one(spark, rollouts.segment_moves(F.lit("<T> a </T> e4 x <call_env> e5 Nf3 <call_env> Nc6 tail")), rollouts.media_parts(F.lit("see <image> and <video>")))
+    assert r[0] == ["e4", "Nf3"] and [tuple(x) for x in r[1]] == [("text", "see "), ("image", "<image>"), ("text", " and "), ("video", "<video>")]
