@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("advantage_queries", "evaluation_queries", "corpus_queries", "lookup_queries", "token_queries", "rollout_queries", "stream_queries")
+AREAS = ("advantage_queries", "evaluation_queries", "corpus_queries", "lookup_queries", "token_queries", "rollout_queries", "traversal_queries", "stream_queries")
 
 
 def _areas():

@@ -8,6 +8,7 @@ import pytest
 
 from rillstone import bindings
 from rillstone.functions import distributions as D
+from rillstone.functions import lan_tokens as L
 from rillstone.functions import notation, rules
 from rillstone.functions import text as X
 from rillstone.operators import advantages as A
@@ -16,6 +17,7 @@ from rillstone.operators import evaluation as E
 from rillstone.operators import rewards as R
 from rillstone.operators import states as S
 from rillstone.operators import tokens as K
+from rillstone.operators import traversals as V
 from rillstone.operators import trees as T
 from rillstone.plans.registry import Registry, load_function
 from rillstone.sources import files
@@ -297,3 +299,73 @@ def test_segments(spark):
 
     r = one(spark, rollouts.segment_moves(F.lit("<T> a </T> e4 x <call_env> e5 Nf3 <call_env> Nc6 tail")), rollouts.media_parts(F.lit("see <image> and <video>")))
     assert r[0] == ["e4", "Nf3"] and [tuple(x) for x in r[1]] == [("text", "see "), ("image", "<image>"), ("text", " and "), ("video", "<video>")]
+
+
+def test_traversals_against_recursion(spark):
+    rng = random.Random(3)
+    lines = [(t, k, [rng.choice("abc") for _ in range(rng.randint(1, 4))]) for t in range(6) for k in range(8)]
+    nodes = V.nodes_of(T.visits(spark.createDataFrame(lines, "tree int, line int, moves array<string>"), "tree", "line", "moves"), "tree", "line")
+    nodes = nodes.withColumn("label", F.length("prefix") % 3 - 1).withColumn("value", (F.length("prefix") % 2).cast("double"))
+
+    def children(t, prefix, valued):
+        found = {}
+        for tree, k, moves in lines:
+            if tree == t and moves[: len(prefix)] == prefix and len(moves) > len(prefix):
+                found.setdefault(moves[len(prefix)], k)
+        return sorted(found, key=lambda m: (-(len(" ".join([*prefix, m])) % 2) if valued else 0, found[m]))
+
+    def mark(t, prefix):
+        n = (len(" ".join(prefix)) % 3) - 1
+        return [] if children(t, prefix, False) else [f"<result>{'+' if n > 0 else ''}{n}</result>"]
+
+    def deep(t, prefix, valued):
+        out = []
+        for k, m in enumerate(children(t, prefix, valued)):
+            here = [*prefix, m]
+            out += ["<sep>"] * (not prefix and k > 0) + ["<down>", m, *mark(t, here), *deep(t, here, valued), "<up>"]
+        return out
+
+    def broad(t, roots, layers):
+        out, level = [], [[m] for m in roots]
+        while level:
+            out.append("<level>")
+            for here in level:
+                out += [here[-1], *([f"[l{len(here)}]"] if layers else []), *mark(t, here)]
+            level = [[*here, m] for here in level for m in children(t, here, False)]
+        return out
+
+    options = {"label": "label"}
+    for df, expected in (
+        (V.traversal(nodes, "tree", directions=True, separators=True, **options), lambda t: deep(t, [], False)),
+        (V.traversal(V.by_value(nodes, "tree", "value"), "tree", directions=True, separators=True, **options), lambda t: deep(t, [], True)),
+        (V.traversal(nodes, "tree", breadth=True, levels=True, **options), lambda t: broad(t, children(t, [], False), False)),
+        (V.traversal(nodes, "tree", breadth=True, levels=True, layers=True, separators=True, **options), lambda t: " <sep> ".join(" ".join(broad(t, [m], True)) for m in children(t, [], False)).split(" ")),
+    ):
+        got = {r["tree"]: r["text"] for r in df.collect()}
+        assert got == {t: " ".join(expected(t)) for t in range(6)}
+    with pytest.raises(ValueError):
+        V.traversal(nodes, "tree", breadth=True, directions=True)
+
+
+def test_traces_and_replies(spark):
+    row = spark.range(1).select(
+        V.trace(F.lit("a b"), F.lit("a"), F.lit("1. e4")).alias("whole"), V.trace(F.lit("a b"), F.lit("a"), F.lit("")).alias("bare"), V.trace(F.lit(""), F.lit("a")).alias("none"),
+        V.interleaved(F.array(*map(F.lit, "pqrstuvw"))).alias("turns"), V.interleaved(F.array(F.lit("p"))).alias("short"),
+    ).first()
+    assert tuple(row) == ("1. e4 <T> a b </T> a", "<T> a b </T> a", "", "q <call_env> r s <call_env> t u <call_env>", "")
+
+
+def test_notation_tokens(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    for move, parts in (
+        ("Pe7e8=Q", "P e7 e8 = Q"), ("Nd4xe6", "N d4 x e6"), ("Ng1f3+", "N g1 f3 +"), ("O-O", "O-O"), ("O-O-O#", "O-O-O #"), ("e4", "e4"), ("Kz", "K"), ("Pe7e8Q", "P e7 e8"), ("Bx", "B x"),
+    ):
+        assert one(L.word_tokens(F.lit(move))) == parts.split(), move
+    assert one(L.trace_tokens(F.lit("12. Pe2e4 15... 7 1-0 <T> O-O+ <sep> zz </T>"))) == "1 2 . P e2 e4 1 5 ... 7 1-0 <T> O-O + <sep> zz </T>".split()
+    vocab = L.vocabulary(results=True, specials=L.SPECIALS)
+    assert list(vocab)[:4] == ["<bos>", "<eos>", "<unk>", "K"] and len(vocab) == 3 + 6 + 64 + 8 + 10 + 4 + 3 and sorted(vocab.values()) == list(range(len(vocab)))  # N, ... of promotions are pieces
+    text = "12. Pe2e4 Pe7e5 13... Ng1xf3+ Pa7a8=Q# O-O+ O-O-O <T> Ke1e2 <sep> Qd1d8 </T> 1-0"
+    ids = L.ids_of(L.trace_tokens(F.lit(text)), vocab)
+    assert one(L.text_of(ids, vocab)) == text
+    assert one(L.ids_of(L.trace_tokens(F.lit("zz")), vocab)) == [0, 2, 1]
+    assert one(L.text_of(F.array(F.lit(0), F.lit(9999), F.lit(1)), vocab)) == "<unk>" and one(L.ids_of(L.move_tokens(F.lit(None).cast("string")), vocab)) == [0, 1]
