@@ -11,7 +11,8 @@ least MATCHES equal coordinates, so
 
 Short postings (up to SHORT nodes) are merged at once: collisions are counted and pairs
 over the threshold are candidates. The nodes of a long posting are not paired, they form one
-family with whatever candidates join to them. A family is compared in blocks of BLOCK nodes:
+family with whatever candidates join to them. A family is compared in blocks of BLOCK nodes, or fewer where
+sets are so large that a block would hold over BLOCK_SHINGLES:
 collisions are counted inside the task, pairs over the threshold that aren't yet connected are confirmed on the full
 sets, and only a spanning forest of confirmed links leaves the task.
 
@@ -39,6 +40,8 @@ WIDTH, COORDINATES, MATCHES = 5, 48, 23
 #: A link: PERCENT of the union at least is shared.
 PERCENT = 75
 SHORT, BLOCK = 64, 512
+#: Shingles that a block holds on average, at most: 128 MB.
+BLOCK_SHINGLES = 1 << 24
 _MIX = 0xD6E8FEB86659FD93
 
 
@@ -238,7 +241,7 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     candidates = short.mapInArrow(_short_postings, "u binary, v binary")
     stars = posts.select("node", "pair").join(stats.filter(F.col("size") > SHORT), "pair").filter("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v"))
     family = components(candidates.unionByName(stars)).withColumnRenamed("label", "family")
-    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = family.join(nodes.select("node", "n"), "node").groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     family = written(family.join(sizes, "family").join(nodes.select("node", "doc_id", "n", "sig"), "node"), "near-families")
 
     # full sets of the nodes in families, from the texts; the membership filter keeps other texts out of the shuffle

@@ -365,11 +365,12 @@ def brute_components(texts):
     return sets, label
 
 
-@pytest.mark.parametrize(("short", "block"), [(64, 512), (4, 8)])
-def test_near_components(spark, monkeypatch, short, block):
+@pytest.mark.parametrize(("short", "block", "most"), [(64, 512, 1 << 24), (4, 8, 1 << 24), (4, 512, 500)])
+def test_near_components(spark, monkeypatch, short, block, most):
     """Small families, families over many blocks, and a passage that unlike texts share."""
     monkeypatch.setattr(neardup, "SHORT", short)
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", most)
     rng = random.Random(6)
     texts = ["", None, "one two", "One TWO", "a b c d e", "a b c d e f"]
     for _ in range(8):
