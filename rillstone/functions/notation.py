@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +94,44 @@ def final_position(prompt: pd.Series) -> pd.Series:
     return prompt.map(f)
 
 
+def _bare(p: rules.Position, move: rules.Move) -> str:
+    return p.lan(move).rstrip("+#")
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def moves_in_lan(fen: pd.Series) -> pd.Series:
+    """Each legal move in coordinates with its long notation, without marks of check."""
+
+    def f(text):
+        p = rules.Position.parse(text)
+        return {rules.uci(m): _bare(p, m) for m in p.legal()}
+
+    return fen.map(_try(f))
+
+
+@F.pandas_udf(T.StringType())
+def move_of_lan(fen: pd.Series, text: pd.Series) -> pd.Series:
+    """The legal move with whose long notation the text starts, in coordinates: the longest one; NULL if none."""
+
+    def f(fen, text):
+        p = rules.Position.parse(fen)
+        found = [(len(_bare(p, m)), rules.uci(m)) for m in p.legal() if text.startswith(_bare(p, m))]
+        return max(found)[1] if found else None
+
+    return pd.Series([_try(lambda x, t=t: f(x, t) if t is not None else None)(x) for x, t in zip(fen, text, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def legal_prefix(fen: pd.Series, output: pd.Series, most: pd.Series) -> pd.Series:
+    """The moves of a generated text in coordinates, move numbers skipped, up to the first word that isn't a legal move and to ``most`` moves."""
+
+    def f(fen, output, most):
+        words = [w for w in (output or "").split() if not re.fullmatch(r"\d+\.+|\.\.\.", w)]
+        return [rules.uci(m) for m in rules.replay(words[: int(most)], fen)[0]]
+
+    return pd.Series([_try(lambda x, o=o, k=k: f(x, o, k))(x) for x, o, k in zip(fen, output, most, strict=True)], dtype=object)
+
+
 def decontaminate_games(games: DataFrame, tests: DataFrame, key: str, moves: str, fen: str) -> tuple[DataFrame, DataFrame]:
     """(clean, removed): a game goes if any position that it reaches is a test position. One shuffle by position."""
     known = tests.select(F.concat_ws(" ", F.slice(F.split(fen, " "), 1, 2)).alias("_at")).filter("_at <> ''").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lan_tokens as L
+from ..functions import rollout_text as X
 from ..operators import traversals as V
 from ..sources.tables import table
 from .corpus_queries import V as VISITS
@@ -62,3 +63,15 @@ def notation(s, d):
     ids = L.ids_of(L.move_tokens(F.array_join("s.m", " ")), vocab)
     g = g.select("l_orderkey", ids.alias("ids"))
     return g.select("l_orderkey", L.text_of(F.col("ids"), vocab).alias("back"), F.size("ids").cast("long").alias("n_ids"))
+
+
+@query("rate_schedules", "SELECT l_orderkey, l_linenumber, s AS step, round(CASE WHEN s < 10 THEN 0.1::DOUBLE + 0.9::DOUBLE * s / 10 ELSE greatest(0.1::DOUBLE, cos(pi() * (s - 10) / 190) * 0.45::DOUBLE + 0.55::DOUBLE) END, 6) AS cosine, round(CASE WHEN s < 10 THEN s / 10 WHEN s < 105 THEN 1::DOUBLE WHEN s < 200 THEN greatest(0::DOUBLE, 0.5::DOUBLE * (1 + cos(pi() * (s - 105) / 95))) * 0.9::DOUBLE + 0.1::DOUBLE ELSE 0.1::DOUBLE END, 6) AS stable FROM (SELECT l_orderkey, l_linenumber, l_partkey % 210 AS s FROM lineitem)")
+def schedules(s, d):
+    at = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 210).alias("step"))
+    return at.withColumn("cosine", F.round(X.cosine_rate(F.col("step"), 10, 200, 0.1), 6)).withColumn("stable", F.round(X.stable_rate(F.col("step"), 10, 200, 0.1, stable=0.5), 6))
+
+
+@query("response_cut", "WITH q AS (SELECT l_orderkey, list_filter(list(l_partkey % 5 ORDER BY l_linenumber, l_partkey), lambda x: x <> 1 AND x <> 0) AS ids FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN list_position(ids, 2) > 0 THEN ids[1:list_position(ids, 2)] ELSE ids END AS ids FROM q")
+def response(s, d):
+    g = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"))
+    return g.select("l_orderkey", X.response_ids(F.transform("s.l_partkey", lambda x: x % 5), 2, 1).alias("ids"))

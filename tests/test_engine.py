@@ -9,7 +9,7 @@ import pytest
 from rillstone import bindings
 from rillstone.functions import distributions as D
 from rillstone.functions import lan_tokens as L
-from rillstone.functions import notation, rules
+from rillstone.functions import notation, rollout_text, rules
 from rillstone.functions import text as X
 from rillstone.operators import advantages as A
 from rillstone.operators import batch as B
@@ -369,3 +369,31 @@ def test_notation_tokens(spark):
     assert one(L.text_of(ids, vocab)) == text
     assert one(L.ids_of(L.trace_tokens(F.lit("zz")), vocab)) == [0, 2, 1]
     assert one(L.text_of(F.array(F.lit(0), F.lit(9999), F.lit(1)), vocab)) == "<unk>" and one(L.ids_of(L.move_tokens(F.lit(None).cast("string")), vocab)) == [0, 1]
+
+
+def test_rollout_text(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    vocab = L.vocabulary(results=True, specials=(*L.SPECIALS, "<call_env>"))
+    ids = rollout_text.stored_ids(F.lit("Ng1f3 ?Pd4xe5! <T> O-O+ O-O-O"), vocab)
+    assert one(ids) == [vocab[w] for w in "N g1 f3 P d4 x e5 <T> O-O + O-O-O".split()]
+    assert one(rollout_text.shown(ids, vocab)) == "Ng1f3Pd4xe5<T>O-O+O-O-O" and one(rollout_text.shown(F.array(F.lit(999)), vocab)) == "?"
+    assert one(rollout_text.turns(F.lit("a b </T> m1 <call_env> r1 m2 <call_env> m3 <call_env> tail"))).asDict() == {"thinking": "a b ", "own": ["m1", "m3"], "replies": ["r1 m2"]}
+    assert one(rollout_text.turns(F.lit("m1 <call_env> x"), False)).asDict() == {"thinking": "", "own": ["m1"], "replies": []}
+    assert one(rollout_text.trace_parts(F.lit("p <T> <sep> a <sep> b c <sep> <T> m"))).asDict() == {"prompt": "p", "lines": ["a", "b c"], "answer": "m"}
+    assert one(rollout_text.trace_parts(F.lit("p <T> a"))).asDict() == {"prompt": None, "lines": None, "answer": "p <T> a"}
+    assert one(rollout_text.response_ids(F.array(*map(F.lit, (9, 0, 5, 9, 7, 2, 8))), 2, 9)) == [5, 7, 2]
+    assert [one(rollout_text.thought_and_boxed(F.lit(x))) for x in ("<think>a\n</think> so \\boxed{1}.", "<think>a \\boxed{1}", None)] == [True, False, False]
+    rates = [one(rollout_text.constant_rate(F.lit(k), 4)) for k in (0, 2, 4, 9)]
+    assert rates == [0.0, 0.5, 1.0, 1.0]
+
+
+def test_legal_moves_in_long_notation(spark):
+    fen = "r3k2r/1P6/8/8/8/8/8/R3K2R w KQkq - 0 1"
+    df = spark.createDataFrame([(fen,), (rules.START,), ("junk",)], "fen string")
+    found = [r["m"] for r in df.select(notation.moves_in_lan("fen").alias("m")).collect()]
+    assert found[0]["e1g1"] == "O-O" and found[0]["e1c1"] == "O-O-O" and found[0]["b7a8q"] == "Pb7xa8=Q" and found[1]["g1f3"] == "Ng1f3" and len(found[1]) == 20 and found[2] is None
+    words = [("O-O-O#", "e1c1"), ("O-O", "e1g1"), ("Pb7xa8=Q+", "b7a8q"), ("Pb7xa8", None), (None, None)]
+    df = spark.createDataFrame([(k, fen, w) for k, (w, _) in enumerate(words)], "k int, fen string, w string").orderBy("k")
+    assert [r["m"] for r in df.select("k", notation.move_of_lan("fen", "w").alias("m")).orderBy("k").collect()] == [m for _, m in words]
+    got = spark.range(1).select(notation.legal_prefix(F.lit(rules.START), F.lit("1. e4 1... e5 2. Ng1f3 zz Nc6"), F.lit(9)).alias("a"), notation.legal_prefix(F.lit(rules.START), F.lit("1. e4 e5"), F.lit(1)).alias("b")).first()
+    assert got["a"] == ["e2e4", "e7e5", "g1f3"] and got["b"] == ["e2e4"]
