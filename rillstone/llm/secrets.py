@@ -2,8 +2,8 @@
 
 The text is the first layer. Each layer is scanned, and its encoded stretches (URL escapes,
 Unicode and hex escapes, HTML-free base64 and base64url, and gzip or zlib data inside base64) are
-decoded into new layers, until none is left. Layers seen before are not decoded again, so
-cycles end. Every layer keeps, for each of its characters, the span of the text that it came from; a find
+decoded into new layers, until none is left. A layer whose text and places were seen before is not decoded
+again, so cycles end; a text that stands twice is reported at both places. Every layer keeps, for each of its characters, the span of the text that it came from; a find
 in a deep layer is reported at that span.
 
 Defined results: null and empty texts have no finds; very long texts are scanned whole; a
@@ -154,16 +154,17 @@ def find_secrets(text: str | None) -> tuple[list[Find], list[Find]]:
     text = text or ""
     base = scan_layer(text)
     every = set(base)
-    seen = {text}
+    seen: set[tuple[str, int]] = set()  # texts with a hash of the places of their characters
     work: list[tuple[str, list[Span] | None]] = [(text, None)]
     while work:
         layer, origin = work.pop()
         for inner, spans in unwrapped(layer):
-            if inner in seen:
-                continue
-            seen.add(inner)
             if origin is not None:
                 spans = [(origin[a][0], origin[b - 1][1]) for a, b in spans]
+            place = (inner, hash(tuple(spans)))
+            if place in seen:
+                continue
+            seen.add(place)
             for kind, a, b in scan_layer(inner):
                 every.add((kind, min(s for s, _ in spans[a:b]), max(e for _, e in spans[a:b])))
             work.append((inner, spans))

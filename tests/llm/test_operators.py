@@ -310,6 +310,17 @@ def test_secret_layers():
     assert secrets.find_secrets("\u017fecret=abcdefgh to\u212aen=abcdefgh")[0] == []
 
 
+def test_secret_layers_at_every_place():
+    key = "password=hunter2hunter2"
+    blob = b64encode(key.encode()).decode()
+    deep = b64encode(("see " + blob).encode()).decode()
+    url = "password%3Dhunter2"
+    for wrapped in (blob, deep, url, b64encode(zlib.compress(key.encode() * 9)).decode()):
+        text = f"one {wrapped} two {wrapped}\n{wrapped} end"
+        places = [m.start() for m in re.finditer(re.escape(wrapped), text)]
+        assert len(places) == 3 and secrets.find_secrets(text)[1] == [("assign", a, a + len(wrapped)) for a in places]
+
+
 def test_secret_query_against_plain_regexes(spark):
     for r, text in zip(secrets.report(table(spark, SMALL, "documents").orderBy("doc_id")).collect(), [r["text"] for r in table(spark, SMALL, "documents").orderBy("doc_id").collect()], strict=True):
         found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) > 5]
