@@ -93,7 +93,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             keys.append(node_key(s) if len(s) else None)
             signs.append(signature(s, a, b).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n", "node", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "hash", "n", "node", "sig"])
 
 
 def _short_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +225,9 @@ def sharing_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) for each row of docs, and (node, component) for the nodes that have a link; component: the smallest doc_id."""
+    """(doc_id, hash, n, node) for each row of docs, and (node, component, label) for the nodes that have a link; hash: of the text, component: the smallest doc_id, label: the smallest node."""
     kind = dict(docs.dtypes)["doc_id"]
-    rows = written(docs.select("doc_id", "text").mapInArrow(_signatures, f"doc_id {kind}, n long, node binary, sig binary"), "near-signatures")
+    rows = written(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_signatures, f"doc_id {kind}, hash long, n long, node binary, sig binary"), "near-signatures")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     nodes = written(nodes, "near-nodes")
     sharing = written(sharing_nodes(nodes), "near-sharing")
@@ -257,27 +257,42 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = components(links.select("u", "v"))
     named = labels.join(nodes.select("node", "doc_id"), "node")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component"))
-    return rows.select("doc_id", "n", "node"), named.join(least, "label").select("node", "component")
+    return rows.select("doc_id", "hash", "n", "node"), named.join(least, "label").select("node", "component", "label")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+def judged(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, hash, n_shingles, component_id, kept, set; set: a key of the component, null for texts without words."""
     rows, linked = near_components(docs)
     own = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))
-    known = written(own.join(linked, "node", "left").select("node", F.coalesce("component", "own").alias("component_id")), "near-known")
+    known = written(own.join(linked, "node", "left").select("node", F.coalesce("component", "own").alias("component_id"), F.coalesce("label", "node").alias("set")), "near-known")
     out = rows.join(known, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "hash", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    return judged(docs).drop("hash", "set")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; docs' columns stay. Rows that repeat it go, too."""
-    verdict = written(report(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")).filter("not kept or copies > 1"), "near-verdicts")
-    n = free_names(docs, "_maybe", "_kept", "_first", "_id")
-    rows = with_membership(docs, F.xxhash64("doc_id"), verdict.select(F.xxhash64("doc_id").alias("h")), n["_maybe"])
-    sure = rows.filter(~F.col(n["_maybe"])).drop(n["_maybe"])
-    verdict = verdict.select(F.col("doc_id").alias(n["_id"]), F.col("kept").alias(n["_kept"]))
-    rest = rows.filter(n["_maybe"]).join(verdict, F.col("doc_id").eqNullSafe(F.col(n["_id"])), "left").filter(F.coalesce(n["_kept"], F.lit(True)))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    """One document of each group stays, one with the smallest doc_id; docs' columns stay. Rows that repeat its doc_id and text go, too.
+
+    Rows are told apart by doc_id and text, so unlike texts under one doc_id, or under none, all stay.
+    """
+    each = written(judged(docs).groupBy("doc_id", "hash").agg(F.max("kept").alias("kept"), F.min("set").alias("set"), F.count(F.lit(1)).alias("copies")), "near-judged")
+    # several texts of a group may stand under its smallest doc_id; without words, each doc_id and text is a group
+    alone = [F.when(F.col("set").isNull(), F.col(c)) for c in ("doc_id", "hash")]
+    place = F.row_number().over(Window.partitionBy("set", *alone).orderBy("hash"))
+    kept = each.filter("kept").withColumn("place", place).filter("place > 1 or copies > 1").select("doc_id", "hash", (F.col("place") == 1).alias("kept"))
+    verdict = written(kept.unionByName(each.filter("not kept").select("doc_id", "hash", "kept")), "near-verdicts")
+    n = free_names(docs, "_maybe", "_kept", "_first", "_id", "_hash", "_text")
+    rows = docs.withColumn(n["_text"], F.xxhash64("text"))
+    rows = with_membership(rows, F.xxhash64("doc_id", n["_text"]), verdict.select(F.xxhash64("doc_id", "hash").alias("h")), n["_maybe"])
+    sure = rows.filter(~F.col(n["_maybe"]))
+    verdict = verdict.select(F.col("doc_id").alias(n["_id"]), F.col("hash").alias(n["_hash"]), F.col("kept").alias(n["_kept"]))
+    same = F.col("doc_id").eqNullSafe(F.col(n["_id"])) & (F.col(n["_text"]) == F.col(n["_hash"]))
+    rest = rows.filter(n["_maybe"]).join(verdict, same, "left").filter(F.coalesce(n["_kept"], F.lit(True)))
+    first = F.row_number().over(Window.partitionBy("doc_id", n["_text"]).orderBy(n["_text"]))
     rest = rest.withColumn(n["_first"], first).filter(F.col(n["_first"]) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return sure.select(*columns).unionByName(rest.select(*columns))

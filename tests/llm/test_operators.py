@@ -397,6 +397,17 @@ def test_near_components(spark, monkeypatch, short, block, most):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in rows.items())
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    rng = random.Random(7)
+    a, b, c, d, e = (prose(rng, 60, 3000) for _ in range(5))
+    near = near_copies(rng, d, 1, 1)[0]
+    rows = [(None, a), (None, b), (None, b), (None, near), (3, c), (3, d), (3, near), (4, near), (None, None), (None, "-"), (5, ""), (5, None), (5, ""), (9, e), (None, e), (None, e.upper() + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    left = collections.Counter((r["doc_id"], r["text"]) for r in neardup.drop_near_copies(docs.repartition(3)).collect())
+    assert sum(left.pop(k, 0) for k in ((3, d), (3, near))) == 1
+    assert left == collections.Counter([(None, a), (None, b), (3, c), (None, None), (None, "-"), (5, ""), (5, None), (9, e)])
+
+
 def test_near_query(spark):
     docs = table(spark, SMALL, "documents").orderBy("doc_id").collect()
     _, label = brute_components([r["text"] for r in docs])
