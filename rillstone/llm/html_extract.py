@@ -4,12 +4,13 @@ A page is read as a stream of blocks. Markup says what is chrome by nature (menu
 headers, footers, sidebars, forms, notices, adverts, comments, scripts). What stands
 inside an article is the page's own text. Blocks that markup leaves open, those of
 pages without an article element, are decided by their host: the pages' token streams are concatenated,
-a suffix array finds the long substrings that repeat across distinct pages, and open
-blocks that these cover are boilerplate.
+a suffix array finds the long substrings that repeat across distinct contents, and open
+blocks that these cover are boilerplate, but for the unique runs in them. A substring counts as repeated
+if it stands in LEAST contents of its host and in SHARE of them, or in all if there are fewer than LEAST; copies of a page are one content.
 
 The suffix arrays are built over the pages of one Arrow batch and host; each hands on the
-first and last page of every substring of RUN tokens, and a shuffle by substring merges
-them. So repeats count across all pages of a host, and no task ever holds a host.
+number of contents of every substring of RUN tokens, and a shuffle by substring adds
+them up. Contents that stand on several pages are counted apart, each once. So repeats count across all pages of a host, and no task ever holds a host.
 
 Defined results: null html is an empty page; a page without text gives an empty string; a null
 url is a host of its own; pages that repeat give rows each (one page_id twice doesn't make
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, written
+from .common import lean, with_membership, written
 
 #: Tokens of a substring that counts as long, and the share of a block's tokens that makes it boilerplate.
 RUN = 8
 COVERED = 0.5
+#: Distinct contents of a host in which a repeated substring stands at least, and their share.
+LEAST, SHARE = 3, 0.1
 
 #: Tags whose content is never text of the page.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "title"}
@@ -178,8 +181,8 @@ def _token_hashes(block: str) -> list[int]:
     return [zlib.crc32(w.encode()) for w in block.split()]
 
 
-def run_keys(streams: list[tuple[int, list[list[int]]]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From (page, blocks of token hashes): a 64-bit key for every substring of ``run`` tokens, with its first and last page.
+def run_keys(streams: list[list[list[int]]], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """From pages, as blocks of token hashes: a 64-bit key for every substring of ``run`` tokens, with the number of pages it stands on.
 
     Blocks are separated by tokens of their own, so no substring leaves its block. Shorter blocks
     count as one substring, padded by the separator.
@@ -187,7 +190,7 @@ def run_keys(streams: list[tuple[int, list[list[int]]]], run: int) -> tuple[np.n
     tokens: list[int] = []
     pages: list[int] = []
     starts: list[bool] = []
-    for page, blocks in streams:
+    for page, blocks in enumerate(streams):
         for block in blocks:
             n = len(block)
             if not n:
@@ -199,7 +202,7 @@ def run_keys(streams: list[tuple[int, list[list[int]]]], run: int) -> tuple[np.n
     t = np.asarray(tokens, dtype=np.int64)
     if not len(t):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none
+        return none, none
     order = suffix_array(t, run)
     order = order[np.asarray(starts)[order]]
     width = np.minimum(order[:, None] + np.arange(run)[None, :], len(t) - 1)
@@ -207,10 +210,8 @@ def run_keys(streams: list[tuple[int, list[list[int]]]], run: int) -> tuple[np.n
     new = np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)])  # LCP below run: another substring
     group = np.cumsum(new) - 1
     page = np.asarray(pages, dtype=np.int64)[order]
-    low, high = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
-    np.minimum.at(low, group, page)
-    np.maximum.at(high, group, page)
-    return gram_keys(grams[new]), low, high
+    stands = np.unique(group * len(streams) + page) // len(streams)  # each page once a substring
+    return gram_keys(grams[new]), np.bincount(stands, minlength=group[-1] + 1)
 
 
 def gram_keys(grams: np.ndarray) -> np.ndarray:
@@ -222,25 +223,37 @@ def gram_keys(grams: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Substrings of open and outside blocks by host, each with its first and last page."""
+def _evidence(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.RecordBatch]:
+    """Substrings of open and outside blocks by host with their number of pages; key 0 and part 1 count the pages. With ``each``, page by page, and the page's content."""
     for batch in batches:
-        hosts: dict[str, list] = {}
-        for page_id, url, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        hosts: dict[tuple[str, int | None], list] = {}
+        for url, page, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             inside, outside, found = blocks_of(page or "")
             blocks = outside if found else inside + outside
-            hosts.setdefault(host_of(url), []).append((page_id if page_id is not None else -1, [_token_hashes(b) for b in blocks]))
-        for host, streams in hosts.items():
-            keys, low, high = run_keys(streams, RUN)
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys)), pa.array(keys), pa.array(low), pa.array(high)], names=["host", "run_key", "low", "high"])
+            streams = hosts.setdefault((host_of(url), content if each else None), [])
+            if not each or not streams:
+                streams.append([_token_hashes(b) for b in blocks])
+        for (host, content), streams in hosts.items():
+            keys, n = run_keys(streams, RUN)
+            k = len(keys)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([host] * (k + 1)), pa.array([*[0] * k, 1], pa.int8()), pa.array(np.append(keys, 0), pa.int64()), pa.array(np.append(n, len(streams)), pa.int64()), pa.array([content] * (k + 1), pa.int64())],
+                names=["host", "part", "run_key", "n", "content"],
+            )
 
 
 def repeated_runs(pages: DataFrame) -> DataFrame:
-    """(host, run_key) of the substrings of RUN tokens that stand on two or more pages of a host, outside of articles."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_evidence, "host string, run_key long, low long, high long")
-    runs = rows.groupBy("host", "run_key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return runs.filter("low <> high").select("host", "run_key")
+    """(host, run_key) of the substrings of RUN tokens that repeat in distinct contents of a host, outside of articles."""
+    rows = pages.select("url", "html", F.xxhash64("html").alias("content"))
+    copied = written(rows.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content"), "html-copied")
+    rows = with_membership(rows, F.col("content"), copied, "_maybe")
+    schema = "host string, part byte, run_key long, n long, content long"
+    single = rows.filter("not _maybe").drop("_maybe").mapInArrow(lambda b: _evidence(b, False), schema).drop("content")
+    several = rows.filter("_maybe").drop("_maybe").mapInArrow(lambda b: _evidence(b, True), schema).distinct().drop("content")
+    counts = written(single.unionByName(several).groupBy("host", "part", "run_key").agg(F.sum("n").alias("n")).filter("n > 1 or part = 1"), "html-counts")
+    hosts = counts.filter("part = 1").select("host", F.col("n").alias("contents"))
+    least = F.least("contents", F.greatest(F.lit(LEAST), F.ceil(SHARE * F.col("contents"))))
+    return counts.filter("part = 0").join(hosts, "host").filter(F.col("n") >= least).select("host", "run_key")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +286,20 @@ def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The open blocks as text; of those with repeated runs only the runs of RUN tokens or more that aren't covered."""
+    for batch in batches:
+        texts = []
+        for blocks, cuts in zip(batch.column("open_blocks").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
+            for cut in cuts or ():
+                words = blocks[cut["block"]].split()
+                ends = [a + RUN for a in cut["ats"]]
+                free = [words[a:b] for a, b in zip([0, *ends], [*cut["ats"], len(words)], strict=True) if b - a >= RUN]
+                blocks[cut["block"]] = " ".join(w for run in free for w in run)
+            texts.append("\n\n".join(b for b in blocks if b))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages."""
     kind = dict(pages.dtypes)["page_id"]
@@ -288,8 +315,8 @@ def extract(pages: DataFrame) -> DataFrame:
     # tokens under at least one repeated substring, from the sorted starts
     hits = hits.withColumn("ats", F.array_sort("ats"))
     cover = F.aggregate("ats", F.struct(F.lit(0).alias("c"), F.lit(0).alias("e")), lambda a, s: F.struct((a["c"] + F.least(s + RUN, F.col("n")) - F.greatest(a["e"], s)).alias("c"), F.least(s + RUN, F.col("n")).alias("e")))["c"]
-    bad = hits.filter(cover >= COVERED * F.col("n")).groupBy("row").agg(F.collect_set("block").alias("bad"))
-    kept = left.join(bad, "row", "left").select("page_id", "url", F.array_join(F.filter("open_blocks", lambda b, i: F.coalesce(~F.array_contains("bad", i), F.lit(True))), "\n\n").alias("text"))
+    bad = hits.filter(cover >= COVERED * F.col("n")).groupBy("row").agg(F.collect_list(F.struct("block", "ats")).alias("cuts"))
+    kept = left.join(bad, "row", "left").select("page_id", "url", "open_blocks", "cuts").mapInArrow(_cut, f"page_id {kind}, url string, text string")
     return done.unionByName(kept).unionByName(none)
 
 

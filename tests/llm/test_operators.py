@@ -162,6 +162,20 @@ def test_html_repeated_runs_of_a_host(spark):
     assert got[40] == f"{chrome}\n\nx y"  # another host's run is no evidence
 
 
+def test_html_copies_and_quotes_stay(spark):
+    rng = random.Random(3)
+    chrome, quote, half = prose(rng, 20), prose(rng, 20, 5000), prose(rng, 20, 5000)
+    bodies = [prose(rng, 50, 5000) for _ in range(6)]
+    copy = f"<p>{bodies[0]}</p>"
+    got = texts_of(spark, [("http://two.org/a", copy), ("http://two.org/b", copy)])
+    assert got == {0: bodies[0], 1: bodies[0]}  # copies are one content
+    quoting = [f"<p>{chrome}</p><p>{b}</p>" + (f"<p>{quote}</p><h2>See here</h2>" if i < 2 else "") for i, b in enumerate(bodies)]
+    quoting += [f"<p>{chrome} {half}</p>", quoting[0]]
+    got = texts_of(spark, [(f"http://six.org/{i}", p) for i, p in enumerate(quoting)])
+    assert [got[i] for i in range(6)] == [f"{b}\n\n{quote}\n\nSee here" if i < 2 else b for i, b in enumerate(bodies)]
+    assert got[6] == half and got[7] == got[0]
+
+
 def test_suffix_array():
     import numpy as np
 
