@@ -77,8 +77,8 @@ def words_near(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(f"({CHARS}+)"), F.lit(1))
 
 
-#: Words of which every template holds at least one; a text without any can't match.
-ANCHORS = ("license", "licensed", "gnu", "mozilla", "granted", "redistribution", "unencumbered", "reserved")
+#: Words and phrases of which every mandatory key holds at least one; a text without any can't match.
+ANCHORS = ("license", "granted", "redistribution", "reserved", "permission to use", "public domain", "cc by")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -86,11 +86,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
     matches: an array of (label, start, score), the method's finds.
     """
-    bad = [t.text for t in TEMPLATES if not set(t.text.split()) & set(ANCHORS)]
+    keys = [*(t.key for t in TEMPLATES), *(p for p, _ in BASE)]
+    bad = [k for k in keys if not any(f" {a} " in f" {k} " for a in ANCHORS)]
     if bad:
-        raise ValueError(f"templates without an anchor word: {bad}")
+        raise ValueError(f"keys without an anchor word: {bad}")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    wanted = "|".join([*ANCHORS, r"cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"])
+    wanted = "|".join(rf"{GAP}+".join(a.split()) for a in ANCHORS)
     rows = rows.select("doc_id", words_in(F.col("text")).cast("long").alias("n_words"), F.when(F.col("text").rlike(f"(?i){wanted}"), F.col("text")).alias("text"))
     rows = rows.withColumn("ws", F.when(F.col("text").isNotNull(), words_near(F.col("text")))).drop("text")
     # positions of the words that any template or phrase uses; everything else is dropped from here on

@@ -472,6 +472,25 @@ def test_license_places(spark):
     assert r[2]["labels"] == "apache" and r[2]["score"] == 1.0
 
 
+def test_license_matches_without_all_words_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    texts = []
+    for t in licenses.TEMPLATES:
+        ws, key = t.text.split(), t.key.split()
+        at = next(k for k in range(len(ws)) if ws[k : k + len(key)] == key)
+        rest = [k for k in range(len(ws)) if not at <= k < at + len(key)]
+        for gone in [(), *((k,) for k in rest), *itertools.combinations(rest, 2)]:
+            texts.append("so, " + " ".join("zz" if k in gone else w for k, w in enumerate(ws)) + ".")
+    texts += ["This is free and open software released into the PUBLIC domain", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby"]
+    docs = documents(spark, texts)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    rounded = lambda v: round(v, 6) if isinstance(v, float) else v
+    ours = sorted(tuple(rounded(v) for v in r) for r in licenses.report(docs).select("doc_id", "n_words", "n_base", "base_labels", "labels", "score").collect())
+    assert ours == sorted(tuple(rounded(v) for v in r) for r in con.sql(f"SELECT doc_id, n_words, n_base, base_labels, labels, score FROM ({licenses.sql()})").fetchall())
+    assert [r[4] for r in ours[-2:]] == ["unlicense", "isc"]
+
+
 # pipeline
 
 
