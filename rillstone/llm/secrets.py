@@ -8,7 +8,7 @@ in a deep layer is reported at that span.
 
 Defined results: null and empty texts have no finds; very long texts are scanned whole; a
 compressed layer that would grow over MOST_OUT characters is not a text layer, and is left alone,
-as is data that is not readable text; rows that repeat are scanned each; an empty table gives no rows; extra columns are ignored.
+as is data that is not UTF-8; rows that repeat are scanned each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,11 +65,9 @@ def decoded_bytes(data: bytes) -> str | None:
 
 
 def readable(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 without control characters."""
+    """The bytes as text, if they are UTF-8; control characters don't hide the rest."""
     text = decoded_bytes(data)
-    if text is None or len(text) < 4 or any((c < " " and c not in "\t\n\r") or "\x7f" <= c < "\xa0" for c in text):
-        return None
-    return text
+    return text if text is not None and len(text) >= 4 else None
 
 
 def inflated(data: bytes) -> bytes | None:
@@ -93,17 +91,38 @@ def base64_text(blob: str) -> str | None:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    for _ in range(8):  # compressed data in compressed data
-        inner = inflated(data)
-        if inner is None:
-            break
+    seen: set[bytes] = set()
+    while (inner := inflated(data)) is not None:  # compressed data in compressed data
+        digest = hashlib.sha256(data).digest()
+        if digest in seen:  # data that inflate to themselves
+            return None
+        seen.add(digest)
         data = inner
     return readable(data)
 
 
+def spliced(text: str, parts: list[tuple[int, int, str, list[Span]]]) -> tuple[str, list[Span]]:
+    """The text with decoded stretches (start, end, characters, their spans) in their places."""
+    chars: list[str] = []
+    spans: list[Span] = []
+    at = 0
+    for a, b, inner, own in parts:
+        chars += [text[at:a], inner]
+        spans += [(k, k + 1) for k in range(at, a)]
+        spans += own
+        at = b
+    chars.append(text[at:])
+    spans += [(k, k + 1) for k in range(at, len(text))]
+    return "".join(chars), spans
+
+
 def unwrapped(text: str) -> Iterator[tuple[str, list[Span]]]:
-    """The layers directly inside a text, each with a span of the text for each of its characters."""
+    """The layers directly inside a text, each with a span of the text for each of its characters.
+
+    Decoded stretches are layers of their own, and stand among their surroundings in a copy of the text.
+    """
     if "%" in text:
+        found = []
         for m in URL.finditer(text):
             parts = URL_ESCAPE.split(m[0])  # escapes have the odd places
             if len(parts) == 1:
@@ -124,7 +143,10 @@ def unwrapped(text: str) -> Iterator[tuple[str, list[Span]]]:
                     spans.append((at, at + n))
                     at += n
             if len(spans) < len(m[0]):
-                yield "".join(chars), spans
+                found.append((m.start(), m.end(), "".join(chars), spans))
+        yield from ((inner, spans) for _, _, inner, spans in found)
+        if found:
+            yield spliced(text, found)
     if "\\" in text or "&#" in text:
         marks = list(UNICODE.finditer(text))
         if marks:
@@ -143,10 +165,10 @@ def unwrapped(text: str) -> Iterator[tuple[str, list[Span]]]:
             chars += text[at:]
             spans += [(k, k + 1) for k in range(at, len(text))]
             yield "".join(chars), spans
-    for m in BASE64.finditer(text):
-        inner = base64_text(m[0])
-        if inner is not None:
-            yield inner, [m.span()] * len(inner)
+    found = [(*m.span(), inner, [m.span()] * len(inner)) for m in BASE64.finditer(text) if (inner := base64_text(m[0])) is not None]
+    yield from ((inner, spans) for _, _, inner, spans in found)
+    if found:
+        yield spliced(text, found)
 
 
 def find_secrets(text: str | None) -> tuple[list[Find], list[Find]]:

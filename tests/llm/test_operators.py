@@ -335,6 +335,23 @@ def test_secret_layers_at_every_place():
         assert len(places) == 3 and secrets.find_secrets(text)[1] == [("assign", a, a + len(wrapped)) for a in places]
 
 
+def test_secret_layers_among_their_surroundings():
+    def finds(text):
+        return secrets.find_secrets(text)[1]
+
+    assert finds('x password%3D"hunter22" y') == [("assign", 2, 22)]
+    assert finds("token%3A hunter22x") == [("assign", 0, 18)]
+    name = b64encode(b"see the password").decode()
+    assert finds(name + ": hunter22") == [("assign", 0, len(name) + 10)]
+    blob = b64encode(b"password=hunter2hunter2\0").decode()
+    assert finds(f"say {blob}") == [("assign", 4, 4 + len(blob))]
+    deep = b"password=hunter2hunter2"
+    for _ in range(12):
+        deep = zlib.compress(deep)
+    blob = b64encode(deep).decode()
+    assert finds(blob) == [("assign", 0, len(blob))]
+
+
 def test_secret_query_against_plain_regexes(spark):
     for r, text in zip(secrets.report(table(spark, SMALL, "documents").orderBy("doc_id")).collect(), [r["text"] for r in table(spark, SMALL, "documents").orderBy("doc_id").collect()], strict=True):
         found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) > 5]
