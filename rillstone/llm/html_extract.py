@@ -52,6 +52,8 @@ CHROME_WORDS = {
     "consent", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup",
     "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Words beside them in compounds that still name chrome, as in site-footer; other compounds, as related-work, are left to the host's evidence.
+BESIDE = {"", "site", "global", "container", "wrapper", "wrap", "bar", "box", "area", "buttons", "links", "inner", "link", "button", "list"}
 #: Names that start so speak of the page around, as in has-sidebar.
 LAYOUT = ("has-", "no-", "with-", "without-")
 
@@ -70,11 +72,19 @@ def is_chrome(tag: str, attrs: str) -> bool:
         if not m[1]:
             return True
         names = (m[2] or m[3] or m[4] or "").lower().split()
-        if any(w in CHROME_WORDS for name in names if not name.startswith(LAYOUT) for w in re.split(r"[^a-z]+", name)):
+        if tag not in ARTICLE and any(names_chrome(name) for name in names):
             return True
     return False
 
 
+def names_chrome(name: str) -> bool:
+    """Whether a class, id or role is a chrome word or a compound of such words alone."""
+    if name.startswith(LAYOUT):
+        return False
+    words = set(re.split(r"[^a-z]+", name))
+    return bool(words & CHROME_WORDS) and words <= CHROME_WORDS | BESIDE
+
+
 def blocks_of(page: str) -> tuple[list[str], list[str], bool]:
     """(blocks of the article, or those that are open), (blocks outside it), whether the page has an article."""
     inside: list[str] = []

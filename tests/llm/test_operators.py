@@ -176,6 +176,12 @@ def test_html_copies_and_quotes_stay(spark):
     assert got[6] == half and got[7] == got[0]
 
 
+def test_html_compound_names_are_no_chrome(spark):
+    inside = '<div class="elementor-widget"><p>one</p></div><section id="related-work">two</section><section id="search-algorithms">three</section><h1 class="post-header">four</h1><div class="site-footer">no</div><div id="cookie-notice">no</div>'
+    pages = [("http://a.b/1", f'<article class="long-form">{inside}</article>'), ("http://a.b/2", f'<main id="search">{inside}</main>'), ("http://c.d/3", f"<div>{inside}</div>")]
+    assert set(texts_of(spark, pages).values()) == {"one\n\ntwo\n\nthree\n\nfour"}
+
+
 def test_suffix_array():
     import numpy as np
 
