@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,4 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/rillstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out, lambda _, key=id(out): _paths.pop(key, None)), path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table that ``written`` returned as df; no plan may read it any more."""
+    if id(df) in _paths:
+        _remove(df.sparkSession, _paths[id(df)][1])
