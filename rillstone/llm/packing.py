@@ -8,8 +8,10 @@ undominated fillings, prunes by the waste they must leave, keeps the best-fit fi
 incumbent, and repeats the bin found as often as the counters allow. Pieces then find
 their bin through their rank among the pieces of their length.
 
-Defined results: a null text is empty; an empty text is one piece, the end id; rows that
-repeat are packed each; an empty table gives no rows. A null doc_id is ranked first.
+Defined results: a null text is empty; an empty text is one piece, the end id; a very long text is
+encoded whole, runs of 100,000 blanks and more as one word each, and cut; rows that repeat are packed each; pieces of a length
+are ordered by doc_id, piece and ids_crc32, and where all of these tie they are alike; an empty table gives no rows. A null doc_id is ranked first. Only doc_id and text
+are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ DEPTH = 6
 PLAIN = r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧]"
 
 
+#: Blanks in a row from which a run is encoded by itself: the fast splitter recurses over it.
+LONG_BLANK = re.compile(r"[ \t\n\r]{100000,}")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -86,6 +92,20 @@ class Encoder:
         return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
+        if self.fast is None:
+            return self._part(text)
+        out, at = [], 0
+        for m in LONG_BLANK.finditer(text):
+            start, end = m.span()
+            if text[max(0, start - 1) : start].isspace() or text[end : end + 1].isspace():
+                continue  # other white space beside it belongs to the run: an odd text
+            end -= end < len(text)  # the last blank goes with what follows
+            out += self._part(text[at:start])
+            out += self.fast._encode_single_piece(text[start:end])
+            at = end
+        return out + self._part(text[at:])
+
+    def _part(self, text: str) -> list[int]:
         if self.fast is None or self.odd.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
