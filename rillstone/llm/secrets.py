@@ -1,24 +1,32 @@
 """Secret scans with a recursive decoding worklist.
 
 The text is the first layer. Each layer is scanned, and its encoded stretches (URL escapes,
-Unicode and hex escapes, HTML-free base64 and base64url, and gzip or zlib data inside base64) are
-decoded into new layers, until none is left. A layer whose text and places were seen before is not decoded
-again, so cycles end; a text that stands twice is reported at both places. Every layer keeps, for each of its characters, the span of the text that it came from; a find
-in a deep layer is reported at that span.
-
-Defined results: null and empty texts have no finds; very long texts are scanned whole; a
-compressed layer that would grow over MOST_OUT characters is not a text layer, and is left alone,
-as is data that is not UTF-8; rows that repeat are scanned each; an empty table gives no rows; extra columns are ignored.
+Unicode and hex escapes, base64 and base64url, also wrapped over lines or glued to other characters, and gzip or zlib data inside
+base64, however deep) are decoded into new layers, alone and among their surroundings, until none is left. A layer whose text and places were seen before is not decoded
+again, so cycles end; a text that stands twice is reported at both places. A layer keeps segments that map its characters to those of the
+layer around it; a find in a deep layer is reported at its span of the text.
+
+Content that inflates to more than WINDOW bytes is streamed and worked in windows of that size that overlap by OVERLAP characters, so memory has
+a bound and nothing is left out but what a single find of more than OVERLAP characters or an encoded stretch across windows would add.
+
+Defined results: null and empty texts have no finds; very long texts are scanned whole; base64 runs are tried from LEAST_BLOB characters on, the
+length of the shortest assignment; data that is not text is no layer, but text among other bytes is; ties, one span found in several layers, are one find;
+rows that repeat are scanned each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
+import codecs
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +44,19 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 URL = re.compile(r"[A-Za-z0-9_.~+/:=?&@,;!*'()$%-]+")
 URL_ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Guard against decompression bombs: a layer that expands to more than this is rejected whole.
-MOST_OUT = 1 << 24
+LEAST_BLOB = 16
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_BLOB},}}={{0,2}}")
+#: Base64 over several lines, of 60 characters or more as encoders wrap it, all alike but the last.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{60,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+#: Where compressed data may start among other bytes, and what text among them looks like.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+LEGIBLE = re.compile(r"[\t\n\r\x20-\x7e]{12,}")
+#: Bytes that are inflated at once, and characters by which windows of larger content overlap.
+WINDOW, OVERLAP = 1 << 24, 1 << 16
 Span = tuple[int, int]
 Find = tuple[str, int, int]
+#: Start in the layer, span in the layer around it, and whether characters stand for themselves there.
+Segment = tuple[int, int, int, bool]
 
 
 def scan_layer(text: str) -> list[Find]:
@@ -57,6 +73,54 @@ def in_order(finds) -> list[Find]:
     return sorted(finds, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 
+class Splice:
+    """A text put together from plain and decoded parts of another."""
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.segments: list[Segment] = []
+        self.size = 0
+
+    def plain(self, text: str, start: int, end: int) -> None:
+        if start < end:
+            self._add(text[start:end], start, end, True)
+
+    def decoded(self, inner: str, start: int, end: int) -> None:
+        if inner:
+            self._add(inner, start, end, False)
+
+    def _add(self, part: str, start: int, end: int, itself: bool) -> None:
+        self.segments.append((self.size, start, end, itself))
+        self.parts.append(part)
+        self.size += len(part)
+
+    def splice(self, other: Splice) -> None:
+        self.segments += [(self.size + at, start, end, itself) for at, start, end, itself in other.segments]
+        self.parts += other.parts
+        self.size += other.size
+
+    def layer(self) -> tuple[str, list[Segment]]:
+        return "".join(self.parts), self.segments
+
+
+@dataclass
+class Layer:
+    text: str
+    segments: list[Segment]
+    around: Layer | None
+
+    def outermost(self, start: int, end: int) -> Span:
+        """The span of the text from which the characters from start to end come."""
+        layer = self
+        while layer.around is not None:
+            at, low, _, itself = layer.segments[bisect.bisect_right(layer.segments, start, key=itemgetter(0)) - 1]
+            at_last, low_last, high, itself_last = layer.segments[bisect.bisect_right(layer.segments, end - 1, key=itemgetter(0)) - 1]
+            start = low + start - at if itself else low
+            end = low_last + end - at_last if itself_last else high
+            layer = layer.around
+        return start, end
+
+
 def decoded_bytes(data: bytes) -> str | None:
     try:
         return data.decode("utf-8")
@@ -64,132 +128,195 @@ def decoded_bytes(data: bytes) -> str | None:
         return None
 
 
-def readable(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8; control characters don't hide the rest."""
-    text = decoded_bytes(data)
-    return text if text is not None and len(text) >= 4 else None
+def is_packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0)
 
 
-def inflated(data: bytes) -> bytes | None:
-    """The content of gzip or zlib data."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0):
-        return None
+def inflate(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The content of gzip or zlib data; what stands before a later error or a cut is content, too."""
+    d, some = zlib.decompressobj(zlib.MAX_WBITS | 32), False
     try:
-        d = zlib.decompressobj(zlib.MAX_WBITS | 32)
-        out = d.decompress(data, MOST_OUT + 1)
-        return out if d.eof and len(out) <= MOST_OUT else None
+        for chunk in chunks:
+            while chunk and not d.eof:
+                if out := d.decompress(chunk, 1 << 20):
+                    some = True
+                    yield out
+                chunk = d.unconsumed_tail
     except zlib.error:
-        return None
+        if not some:
+            raise
 
 
-def base64_text(blob: str) -> str | None:
-    """What a base64 or base64url blob holds, uncompressed, if it is text."""
-    body = blob.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _opens(first: bytes) -> bool:
+    """Whether a stream that starts so is compressed."""
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+        return is_packed(first) and bool(zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(first, 1 << 16))
+    except zlib.error:
+        return False
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The chunks of what gzip or zlib data hold in the end: compressed data in compressed data are inflated, too."""
     seen: set[bytes] = set()
-    while (inner := inflated(data)) is not None:  # compressed data in compressed data
+    while _opens(data):
         digest = hashlib.sha256(data).digest()
         if digest in seen:  # data that inflate to themselves
-            return None
+            return
         seen.add(digest)
-        data = inner
-    return readable(data)
-
-
-def spliced(text: str, parts: list[tuple[int, int, str, list[Span]]]) -> tuple[str, list[Span]]:
-    """The text with decoded stretches (start, end, characters, their spans) in their places."""
-    chars: list[str] = []
-    spans: list[Span] = []
-    at = 0
-    for a, b, inner, own in parts:
-        chars += [text[at:a], inner]
-        spans += [(k, k + 1) for k in range(at, a)]
-        spans += own
-        at = b
-    chars.append(text[at:])
-    spans += [(k, k + 1) for k in range(at, len(text))]
-    return "".join(chars), spans
-
-
-def unwrapped(text: str) -> Iterator[tuple[str, list[Span]]]:
-    """The layers directly inside a text, each with a span of the text for each of its characters.
-
-    Decoded stretches are layers of their own, and stand among their surroundings in a copy of the text.
+        stream, size, head = inflate([data]), 0, []
+        for chunk in stream:
+            head.append(chunk)
+            size += len(chunk)
+            if size > WINDOW:
+                break
+        if size > WINDOW:
+            stream = itertools.chain(head, stream)
+            while _opens(first := next(stream, b"")) and hashlib.sha256(first).digest() not in seen:
+                seen.add(hashlib.sha256(first).digest())
+                stream = inflate(itertools.chain([first], stream))
+            yield first
+            yield from stream
+            return
+        data = b"".join(head)
+    yield data
+
+
+def windows(chunks: Iterable[bytes]) -> Iterator[str]:
+    """The chunks as text, in windows that overlap; bytes that aren't UTF-8 become U+FFFD."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for chunk in chunks:
+        held += decoder.decode(chunk)
+        if len(held) > WINDOW:
+            yield held
+            held = held[-OVERLAP:]
+    yield held + decoder.decode(b"", True)
+
+
+def blob_texts(blob: str) -> Iterator[str]:
+    """The texts that a base64 or base64url blob holds, uncompressed.
+
+    If the blob as it stands is text or compressed data, that is all. Else it may be glued to other characters:
+    all four ways to group its characters are tried, and text or compressed data among other bytes counts.
     """
-    if "%" in text:
-        found = []
-        for m in URL.finditer(text):
-            parts = URL_ESCAPE.split(m[0])  # escapes have the odd places
-            if len(parts) == 1:
+    body = blob.rstrip("=").replace("-", "+").replace("_", "/")
+    ways = [_base64(body[k:]) for k in range(4)]
+    if len(body) % 4 != 1:
+        if _opens(ways[0]):
+            found = [text for text in windows(unpacked(ways[0])) if LEGIBLE.search(text)]
+            if found:
+                yield from found
+                return
+        elif (text := decoded_bytes(ways[0])) is not None:
+            if len(text) >= 4:
+                yield text
+            return
+    for k, data in enumerate(ways):
+        text = data.decode("utf-8", "replace")
+        if LEGIBLE.search(text):
+            yield text
+        for m in PACKED.finditer(data):
+            if (k or m.start()) and _opens(data[m.start() : m.start() + 4096]):
+                yield from (text for text in windows(unpacked(data[m.start() :])) if LEGIBLE.search(text))
+
+
+def _base64(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def _among(text: str, found: list[tuple[int, int, Splice]]) -> tuple[str, list[Segment]]:
+    """The text with decoded stretches in their places."""
+    out, at = Splice(), 0
+    for start, end, stretch in found:
+        out.plain(text, at, start)
+        out.splice(stretch)
+        at = end
+    out.plain(text, at, len(text))
+    return out.layer()
+
+
+def _url_stretches(text: str) -> list[tuple[int, int, Splice]]:
+    found = []
+    for m in URL.finditer(text):
+        parts = URL_ESCAPE.split(m[0])  # escapes have the odd places
+        if len(parts) == 1:
+            continue
+        stretch, at, any_decoded = Splice(), m.start(), False
+        for k, part in enumerate(parts):
+            plain = decoded_bytes(bytes.fromhex(part.replace("%", ""))) if k % 2 else None
+            if plain is None:  # bytes that aren't UTF-8 stay as they stand
+                stretch.plain(text, at, at + len(part))
+                at += len(part)
                 continue
-            chars: list[str] = []
-            spans: list[Span] = []
-            at = m.start()
-            for k, part in enumerate(parts):
-                plain = decoded_bytes(bytes.fromhex(part.replace("%", ""))) if k % 2 else None
-                if plain is None:  # bytes that aren't UTF-8 stay as they stand
-                    chars += part
-                    spans += [(at + j, at + j + 1) for j in range(len(part))]
-                    at += len(part)
-                    continue
-                for c in plain:
-                    n = 3 * len(c.encode("utf-8"))
-                    chars.append(c)
-                    spans.append((at, at + n))
-                    at += n
-            if len(spans) < len(m[0]):
-                found.append((m.start(), m.end(), "".join(chars), spans))
-        yield from ((inner, spans) for _, _, inner, spans in found)
-        if found:
-            yield spliced(text, found)
-    if "\\" in text or "&#" in text:
-        marks = list(UNICODE.finditer(text))
-        if marks:
-            chars, spans, at = [], [], 0
-            for m in marks:
-                chars += text[at : m.start()]
-                spans += [(k, k + 1) for k in range(at, m.start())]
-                code = int(m[6]) if m[6] else int(next(g for g in m.groups()[:5] if g), 16)
-                if code < 0x110000 and not 0xD800 <= code < 0xE000:
-                    chars.append(chr(code))
-                    spans.append(m.span())
-                else:
-                    chars += m[0]
-                    spans += [(k, k + 1) for k in range(*m.span())]
-                at = m.end()
-            chars += text[at:]
-            spans += [(k, k + 1) for k in range(at, len(text))]
-            yield "".join(chars), spans
-    found = [(*m.span(), inner, [m.span()] * len(inner)) for m in BASE64.finditer(text) if (inner := base64_text(m[0])) is not None]
-    yield from ((inner, spans) for _, _, inner, spans in found)
+            any_decoded = True
+            for c in plain:
+                n = 3 * len(c.encode("utf-8"))
+                stretch.decoded(c, at, at + n)
+                at += n
+        if any_decoded:
+            found.append((m.start(), m.end(), stretch))
+    return found
+
+
+def _unicode_stretches(text: str) -> list[tuple[int, int, Splice]]:
+    found = []
+    for m in UNICODE.finditer(text):
+        code = int(m[6]) if m[6] else int(next(g for g in m.groups()[:5] if g), 16)
+        if code < 0x110000 and not 0xD800 <= code < 0xE000:
+            stretch = Splice()
+            stretch.decoded(chr(code), *m.span())
+            found.append((*m.span(), stretch))
+    return found
+
+
+def unwrapped(text: str) -> Iterator[tuple[str, list[Segment]]]:
+    """The layers directly inside a text, with segments that map them to it.
+
+    Decoded URL and base64 stretches are layers of their own, and stand among their surroundings in a copy of the text.
+    """
+    found = _url_stretches(text) if "%" in text else []
+    yield from (stretch.layer() for _, _, stretch in found)
+    if found:
+        yield _among(text, found)
+    if ("\\" in text or "&#" in text) and (found := _unicode_stretches(text)):
+        yield _among(text, found)
+    found = []
+    for m in BASE64.finditer(text):
+        inner = list(blob_texts(m[0]))
+        yield from ((t, [(0, *m.span(), False)]) for t in inner)
+        if len(inner) == 1 and len(inner[0]) <= len(m[0]):
+            stretch = Splice()
+            stretch.decoded(inner[0], *m.span())
+            found.append((*m.span(), stretch))
     if found:
-        yield spliced(text, found)
+        yield _among(text, found)
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            lines = m[0].rstrip("=").split()
+            if len({len(line) for line in lines[:-1]}) == 1 and len(lines[-1]) <= len(lines[0]):
+                yield from ((t, [(0, *m.span(), False)]) for t in blob_texts("".join(lines)))
 
 
 def find_secrets(text: str | None) -> tuple[list[Find], list[Find]]:
     """(base finds, all finds): spans in code points of the text, end exclusive."""
-    text = text or ""
-    base = scan_layer(text)
+    first = Layer(text or "", [], None)
+    base = scan_layer(first.text)
     every = set(base)
-    seen: set[tuple[str, int]] = set()  # texts with a hash of the places of their characters
-    work: list[tuple[str, list[Span] | None]] = [(text, None)]
+    seen: set[tuple[str, int]] = set()  # texts with a hash of the places that they come from
+    work = [first]
     while work:
-        layer, origin = work.pop()
-        for inner, spans in unwrapped(layer):
-            if origin is not None:
-                spans = [(origin[a][0], origin[b - 1][1]) for a, b in spans]
-            place = (inner, hash(tuple(spans)))
+        around = work.pop()
+        for inner, segments in unwrapped(around.text):
+            place = (inner, hash(tuple((at, itself, *around.outermost(a, b)) for at, a, b, itself in segments)))
             if place in seen:
                 continue
             seen.add(place)
-            for kind, a, b in scan_layer(inner):
-                every.add((kind, min(s for s, _ in spans[a:b]), max(e for _, e in spans[a:b])))
-            work.append((inner, spans))
+            layer = Layer(inner, segments, around)
+            every |= {(kind, *layer.outermost(a, b)) for kind, a, b in scan_layer(inner)}
+            work.append(layer)
     return base, in_order(every)
 
 
