@@ -1,16 +1,19 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule compares one feature of a text with a cutoff. Cutoffs come from documents
-labelled good: per stratum (language), a cutoff is safe if an exact binomial (Clopper-Pearson) bound says
-that it rejects less than ALPHA of the good documents of the stratum, at a confidence
-corrected (Bonferroni) for all strata, rules and candidate cutoffs that are tried. Among the safe
-cutoffs the one that rejects the most documents labelled bad is used, ties to the gentlest.
-With too few labels nothing is safe and the rule stays off.
-
-Defined results: null and empty texts have no words and fail the base rule; a null
+Each rule compares one feature of a text with a cutoff. Cutoffs are chosen per stratum (language), so that all rules together reject less than ALPHA of
+the stratum's good documents, with a confidence of 1 - DELTA over all strata:
+
+* A third of the labelled documents, by hash, orders the steps. A step makes one rule stricter; steps come in the order of the good documents that the rule rejects there, so each step's rules
+  reject all that the steps before reject.
+* The other labelled documents test the steps in that order. A step passes if an exact binomial (Clopper-Pearson) bound on the share of good documents that the
+  rules reject together is below ALPHA at confidence 1 - DELTA / strata (Bonferroni); the first step that fails ends the tests
+  (fixed-sequence testing, so that no further correction is needed).
+* The last step that passes gives the cutoffs. With too few labels none passes and the rules stay off.
+
+Defined results: null and empty texts have no words and fail the base rule; very long texts are counted whole; a null
 lang is a stratum of its own; documents of a stratum without labels are judged by the base rule
-alone; labels that repeat or are null: a document with any label 0 is bad, null labels are ignored; an
-empty table gives no rows. Rows that repeat are judged each.
+alone; labels that repeat or are null: a document with any label 0 is bad, null labels are ignored; ties in the order of steps go by the rules' order, gentler cutoffs first; an
+empty table gives no rows. Rows that repeat are judged each. Extra columns ride along in ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,18 +21,20 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, lean, written
+from .common import free_names, lean, with_membership, written
 
-#: False rejection allowed per rule and stratum, and the chance that any of the bounds fails.
+#: False rejection allowed per stratum, by all rules together, and the chance that any stratum's bound fails.
 ALPHA, DELTA = 0.01, 0.05
+#: One labelled document in so many orders the steps, the others test them.
+ORDERING = 3
 #: Rules: a feature, and the cutoffs tried; a text is rejected if its feature is above.
 RULES: dict[str, tuple[float, ...]] = {
     "symbol_share": tuple(k / 100 for k in range(2, 32, 2)),
@@ -152,39 +157,86 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def _choose(pdf: pd.DataFrame, alpha: float, delta: float) -> pd.DataFrame:
-    """Of one stratum and rule, the safe cutoff that rejects the most bad documents."""
-    best = None
-    for r in pdf.itertuples():
-        # the bound is at most alpha just if so few rejections would be that unlikely at a rate of alpha
-        if r.bad_hit > 0 and binomial_cdf(int(r.good_hit), int(r.good), alpha) <= delta / max(1, int(r.tests)):
-            key = (r.bad_hit, r.cutoff)
-            best = max(best, key) if best else key
+STEPS = "no_stratum boolean, stratum string, rule string, cutoff double, step int"
+
+
+def _order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The steps of one stratum in order: cutoffs that reject bad documents, and more of them than the rule's gentler cutoffs."""
+    names, steps = list(RULES), []
+    for r in pdf.sort_values(["rule", "cutoff"], ascending=[True, False]).itertuples():
+        steps.append((int(r.good_hit), names.index(r.rule), -float(r.cutoff), int(r.bad_hit)))
+    chosen, most = [], dict.fromkeys(range(len(names)), 0)
+    for good, rule, cutoff, bad in sorted(steps):
+        if bad > most[rule]:
+            most[rule] = bad
+            chosen.append((names[rule], -cutoff))
     one = pdf.iloc[0]
-    rows = [(one.no_stratum, one.stratum, one.rule, float(best[1]))] if best else []
+    rows = [(bool(one.no_stratum), one.stratum, rule, cutoff, k) for k, (rule, cutoff) in enumerate(chosen)]
+    return pd.DataFrame(rows, columns=["no_stratum", "stratum", "rule", "cutoff", "step"])
+
+
+def last_safe_step(hits: dict[int, int], good: int, steps: int, alpha: float, delta: float) -> int:
+    """The last step that passes, or -1; hits: good documents by the first step that rejects them."""
+    rejected = 0
+    for step in range(steps):
+        rejected += hits.get(step, 0)
+        # the bound is at most alpha just if so few rejections would be that unlikely at a rate of alpha
+        if binomial_cdf(rejected, good, alpha) > delta:
+            return step - 1
+    return steps - 1
+
+
+def _test(pdf: pd.DataFrame, alpha: float, delta: float) -> pd.DataFrame:
+    """The cutoffs of one stratum; rows: good documents by first rejecting step (-1: by none), and the steps themselves."""
+    one, steps = pdf.iloc[0], pdf[pdf["rule"].notna()]
+    found = pdf[pdf["rule"].isna()]
+    hits = dict(zip(found["step"].astype(int), found["n"].astype(int), strict=True))
+    last = last_safe_step(hits, sum(hits.values()), len(steps), alpha, delta / max(1, int(pdf["strata"].max())))
+    passed = steps[steps["step"] <= last].groupby("rule")["cutoff"].min()
+    rows = [(bool(one.no_stratum), one.stratum, rule, float(cutoff)) for rule, cutoff in passed.items()]
     return pd.DataFrame(rows, columns=["no_stratum", "stratum", "rule", "cutoff"])
 
 
-def fit_cutoffs(features: DataFrame, labels: DataFrame, names: dict[str, str], alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, is_good) of the documents with a label."""
+    return labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") >= 1).alias("is_good"))
+
+
+def fit_cutoffs(features: DataFrame, names: dict[str, str], alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum: no_stratum, stratum and a cutoff per rule (null: off).
 
-    features: doc_id, lang and the feature columns. Counting is one grouped pass over the labelled
-    documents; a stratum and rule leave as many rows as there are cutoffs.
+    features: doc_id, lang, is_good and the feature columns of the labelled documents. All counting is by groups; a stratum leaves as many rows as there are
+    cutoffs. Rows that repeat a doc_id count once.
     """
-    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    rows = features.join(known, "doc_id").select(F.col("lang").isNull().alias("no_stratum"), F.coalesce("lang", F.lit("")).alias("stratum"), (F.col("label") >= 1).alias("is_good"), *[F.col(names[r]).alias(r) for r in RULES])
-    hits = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{k}") for r, cuts in RULES.items() for k, c in enumerate(cuts)]
-    counts = rows.groupBy("no_stratum", "stratum", "is_good").agg(F.count(F.lit(1)).alias("n"), *hits)
-    long = counts.select("no_stratum", "stratum", "is_good", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{k}").alias("hit")) for r, cuts in RULES.items() for k, c in enumerate(cuts)])).alias("x"))
-    side = lambda good, what: F.coalesce(F.max(F.when(F.col("is_good") == good, F.col(what))), F.lit(0))
-    table = long.select("*", "x.*").groupBy("no_stratum", "stratum", "rule", "cutoff").agg(side(True, "n").alias("good"), side(True, "hit").alias("good_hit"), side(False, "hit").alias("bad_hit"))
-    table = written(table, "quality-counts")
-    tests = table.count()
-    chosen = table.withColumn("tests", F.lit(tests)).groupBy("no_stratum", "stratum", "rule").applyInPandas(lambda pdf: _choose(pdf, alpha, delta), "no_stratum boolean, stratum string, rule string, cutoff double")
-    wide = chosen.groupBy("no_stratum", "stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    stratum = ["no_stratum", "stratum"]
+    rows = features.dropDuplicates(["doc_id"]).select("doc_id", F.col("lang").isNull().alias("no_stratum"), F.coalesce("lang", F.lit("")).alias("stratum"), "is_good", *[F.col(names[r]).alias(r) for r in RULES])
+    rows = written(rows.withColumn("orders", F.pmod(F.xxhash64("doc_id"), F.lit(ORDERING)) == 0), "quality-labelled")
+    every = [(r, k, float(c)) for r, cuts in RULES.items() for k, c in enumerate(cuts)]
+    counts = rows.filter("orders").groupBy(*stratum, "is_good").agg(*[F.expr(f"count_if({r} > {c!r}D) AS {r}_{k}") for r, k, c in every])
+    cells = ", ".join(f"struct('{r}' AS rule, {c!r}D AS cutoff, {r}_{k} AS hit)" for r, k, c in every)
+    long = counts.select(*stratum, "is_good", F.explode(F.expr(f"array({cells})")).alias("x"))
+    side = lambda good: F.coalesce(F.max(F.when(F.col("is_good") == good, F.col("hit"))), F.lit(0))
+    table = long.select("*", "x.*").groupBy(*stratum, "rule", "cutoff").agg(side(True).alias("good_hit"), side(False).alias("bad_hit"))
+    steps = written(table.groupBy(*stratum).applyInPandas(_order, STEPS), "quality-steps")
+
+    # each good document of the others by the first step that rejects it
+    wide = steps.groupBy(*stratum).agg(*[F.collect_list(F.when(F.col("rule") == r, F.struct("step", "cutoff"))).alias(f"steps_{r}") for r in RULES])
+    tested = rows.filter("not orders and is_good").join(wide, stratum)
+    beyond = 1 << 30
+    first = F.least(*[F.coalesce(F.array_min(F.transform(F.filter(f"steps_{r}", _under(r)), lambda x: x["step"])), F.lit(beyond)) for r in RULES])
+    seen = tested.groupBy(*stratum, first.alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.select(*stratum, F.lit(None).cast("string").alias("rule"), F.lit(None).cast("double").alias("cutoff"), F.when(F.col("first") == beyond, -1).otherwise(F.col("first")).cast("int").alias("step"), "n")
+    both = written(seen.unionByName(steps.withColumn("n", F.lit(0).cast("long"))), "quality-tests")
+    strata = rows.select(*stratum).distinct().count()
+    chosen = both.withColumn("strata", F.lit(strata)).groupBy(*stratum).applyInPandas(lambda pdf: _test(pdf, alpha, delta), "no_stratum boolean, stratum string, rule string, cutoff double")
+    wide = chosen.groupBy(*stratum).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
     return written(wide, "quality-cutoffs")
 
 
+def _under(rule: str) -> Callable[[Column], Column]:
+    return lambda x: F.col(rule) > x["cutoff"]
+
+
 def judge(rows: DataFrame, cutoffs: DataFrame, names: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
     """rows with base_failed and kept. The cutoffs are one row a stratum; Spark broadcasts them if their size allows."""
     own = free_names(rows, "base_failed", "kept", "no_stratum", "stratum", *[f"cut_{r}" for r in RULES])
@@ -199,14 +251,16 @@ def judge(rows: DataFrame, cutoffs: DataFrame, names: dict[str, str]) -> tuple[D
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows, names = with_features(docs.select("doc_id", "lang", "text"), keep_text=False)
     rows = written(rows, "quality-features")
-    rows, own = judge(rows, fit_cutoffs(rows, labels, names), names)
+    rows, own = judge(rows, fit_cutoffs(rows.join(labelled(labels), "doc_id"), names), names)
     return rows.select("doc_id", *BASE, F.col(own["base_failed"]), F.col(own["kept"]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns. Features are computed twice, for the cutoffs and for the verdicts, so that no text is shuffled or stored."""
-    narrow, names = with_features(docs.select("doc_id", "lang", "text"), keep_text=False)
-    cutoffs = fit_cutoffs(narrow, labels, names)
+    """The rows of docs that the rules keep, with docs' columns. Cutoffs come from features of the labelled documents alone; the membership filter finds them in the scan, so no text is shuffled."""
+    known = labelled(labels)
+    rows = with_membership(docs.select("doc_id", "lang", "text"), F.xxhash64("doc_id"), known.select(F.xxhash64("doc_id").alias("h")), "maybe").filter("maybe").drop("maybe")
+    narrow, names = with_features(rows, keep_text=False)
+    cutoffs = fit_cutoffs(narrow.join(known, "doc_id"), names)
     rows, names = with_features(docs, keep_text=True)
     rows, own = judge(rows, cutoffs, names)
     return rows.filter(F.col(own["kept"])).select(*[F.col(f"`{c}`") for c in docs.columns])
