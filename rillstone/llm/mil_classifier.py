@@ -4,10 +4,10 @@ A text is a bag of passages of PASSAGE bytes. Each passage is encoded by byte-cl
 and hashed byte pairs. A gated attention layer, learned from document labels alone, weighs
 the passages; the score is a logistic unit on the weighted passage representation.
 
-Training takes at most SAMPLE labelled documents, those with the smallest hashes, and at most
-BAG passages of each, evenly spread; scoring encodes every passage of every text.
+Training takes at most SAMPLE labelled documents, those with the smallest hashes, and every passage of them: where a document
+has more than BAG, neighbouring passages are averaged into BAG, so that a bound holds for the driver; scoring encodes every passage of every text.
 
-Defined results: null and empty texts are one empty passage and get a score; labels that are null
+Defined results: null and empty texts are one empty passage and get a score; very long texts are many passages; ties in the hash of ids are ordered by doc_id; labels that are null
 are not learned from; with labels of one class only, or none, every score is the share of label 1 (0.5
 without labels); rows that repeat are scored each; a null doc_id counts as the empty text for
 held_out; an empty table gives no rows. Extra columns are ignored.
@@ -73,7 +73,8 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1):
             x = encode(text.as_py())
             if len(x) > BAG:
-                x = x[np.linspace(0, len(x) - 1, BAG).round().astype(int)]
+                starts = np.arange(BAG) * len(x) // BAG
+                x = np.add.reduceat(x, starts) / np.diff(starts, append=len(x))[:, None]
             bags.append(x.astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], names=["label", "bag"])
 
