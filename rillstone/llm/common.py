@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import scratch_dir, written
+from ..sources.scratch import discard, scratch_dir, written
 from ..sources.tables import table
 
-__all__ = ["BUCKET_ROWS", "WORD", "buckets_for", "free_names", "lean", "running_sum", "scratch_dir", "table", "unit_hash", "with_membership", "written"]
+__all__ = ["BUCKET_ROWS", "WORD", "buckets_for", "discard", "free_names", "hot_join", "lean", "running_sum", "scratch_dir", "table", "unit_hash", "with_membership", "written"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,13 +77,30 @@ def with_membership(df: DataFrame, key: Column, members: DataFrame, out: str) ->
     n = members.count()
     while bits < 32 * n and bits < MOST_BITS:
         bits *= 2
+    own = free_names(df, "_word", "_bits")
     at = F.pmod(F.col(column), F.lit(bits))
-    bitmap = members.filter(F.col(column).isNotNull()).groupBy(F.floor(at / 32768).cast("int").alias("_word")).agg(F.bitmap_construct_agg((at % 32768).cast("long")).alias("_bits"))
+    bitmap = members.filter(F.col(column).isNotNull()).groupBy(F.floor(at / 32768).cast("int").alias(own["_word"])).agg(F.bitmap_construct_agg((at % 32768).cast("long")).alias(own["_bits"]))
     place = F.pmod(key, F.lit(bits))
-    byte = F.substring("_bits", (place % 32768 / 8).cast("int") + 1, F.lit(1))
+    byte = F.substring(own["_bits"], (place % 32768 / 8).cast("int") + 1, F.lit(1))
     hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")) == 1
-    df = df.withColumn("_word", F.floor(place / 32768).cast("int")).join(F.broadcast(bitmap), "_word", "left")
-    return df.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_word", "_bits")
+    df = df.withColumn(own["_word"], F.floor(place / 32768).cast("int")).join(F.broadcast(bitmap), own["_word"], "left")
+    return df.withColumn(out, F.coalesce(hit, F.lit(False))).drop(*own.values())
+
+
+#: A key with over this share of all rows is hot; at most 1 / HOT such keys exist.
+HOT = 1 / 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join with ``right``, one row a key, whose column ``rows`` says how many of the ``total`` rows of left have the key.
+
+    Hot keys meet by broadcast (at most 1 / HOT rows), so that none of them fills one task; the others
+    are shuffled. Both sides are read twice, so they should be tables; keys are not null.
+    """
+    least = max(1000, int(total * HOT))
+    hot, light = right.filter(F.col(rows) > least), right.filter(F.col(rows) <= least)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(light, on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
 
 
 #: Rows that a Python worker handles at once.

@@ -2,9 +2,10 @@
 
 Texts are equal when identical after each run of ASCII white space is one space.
 
-Defined results: a null text counts as empty; a null doc_id counts as larger than any
-other; rows that repeat a doc_id and a text belong to its group, and one of them stays;
-an empty table gives no rows. Extra columns ride along in ``drop_copies``.
+Defined results: a null text counts as empty; very long texts are hashed and compared whole; a null doc_id counts as larger than any
+other; rows that repeat a doc_id and a text belong to its group, and one of them stays, of ties in normalised text the one
+whose text has the smallest hash;
+an empty table gives no rows. Extra columns ride along in ``drop_copies``, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_names, with_membership, written
+from .common import free_names, hot_join, with_membership, written
 
 #: A group over this share of all rows is salted when its bytes are compared: at most 1 / share such groups exist.
 HEAVY = 1 / 1000
@@ -44,8 +45,7 @@ def content_groups(docs: DataFrame, hash_fn: Callable[[Column], Column] = hash12
     clash = written(_collisions(rows, groups, total), "dedup-collisions")
     if not clash.isEmpty():
         return _split(rows, units, groups, clash)
-    joined = units.join(groups, "h")
-    return _rows(joined)
+    return _rows(hot_join(units, groups, ["h"], "group_size", total))
 
 
 def _rows(joined: DataFrame) -> DataFrame:
@@ -85,16 +85,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame, hash_fn: Callable[[Column], Column] = hash128) -> DataFrame:
     """docs without the rows whose text another row keeps; all columns stay."""
-    groups = written(content_groups(docs, hash_fn).filter("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "dedup-verdicts")
-    n = free_names(docs, "_key", "_maybe", "_first")
+    n = free_names(docs, "_key", "_maybe", "_first", "_id", "_sha")
+    groups = content_groups(docs, hash_fn).filter("group_size > 1").select(F.col("doc_id").alias(n["_id"]), F.col("text_sha256").alias(n["_sha"]), F.col("kept").alias("stays"))
+    groups = written(groups, "dedup-verdicts")
+    both = [n["_id"], n["_sha"]]
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.withColumn(n["_key"], F.sha2(normalised(F.col("text")).cast("binary"), 256))
     # texts that surely have no copy pass; the others meet the verdicts on their groups
-    rows = with_membership(rows, F.xxhash64(n["_key"]), groups.select(F.xxhash64("_sha").alias("k")), n["_maybe"])
+    rows = with_membership(rows, F.xxhash64(n["_key"]), groups.select(F.xxhash64(n["_sha"]).alias("k")), n["_maybe"])
     alone = rows.filter(~F.col(n["_maybe"])).select(*columns)
     rows = rows.filter(n["_maybe"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(n["_key"]) == F.col("_sha"))
-    rows = rows.join(groups.filter("not kept").select("_id", "_sha").join(groups.filter("kept").select("_id", "_sha"), ["_id", "_sha"], "left_anti"), same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col(n["_id"])) & (F.col(n["_key"]) == F.col(n["_sha"]))
+    goes = groups.groupBy(*both).agg(F.max("stays").alias("stays")).filter("not stays").select(*both)
+    rows = rows.join(goes, same, "left_anti")
     one = Window.partitionBy("doc_id", n["_key"]).orderBy(F.xxhash64("text"))
     rows = rows.withColumn(n["_first"], F.row_number().over(one)).filter(F.col(n["_first"]) == 1)
     return alone.unionByName(rows.select(*columns))

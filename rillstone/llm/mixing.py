@@ -5,9 +5,9 @@ Every source gets a target number of words and a weight schedule over training t
 a document's cumulative words into its training position. Documents are then
 range-sorted by position.
 
-Defined results: null or empty texts have size 0 and are never drawn; a null source is
+Defined results: null or empty texts have size 0 and are never drawn; very long texts are counted whole; a null source is
 a source of its own, the last; rows that repeat are documents of their own; an empty
-table gives an empty mix; ties are ordered by the hash of doc_id, doc_id, then size.
+table gives an empty mix; ties are ordered by the hash of doc_id, doc_id, then size. Extra columns ride along in ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BUCKET_ROWS, WORD, buckets_for, running_sum, unit_hash, written
+from .common import BUCKET_ROWS, WORD, buckets_for, free_names, running_sum, unit_hash, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -137,12 +137,13 @@ def _with_offsets(rows: DataFrame, narrow: DataFrame, groups: list[str], buckets
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The training order: docs' columns plus training_position and epoch, one row per draw, range-sorted by position.
 
-    Documents are drawn whole here.
+    Documents are drawn whole here. Where docs has a column of one of these names, the added one gets an underscore at its end.
     """
     rows = assign_positions(docs, **({"split_last": False} | options), carry=True)
+    own = free_names(docs, "training_position", "epoch")
     rows = rows.select("doc", F.explode("draws").alias("draw"))
-    rows = rows.select("doc.*", F.col("draw.position").alias("training_position"), F.col("draw.epoch").alias("epoch"))
-    return rows.orderBy("training_position", "doc_id", "epoch")
+    rows = rows.orderBy(F.col("draw.position"), F.col("doc.doc_id"), F.col("draw.epoch"))
+    return rows.select("doc.*", F.col("draw.position").alias(own["training_position"]), F.col("draw.epoch").alias(own["epoch"]))
 
 
 def curriculum(docs: DataFrame) -> DataFrame:

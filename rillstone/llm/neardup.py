@@ -14,14 +14,17 @@ over the threshold are candidates. The nodes of a long posting are not paired, t
 family with whatever candidates join to them. A family is compared in blocks of BLOCK nodes, or fewer where
 sets are so large that a block would hold over BLOCK_SHINGLES:
 collisions are counted inside the task, pairs over the threshold that aren't yet connected are confirmed on the full
-sets, and only a spanning forest of confirmed links leaves the task.
+sets, and only a spanning forest of confirmed links leaves the task. In a family of several blocks each block is first
+compared with itself and with the family's center. Nodes that this connects to the center, the core, needn't be
+compared with each other any more; the others are dealt into blocks of their own and meet each other and the core.
+So a family of n copies of one text costs about n, not n squared.
 
 With 48 coordinates and 23 matches, a pair at exactly 0.75 is missed with a chance of about 3e-5.
 
 Defined results: null texts and texts without words have an empty set, component_id = doc_id and no
-link; with under five words the whole sequence is the one shingle; rows that repeat share a node;
-null doc_ids are larger than any other; an empty table gives no rows. Extra columns are ignored or, in ``drop_near_copies``,
-kept.
+link; with under five words the whole sequence is the one shingle; very long texts are compared by whole sets; rows that repeat share a node;
+null doc_ids are larger than any other, and ties don't arise, as the smallest doc_id names a component and the text's hash decides among texts under
+it; an empty table gives no rows. Extra columns are ignored or, in ``drop_near_copies``, kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_names, lean, with_membership, written
+from .common import discard, free_names, hot_join, lean, with_membership, written
 
 WIDTH, COORDINATES, MATCHES = 5, 48, 23
 #: A link: PERCENT of the union at least is shared.
@@ -191,13 +194,15 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "near-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
-        moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        moved = labels.select("node", "label").join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = written(moved.join(far, "label").select("node", "old", F.least("label", "further").alias("label")), "near-labels")
         changed = not moved.filter("old <> label").isEmpty()
-        labels = moved.select("node", "label")
+        discard(labels)
         if not changed:
-            return labels
+            discard(both)
+            return moved.select("node", "label")
+        labels = moved
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +229,66 @@ def sharing_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.join(shared, "node")
 
 
-def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hash, n, node) for each row of docs, and (node, component, label) for the nodes that have a link; hash: of the text, component: the smallest doc_id, label: the smallest node."""
+def _blocks(n: str, shingles: str) -> Column:
+    """Blocks for ``n`` nodes with so many shingles in all."""
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, shingles) of the texts of members (doc_id), perhaps with others; the membership filter keeps other texts out of the shuffle."""
+    texts = with_membership(docs.select("doc_id", "text"), F.xxhash64("doc_id"), members.select(F.xxhash64("doc_id").alias("h")), "maybe").filter("maybe")
+    return texts.select("text").mapInArrow(_shingle_sets, "node binary, shingles binary")
+
+
+def _compared(tasks: DataFrame) -> DataFrame:
+    """Confirmed links (u, v) of tasks: rows node, family, blocks, n, sig, shingles, block, i, j."""
+    tasks = tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return tasks.mapInArrow(_families, "blocks int, u binary, v binary")
+
+
+def family_links(docs: DataFrame, family: DataFrame) -> DataFrame:
+    """Confirmed links (blocks, u, v) that connect whatever is linked within a family; family: node, doc_id, n, sig, family, blocks."""
+    columns = ["node", "family", "blocks", "n", "sig", "shingles"]
+    small, big = family.filter("blocks = 1"), family.filter("blocks > 1")
+    zero = F.lit(0)
+    held = small.join(_sets_of(docs, small), "node").select(*columns, zero.alias("block"), zero.alias("i"), zero.alias("j"))
+    if big.isEmpty():
+        return written(_compared(held), "near-links")
+    big = written(big.join(_sets_of(docs, big), "node").dropDuplicates(["node"]).select(*columns), "near-big")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    place = F.when(F.col("node") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))  # the center goes to every block
+    inside = big.withColumn("block", F.explode(place)).select(*columns, "block", F.col("block").alias("i"), F.col("block").alias("j"))
+    first = written(_compared(held.unionByName(inside)), "near-links")
+
+    labels = components(first.filter("blocks > 1").select("u", "v"))
+    named = big.select("node", "family", "n").join(labels, "node", "left").select("node", "family", "n", F.coalesce("label", "node").alias("label"))
+    centers = named.filter(F.col("node") == F.col("family")).select("family", F.col("label").alias("center"))
+    sizes = named.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    total = big.count()
+    marked = written(hot_join(written(named, "near-named"), written(centers.join(sizes, "family"), "near-centers"), ["family"], "members", total).select("node", "family", "n", "members", (F.col("label") == F.col("center")).alias("core")), "near-marked")
+    side = lambda what, core: F.coalesce(F.sum(F.when(F.col("core") == core, what)), F.lit(0))
+    split = marked.groupBy("family").agg(*[side(F.lit(1), c).alias(f"nodes_{c}") for c in (True, False)], *[side(F.col("n"), c).alias(f"shingles_{c}") for c in (True, False)], F.max("members").alias("members"))
+    split = written(split.filter("nodes_false > 0").select("family", "members", _blocks("nodes_true", "shingles_true").alias("core_blocks"), _blocks("nodes_false", "shingles_false").alias("rest_blocks")), "near-splits")
+    rows = hot_join(marked.select("node", "family", "core"), split, ["family"], "members", total)
+    rows = rows.join(big.select("node", "n", "sig", "shingles"), "node").withColumn("blocks", F.col("core_blocks") + F.col("rest_blocks"))
+    # the rest has the first blocks and meets all; the core has the others and meets the rest
+    block = F.when(F.col("core"), F.col("rest_blocks") + F.pmod(F.xxhash64("node"), F.col("core_blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest_blocks"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("core"), F.col("rest_blocks")).otherwise(F.col("blocks")) - 1))
+    rows = rows.withColumn("block", block).withColumn("other", other)
+    rows = rows.select(*columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return first.unionByName(written(_compared(rows), "near-links"))
+
+
+def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, hash, n, node) for each row of docs, (node, doc_id, copies) of the distinct sets, and (node, component, label) for the nodes that have a link.
+
+    hash: of the text, copies: rows of the set, component: the smallest doc_id, label: the smallest node.
+    """
     kind = dict(docs.dtypes)["doc_id"]
     rows = written(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_signatures, f"doc_id {kind}, hash long, n long, node binary, sig binary"), "near-signatures")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "near-nodes")
-    sharing = written(sharing_nodes(nodes), "near-sharing")
+    sharing = written(sharing_nodes(nodes.drop("copies")), "near-sharing")
 
     # the prefix: the rarest c - MATCHES + 1 pairs; its coordinates also as a bit mask
     prefix = F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)
@@ -241,31 +299,23 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     candidates = short.mapInArrow(_short_postings, "u binary, v binary")
     stars = posts.select("node", "pair").join(stats.filter(F.col("size") > SHORT), "pair").filter("node <> center").select(F.col("node").alias("u"), F.col("center").alias("v"))
     family = components(candidates.unionByName(stars)).withColumnRenamed("label", "family")
-    sizes = family.join(nodes.select("node", "n"), "node").groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    family = written(family.join(sizes, "family").join(nodes.select("node", "doc_id", "n", "sig"), "node"), "near-families")
-
-    # full sets of the nodes in families, from the texts; the membership filter keeps other texts out of the shuffle
-    wanted = family.select(F.xxhash64("doc_id").alias("h"))
-    texts = with_membership(docs.select("doc_id", "text"), F.xxhash64("doc_id"), wanted, "_maybe").filter("_maybe")
-    sets = texts.select("text").mapInArrow(_shingle_sets, "node binary, shingles binary")
-    held = family.join(sets, "node").select("node", "family", "blocks", "n", "sig", "shingles", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    tasks = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    tasks = tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    links = written(tasks.mapInArrow(_families, "blocks int, u binary, v binary"), "near-links")
+    family = written(family.join(nodes.select("node", "doc_id", "n", "sig"), "node"), "near-members")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).select("family", "members", _blocks("members", "shingles").alias("blocks"))
+    family = written(hot_join(family, written(sizes, "near-sizes"), ["family"], "members", family.count()).drop("members"), "near-families")
 
-    labels = components(links.select("u", "v"))
+    labels = components(family_links(docs, family).select("u", "v"))
     named = labels.join(nodes.select("node", "doc_id"), "node")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component"))
-    return rows.select("doc_id", "hash", "n", "node"), named.join(least, "label").select("node", "component", "label")
+    return rows.select("doc_id", "hash", "n", "node"), nodes.select("node", "doc_id", "copies"), named.join(least, "label").select("node", "component", "label")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, hash, n_shingles, component_id, kept, set; set: a key of the component, null for texts without words."""
-    rows, linked = near_components(docs)
-    own = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))
-    known = written(own.join(linked, "node", "left").select("node", F.coalesce("component", "own").alias("component_id"), F.coalesce("label", "node").alias("set")), "near-known")
-    out = rows.join(known, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    rows, nodes, linked = near_components(docs)
+    known = nodes.join(linked, "node", "left").select("node", "copies", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("label", "node").alias("set"))
+    out = hot_join(rows.filter("node is not null"), written(known, "near-known"), ["node"], "copies", rows.count())
+    none = rows.filter("node is null").withColumn("component_id", F.col("doc_id")).withColumn("set", F.col("node"))
+    out = out.drop("copies").unionByName(none)
     return out.select("doc_id", "hash", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set")
 
 
