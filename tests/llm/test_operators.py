@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips, held-out accuracy and odd tables."""
 
 import collections
+import gzip
 import hashlib
 import itertools
 import json
@@ -11,7 +12,7 @@ import re
 import time
 import urllib.parse
 import zlib
-from base64 import b64encode
+from base64 import b64encode, encodebytes
 
 import pytest
 
@@ -72,6 +73,43 @@ def test_empty_table(name, odd, labels, spark):
     assert REPORTS[name](none, spark.createDataFrame([], labels.schema)).collect() == []
 
 
+def helper_names():
+    """Every name in quotes in the sources: whatever a helper column is called."""
+    folder = os.path.dirname(exact_dedup.__file__)
+    found = set()
+    for n in sorted(os.listdir(folder)):
+        if n.endswith(".py"):
+            with open(os.path.join(folder, n)) as f:
+                found |= {x.lower() for x in re.findall(r'"([A-Za-z_]\w*)"', f.read())}
+    return sorted(found - {"doc_id", "text", "lang", "source", "n_chars"})
+
+
+STAGES = ("keep_good", "drop_copies", "drop_near", "mix")
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_columns_of_any_helper_name(name, spark, labels):
+    names = helper_names()
+    assert {"_id", "_sha", "_word", "_bits", "training_position", "epoch", "doc", "kept"} <= set(names)
+    schema = DOCS + "".join(f", `{n}` string" for n in names)
+    given = [*ODD, (8, prose(random.Random(14), 30, 10**6), "en", "a", 0)]
+    docs = spark.createDataFrame([(*r, *[f"{n} {k}" for n in names]) for k, r in enumerate(given)], schema)
+    out = REPORTS[name](docs, labels)
+    assert out.columns[: len(docs.columns)] == docs.columns if name == "mix" else out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[n].startswith(n + " ") for r in rows for n in names)
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_null_only_and_long_tables(name, spark, labels):
+    nulls = REPORTS[name](spark.createDataFrame([(None,) * 5] * 3, DOCS), labels).collect()
+    assert len(nulls) == {"keep_good": 0, "drop_copies": 1, "drop_near": 1, "mix": 0}.get(name, 3)
+    rng = random.Random(11)
+    long = [prose(rng, 300_000, 10**6), "x" * 2_000_000, "\n" * 2_000_000, " \t" * 1_000_000 + "end"]
+    rows = REPORTS[name](documents(spark, long).repartition(2), labels).collect()
+    assert len({r["doc_id"] for r in rows}) >= {"keep_good": 1, "drop_copies": 4, "drop_near": 4, "mix": 1}.get(name, 4)
+
+
 def test_membership_has_no_false_negative(spark):
     some = spark.range(0, 100_000, 7).selectExpr("xxhash64(id) as h")
     from pyspark.sql import functions as F
@@ -246,6 +284,38 @@ def test_cutoffs_limit_false_rejections(spark):
     assert {r["doc_id"] for r in quality_rules.keep_good(docs, labels).collect()} == {i for i, k in kept.items() if k}
 
 
+def test_all_rules_together_stay_under_alpha():
+    """Fresh good documents, over many draws: the true rate of the last safe step is above ALPHA in few of them."""
+    rng = random.Random(12)
+    rates = [0.0005 * k for k in range(1, 60)]  # what the rules together truly reject, by step
+    wrong, steps = 0, []
+    for _ in range(300):
+        n, hits = 2000, collections.Counter()
+        for _ in range(n):
+            u = rng.random()
+            hits[next((k for k, r in enumerate(rates) if u < r), -1)] += 1
+        last = quality_rules.last_safe_step(hits, n, len(rates), 0.01, 0.05)
+        steps.append(last)
+        wrong += last >= 0 and rates[last] > 0.01
+    assert wrong <= 0.08 * 300 and sum(steps) / len(steps) > 5
+
+
+def test_false_rejections_of_several_rules_are_bounded_together(spark):
+    """Every rule meets its own few good documents; together they would pass ALPHA."""
+    rng = random.Random(13)
+    rows, marks = [], []
+    marked = lambda mark: " ".join(f"w{rng.randrange(9**6)}{mark}" for _ in range(30))
+    for i in range(9000):
+        bad, odd = i % 2, i % 150 == 0
+        text = marked(rng.choice(["***", "!!", " |"])) if bad or odd else marked("")
+        rows.append((i, text, "en", "s", 0))
+        marks.append((i, 1 - bad, 0))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] and not r["base_failed"] for r in quality_rules.report(docs, labels).collect()}
+    good = [kept[i] for i in range(0, 9000, 2)]
+    assert sum(not k for k in good) <= 0.01 * len(good)
+
+
 # 5
 
 
@@ -283,6 +353,17 @@ def test_fast_ids_equal_slow_ids():
         assert encode(text) == encode.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_blanks(monkeypatch):
+    encode = packing.Encoder(packing.default_tokenizer())
+    for blank in (" ", "\n", "\t", " \n"):
+        assert len(encode("a" + blank * 1_000_000 + "b c")) > 100_000  # the plain splitter would overflow its stack
+    monkeypatch.setattr(packing, "LONG_BLANK", re.compile(r"[ \t\n\r]{4,}"))
+    rng = random.Random(9)
+    for _ in range(2000):
+        text = "".join(rng.choice([" ", "  ", "\n", "\t", "a", "b1", "é", "!", "\x0b", "\x85", "\u3000", "\r", " " * 6, "\n" * 7, "'s"]) for _ in range(rng.randrange(1, 14)))
+        assert encode(text) == encode.slow.encode(text, add_special_tokens=False).ids
+
+
 def test_bins_are_optimal_where_brute_force_can_tell():
     rng = random.Random(5)
     for _ in range(60):
@@ -299,7 +380,7 @@ def test_bins_are_optimal_where_brute_force_can_tell():
                     out = min(out, best(left[1:], bins[:k] + [bins[k] + x] + bins[k + 1 :]))
             return min(out, best(left[1:], [*bins, x]))
 
-        assert sum(n for _, n in packed) <= best(sorted(sizes, reverse=True), []) + 1
+        assert sum(n for _, n in packed) == best(sorted(sizes, reverse=True), [])
 
 
 # 6
@@ -358,6 +439,48 @@ def test_secret_layers_among_their_surroundings():
     assert finds(blob) == [("assign", 0, len(blob))]
 
 
+WRAPS = {
+    "url": lambda t: "".join(f"%{b:02X}" for b in t.encode()), "some url": lambda t: urllib.parse.quote(t, safe="") , "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t), "html": lambda t: "".join(f"&#{ord(c)};" for c in t),
+    "base64": lambda t: b64encode(t.encode()).decode(), "zlib": lambda t: b64encode(zlib.compress(t.encode())).decode(), "twice": lambda t: b64encode(zlib.compress(zlib.compress(t.encode()))).decode(),
+}
+
+
+def test_secret_spans_under_any_layers():
+    """Random nests of layers, each at several places: the whole nest is the span, everywhere."""
+    rng = random.Random(10)
+    for _ in range(300):
+        secret = rng.choice(["password=hunter2hunter2", "api_key: abcdef0123", "AKIA" + "0123456789ABCDEF"])
+        chain = [rng.choice(list(WRAPS)) for _ in range(rng.randrange(1, 5))]
+        wrapped = secret
+        for name in chain:
+            wrapped = WRAPS[name](rng.choice(["", "so "]) + wrapped + rng.choice(["", " then"]))
+        kind = "access" if secret.startswith("AKIA") else "assign"
+        text = f"é {wrapped} and\n{wrapped} end"
+        finds = [f for f in secrets.find_secrets(text)[1] if f[0] == kind]
+        for start in (2, 2 + len(wrapped) + 5):
+            inside = [f for f in finds if start <= f[1] and f[2] <= start + len(wrapped)]
+            assert inside, (chain, text)
+            if chain[-1] in ("base64", "zlib", "twice"):
+                assert (kind, start, start + len(wrapped)) in inside
+
+
+def test_secret_layers_glued_wrapped_and_large():
+    key = b"password=hunter2hunter2"
+    blob = b64encode(key).decode()
+    for before in ("path/", "a", "ab", "abc", "x_y-"):
+        for inner in (blob, b64encode(zlib.compress(key * 3)).decode(), b64encode(gzip.compress(key * 3)).decode()):
+            assert [f[0] for f in secrets.find_secrets(before + inner)[1]] == ["assign"], before
+    lines = encodebytes(b"hello " * 30 + key + b" more" * 20).decode()
+    assert ("assign", 4, 4 + len(lines) - 1) in secrets.find_secrets("say\n" + lines + "\nend")[1]
+    large = gzip.compress(gzip.compress(b"w " * (9 << 20) + key + b" w" * (1 << 20)))
+    blob = b64encode(large).decode()
+    assert secrets.find_secrets(blob)[1] == [("assign", 0, len(blob))]
+    deep = key
+    for _ in range(1200):
+        deep = zlib.compress(deep)
+    assert secrets.find_secrets(b64encode(deep).decode())[1]
+
+
 def test_secret_query_against_plain_regexes(spark):
     for r, text in zip(secrets.report(table(spark, SMALL, "documents").orderBy("doc_id")).collect(), [r["text"] for r in table(spark, SMALL, "documents").orderBy("doc_id").collect()], strict=True):
         found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) > 5]
