@@ -1,20 +1,21 @@
 """License scans by a positional rare-token index (DataFrame functions only).
 
-Each template is a short phrase of licence words with a label and mandatory key
-words. The index holds, for each template, its rarest word by inverse document frequency over
-the scanned texts, its posting: the place of that word in the template. A text's highest-IDF
-licence words are looked up; the other words of the template are intersected at their
-relative positions, and the template holds if its key phrase stands there and enough words agree.
+Each template is a sentence of a licence with a label and a mandatory key phrase. The words of all templates are the licence
+words; inverse document frequencies over the scanned texts say how rare each is. The index posts each template under the rarest word of its key
+phrase, with the place of that word. A text's licence words that have a posting are looked up: word and place give the template's start
+in the text, and there the template's other words are compared at their relative positions, each by one array access. A template
+holds if its key phrase stands there word by word and enough of all words agree. The places of the base phrases come from the same index.
 
-Defined results: a null or empty text has no words, labels or score above 0; doc_id
+Work in a text is one pass over its words and one template's length for each posting that its rare words meet, however long the text is.
+
+Defined results: a null or empty text has no words, labels or score above 0; very long texts are scanned whole; doc_id
 and extra columns are passed, never read; rows that repeat are scanned each; ties between
 equally rare words go to the earlier one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,17 +41,30 @@ class Template:
 #: Well-known licence sentences.
 TEMPLATES = (
     Template("gpl", "licensed under the gnu general public license version", "general public license"),
-    Template("gpl", "gnu general public license as published by the free software foundation", "general public license"),
+    Template("gpl", "gnu general public license as published by the free software foundation either version", "general public license"),
     Template("lgpl", "gnu lesser general public license", "lesser general public license"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general public license"),
     Template("agpl", "gnu affero general public license", "affero general public license"),
     Template("apache", "licensed under the apache license version 2 0", "apache license"),
+    Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
+    Template("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense", "without restriction including without limitation the rights"),
     Template("mit", "released under the mit license", "mit license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "must retain the above copyright notice"),
     Template("mpl", "mozilla public license version 2 0", "mozilla public license"),
+    Template("epl", "eclipse public license version 2 0", "eclipse public license"),
+    Template("eupl", "european union public licence", "european union public licence", 1.0),
+    Template("boost", "boost software license version 1 0", "boost software license"),
+    Template("artistic", "the artistic license 2 0", "artistic license"),
+    Template("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "permission is granted to anyone"),
+    Template("wtfpl", "do what the fuck you want to public license", "you want to public license"),
     Template("cc-by", "licensed under cc by", "cc by"),
+    Template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    Template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    Template("cc0", "cc0 1 0 universal public domain dedication", "public domain dedication"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
     Template("proprietary", "all rights reserved", "all rights reserved", 1.0),
@@ -61,24 +75,41 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def phrase_regex(phrase: str) -> str:
-    return rf"(?i)(?<!{CHARS})" + rf"{GAP}+".join(map(re.escape, phrase.split())) + rf"(?!{CHARS})"
+#: Literals of which every mandatory key and base phrase holds at least one, in lower case; a text without any can't match.
+ANCHORS = ("licen", "permission", "redistribution", "reserved", "domain", "copyright", "restriction", "commons")
+#: The one key that they leave out.
+SHORT_KEY = rf"cc{GAP}+by"
 
 
-def words_in(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"{CHARS}+"))
+@dataclass(frozen=True)
+class Entry:
+    """A template or base phrase in the index: ids of its words, where its key stands, and the least share."""
+
+    label: str
+    words: tuple[int, ...]
+    key_at: int
+    key_size: int
+    least: float
+    base: bool
 
 
 def licence_words() -> list[str]:
-    return sorted({w for t in TEMPLATES for w in t.text.split()})
+    return sorted({w for text in (*(t.text for t in TEMPLATES), *(p for p, _ in BASE)) for w in text.split()})
 
 
-def words_near(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(f"({CHARS}+)"), F.lit(1))
+def entries() -> list[Entry]:
+    ids = {w: k + 1 for k, w in enumerate(licence_words())}
+    out = [Entry(label, tuple(ids[w] for w in phrase.split()), 0, len(phrase.split()), 1.0, True) for phrase, label in BASE]
+    for t in TEMPLATES:
+        ws, key = t.text.split(), t.key.split()
+        at = next(k for k in range(len(ws)) if ws[k : k + len(key)] == key)
+        out.append(Entry(t.label, tuple(ids[w] for w in ws), at, len(key), t.least, False))
+    return out
 
 
-#: Words and phrases of which every mandatory key holds at least one; a text without any can't match.
-ANCHORS = ("license", "granted", "redistribution", "reserved", "permission to use", "public domain", "cc by")
+def words_of(text: Column) -> Column:
+    """The words in order. A text is split at its gaps: taking words by matching them costs three times as much."""
+    return F.array_remove(F.split(text, f"{GAP}+"), "")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -87,85 +118,64 @@ def scan(docs: DataFrame) -> DataFrame:
     matches: an array of (label, start, score), the method's finds.
     """
     keys = [*(t.key for t in TEMPLATES), *(p for p, _ in BASE)]
-    bad = [k for k in keys if not any(f" {a} " in f" {k} " for a in ANCHORS)]
+    bad = [k for k in keys if not any(a in k for a in ANCHORS) and "cc by" not in k]
     if bad:
-        raise ValueError(f"keys without an anchor word: {bad}")
+        raise ValueError(f"keys without an anchor: {bad}")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    wanted = "|".join(rf"{GAP}+".join(a.split()) for a in ANCHORS)
-    rows = rows.select("doc_id", words_in(F.col("text")).cast("long").alias("n_words"), F.when(F.col("text").rlike(f"(?i){wanted}"), F.col("text")).alias("text"))
-    rows = rows.withColumn("ws", F.when(F.col("text").isNotNull(), words_near(F.col("text")))).drop("text")
-    # positions of the words that any template or phrase uses; everything else is dropped from here on
-    used = sorted({*licence_words(), *(w for p, _ in BASE for w in p.split())})
-    at = F.transform("ws", lambda w, i: F.when(w.isin(used), F.struct(w.alias("w"), i.cast("long").alias("i"))))
-    rows = rows.withColumn("post", F.filter(at, lambda x: x.isNotNull())).drop("ws")
-    rows = written(rows, "license-postings")
-    n = {r["word"]: r["n"] for r in rows.select(F.explode(F.array_distinct(F.transform("post", lambda x: x["w"]))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a template word
-    return _match(rows, n)
-
-
-def _graded(label: str, ws: list[str], sure: int, rest: list[int]) -> Callable[[Column], Column]:
-    """From a start to (label, start, score): the share of the template's words that stand at their places, of which ``sure`` are known to."""
-
-    def place(k: int, s: Column) -> Callable[[Column], Column]:
-        return lambda x: (x["w"] == ws[k]) & (x["i"] == s + k)
-
-    def grade(s: Column) -> Column:
-        found = F.lit(sure)
-        for k in rest:
-            found = found + F.exists("post", place(k, s)).cast("int")
-        return F.struct(F.lit(label).alias("label"), s.alias("start"), (found / F.lit(float(len(ws)))).alias("score"))
-
-    return grade
-
-
-def _at_least(least: float) -> Callable[[Column], Column]:
-    return lambda x: x["score"] >= least
-
-
-def _match(rows: DataFrame, n_docs: dict[str, int]) -> DataFrame:
-    def places(first: str, offset: int) -> Column:
-        """Starts at which the word stands ``offset`` words on."""
-        return F.transform(F.filter("post", lambda x: x["w"] == first), lambda x: x["i"] - F.lit(offset))
-
-    phrases = [(p.split(), label) for p, label in BASE]
-    base = []
-    for ws, _ in phrases:
-        order = sorted(range(len(ws)), key=lambda k: (n_docs.get(ws[k], 0), k))  # the rarest posting first
-        hit = places(ws[order[0]], order[0])
-        for k in order[1:]:
-            hit = F.array_intersect(hit, places(ws[k], k))
-        base.append(F.coalesce(hit, F.array().cast("array<bigint>")))
-    rows = rows.select("doc_id", "n_words", "post", *[b.alias(f"b{k}") for k, b in enumerate(base)])
-    every = F.concat(*[f"b{k}" for k in range(len(phrases))])
-    names = F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)])
-
-    finds = []
-    for t in TEMPLATES:
-        ws = t.text.split()
-        key = t.key.split()
-        at = next(k for k in range(len(ws)) if ws[k : k + len(key)] == key)
-        rare = min(range(at, at + len(key)), key=lambda k: (n_docs.get(ws[k], 0), k))
-        starts = places(ws[rare], rare)
-        for k in range(at, at + len(key)):  # the key phrase is mandatory
-            if k != rare:
-                starts = F.array_intersect(starts, places(ws[k], k))
-        rest = [k for k in range(len(ws)) if not at <= k < at + len(key)]
-
-        starts = F.array_distinct(starts)
-        scored = F.transform(starts, _graded(t.label, ws, len(key), rest))
-        if rest:
-            scored = F.filter(scored, _at_least(t.least))
-        finds.append(F.when(F.size(starts) > 0, scored).otherwise(F.array().cast("array<struct<label:string,start:bigint,score:double>>")))
-    empty = F.array().cast("array<struct<label:string,start:bigint,score:double>>")
-    some = F.size("post") > 0
-    rows = rows.withColumn("matches", F.when(some, F.flatten(F.array(*finds))).otherwise(empty))
-    rows = rows.withColumn("every", every).withColumn("base_names", F.array_sort(F.array_distinct(F.array_compact(names))))
-    labels = F.array_sort(F.array_distinct(F.concat("base_names", F.transform("matches", lambda m: m["label"]))))
-    best = F.array_max(F.transform("matches", lambda m: m["score"]))
-    score = F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size("every") > 0, 1.0).otherwise(0.0))
+    low = F.lower("text")
+    maybe = low.rlike(SHORT_KEY)
+    for anchor in ANCHORS:
+        maybe = F.contains(low, F.lit(anchor)) | maybe
+    rows = rows.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.when(maybe, words_of(lower_ascii(F.col("text")))).alias("ws"))
+    # a text as the ids of its words, 0 for those of no template
+    known = licence_words()
+    ids = F.create_map(*[x for k, w in enumerate(known) for x in (F.lit(w), F.lit(k + 1))])
+    rows = rows.select("doc_id", "n_words", F.transform("ws", lambda w: F.when(w.isin(known), F.try_element_at(ids, w)).otherwise(0)).alias("ids"))
+    rows = written(rows.select("doc_id", "n_words", F.when(F.exists("ids", lambda w: w > 0), F.col("ids")).alias("ids")), "license-words")
+    seen = rows.select(F.explode(F.array_distinct("ids")).alias("word")).filter("word > 0").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return _match(rows, {r["word"]: r["n"] for r in seen.collect()})  # at most one row a licence word
+
+
+def _array(items: Iterable[str]) -> str:
+    return f"array({', '.join(items)})"
+
+
+def _match(rows: DataFrame, n_docs: dict[int, int]) -> DataFrame:
+    index = entries()
+    postings: dict[int, list[str]] = {}
+    for k, e in enumerate(index):
+        rare = min(range(e.key_at, e.key_at + e.key_size), key=lambda j: (n_docs.get(e.words[j], 0), j))
+        postings.setdefault(e.words[rare], []).append(f"named_struct('entry', {k}, 'at', {rare})")
+    posted = F.expr(f"map({', '.join(f'{w}, {_array(p)}' for w, p in postings.items())})")
+    facts = F.expr(_array(f"named_struct('words', {_array(map(str, e.words))}, 'key_at', {e.key_at}, 'key_end', {e.key_at + e.key_size}, 'least', {e.least!r}D, 'base', {str(e.base).lower()}, 'label', '{e.label}')" for e in index))
+
+    # places of words with postings, then starts of the templates posted there
+    here = F.filter(F.transform("ids", lambda w, i: F.when(w.isin(list(postings)), F.struct(w.alias("w"), i.cast("long").alias("i")))), lambda x: x.isNotNull())
+    starts = F.flatten(F.transform(here, lambda x: F.transform(F.try_element_at(posted, x["w"]), lambda p: F.struct(p["entry"].alias("entry"), (x["i"] - p["at"]).alias("start")))))
+    rows = rows.select("doc_id", "n_words", "ids", starts.alias("starts"))
+
+    def agreeing(x: Column) -> Column:
+        fact = F.get(facts, x["entry"])
+        agrees = F.transform(fact["words"], lambda w, k: F.coalesce(F.get(F.col("ids"), (x["start"] + k).cast("int")) == w, F.lit(False)))
+        return F.struct(fact.alias("fact"), x["start"].alias("start"), agrees.alias("agrees"))
+
+    def graded(x: Column) -> Column:
+        fact, agrees = x["fact"], x["agrees"]
+        key = F.forall(F.slice(agrees, fact["key_at"] + 1, fact["key_end"] - fact["key_at"]), lambda hit: hit)
+        share = F.size(F.array_remove(agrees, False)) / F.size(agrees).cast("double")
+        return F.struct(fact["label"].alias("label"), x["start"].alias("start"), share.alias("score"), fact["base"].alias("base"), (key & (share >= fact["least"])).alias("holds"))
+
+    finds = F.filter(F.transform(F.transform("starts", agreeing), graded), lambda x: x["holds"])
+    kind = "array<struct<label:string,start:bigint,score:double,base:boolean,holds:boolean>>"
+    rows = rows.select("doc_id", "n_words", F.when(F.size("starts") > 0, finds).otherwise(F.array().cast(kind)).alias("finds"))
+    base = F.filter("finds", lambda x: x["base"])
+    matches = F.transform(F.filter("finds", lambda x: ~x["base"]), lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["score"].alias("score")))
+    rows = rows.select("doc_id", "n_words", "finds", F.transform(base, lambda x: x["start"]).alias("every"), F.array_sort(F.array_distinct(F.transform(base, lambda x: x["label"]))).alias("base_names"), matches.alias("matches"))
+    labels = F.array_sort(F.array_distinct(F.transform("finds", lambda x: x["label"])))
+    best = F.array_max(F.transform("finds", lambda x: x["score"]))
     return rows.select(
         "doc_id", "n_words", F.size("every").cast("long").alias("n_base"), F.array_min("every").alias("first_word"), F.array_max("every").alias("last_word"),
-        F.concat_ws(",", "base_names").alias("base_labels"), F.concat_ws(",", labels).alias("labels"), score.alias("score"), "matches",
+        F.concat_ws(",", "base_names").alias("base_labels"), F.concat_ws(",", labels).alias("labels"), F.coalesce(best, F.lit(0.0)).alias("score"), "matches",
     )
 
 
