@@ -48,9 +48,10 @@ def jsd(p: Column, q: Column) -> Column:
     return (kl(p, m) + kl(q, m)) / 2
 
 
-def power(p: Column, alpha: float) -> Column:
+def power(p: Column, alpha: float | Column) -> Column:
     """Clipped, raised to alpha, normalised."""
-    raised = _each(p, lambda x: F.pow(F.least(F.greatest(x, F.lit(TINY)), F.lit(1.0)), F.lit(float(alpha))))
+    exponent = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
+    raised = _each(p, lambda x: F.pow(F.least(F.greatest(x, F.lit(TINY)), F.lit(1.0)), exponent))
     return _each(raised, lambda x: x / total(raised))
 
 
@@ -83,3 +84,12 @@ def self_certainty(v: Column) -> Column:
 def width_for_entropy(h: Column, actions: int, most: int) -> Column:
     """A search width in [1, most], linear in the entropy's share of ln(actions), half to even."""
     return F.bround(1 + F.least(F.greatest(h / math.log(actions), F.lit(0.0)), F.lit(1.0)) * (most - 1)).cast("int")
+
+
+def top_mass(p: Column, k: int) -> Column:
+    """The sum of the k largest probabilities."""
+    return total(F.slice(F.reverse(F.array_sort(p)), F.lit(1), F.lit(k)))
+
+
+def clamped(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))

@@ -138,3 +138,117 @@ def decontaminate_games(games: DataFrame, tests: DataFrame, key: str, moves: str
     seen = games.select(key, F.explode(F.array_distinct(positions_reached(moves))).alias("_at"))
     hit = seen.join(known, "_at", "left_semi").select(key).distinct()
     return games.join(hit, key, "left_anti"), games.join(hit, key, "left_semi")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def positions_along(fen: pd.Series, moves: pd.Series) -> pd.Series:
+    """The position before each move of a line, up to the first illegal one."""
+    return pd.Series([_try(lambda x, ms=ms: [p.fen() for p in rules.replay([] if ms is None else list(ms), x)[1]][: 0 if ms is None else len(ms)])(x) for x, ms in zip(fen, moves, strict=True)], dtype=object)
+
+
+def _resolved(p: rules.Position, move: str) -> str | None:
+    for tail in ("", *("qrbn" if len(move) == 4 else "")):
+        if p.from_uci(move + tail) is not None:
+            return move + tail
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def resolved(fen: pd.Series, move: pd.Series) -> pd.Series:
+    """Coordinates as a legal move, a missing promotion filled in (queen, rook, bishop, knight); NULL if there is none."""
+    return pd.Series([_try(lambda x, m=m: _resolved(rules.Position.parse(x), m) if m else None)(x) for x, m in zip(fen, move, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("move", T.StringType()), T.StructField("child", T.StringType())])))
+def children_of(fen: pd.Series, moves: pd.Series) -> pd.Series:
+    """The legal ones of a list of coordinates, each with the position it leads to."""
+
+    def f(fen, moves):
+        p = rules.Position.parse(fen)
+        found = [(u, p.push(p.from_uci(u)).fen()) for u in (_resolved(p, m) for m in moves if m) if u]
+        return [{"move": u, "child": c} for u, c in found]
+
+    return pd.Series([_try(lambda x, ms=ms: f(x, [] if ms is None else list(ms)))(x) or [] for x, ms in zip(fen, moves, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def white_to_move(fen: pd.Series) -> pd.Series:
+    return fen.map(lambda x: None if x is None or len(x.split()) < 2 else x.split()[1] == "w")
+
+
+def _numbered(done, seen) -> str:
+    out = []
+    for k, (p, m) in enumerate(zip(seen, done, strict=False)):
+        out += ([f"{k // 2 + 1}."] if k % 2 == 0 else []) + [p.san(m)]
+    return " ".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def line_until(game: pd.Series, fen: pd.Series) -> pd.Series:
+    """The numbered line up to the first position with the target's pieces, the start included; NULL if it is never reached."""
+
+    def f(text, target):
+        done, seen = rules.replay(rules.movetext(text))
+        for k, p in enumerate(seen):
+            if p.fen().split()[0] == target.split()[0]:
+                return _numbered(done[:k], seen[:k])
+        return None
+
+    return pd.Series([_try(lambda x, t=t: f(x, t) if t is not None else None)(x) for x, t in zip(game, fen, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("state", T.StringType()), T.StructField("next", T.StringType())]))
+def after_trigger(game: pd.Series, moves: pd.Series) -> pd.DataFrame:
+    """A puzzle's state after its first move, as a numbered line without headers or result, and the second move; NULLs for shorter or illegal ones."""
+
+    def f(text, line):
+        words = (line or "").split()
+        if len(words) < 2:
+            return None, None
+        played = rules.movetext(text)
+        done, seen = rules.replay([*played, words[0]])
+        return (_numbered(done, seen), words[1]) if len(done) == len(played) + 1 else (None, None)
+
+    rows = []
+    for x, m in zip(game, moves, strict=True):
+        try:
+            rows.append(f(x, m) if x is not None else (None, None))
+        except (ValueError, IndexError):
+            rows.append((None, None))
+    return pd.DataFrame(rows, columns=["state", "next"])
+
+
+@F.pandas_udf(T.StringType())
+def as_uci(fen: pd.Series, word: pd.Series) -> pd.Series:
+    """A move in any notation as coordinates; NULL if it can't be played."""
+
+    def f(fen, word):
+        done, _ = rules.replay([word], fen)
+        return rules.uci(done[0]) if done else None
+
+    return pd.Series([_try(lambda x, w=w: f(x, w) if w else None)(x) for x, w in zip(fen, word, strict=True)], dtype=object)
+
+
+def positions_needed(rows: DataFrame, fen: str, candidates: str) -> DataFrame:
+    """The distinct positions whose scores an analysis needs: the roots, and those after each legal candidate (coordinates)."""
+    roots = rows.select(F.col(fen).alias("position")).filter("position is not null")
+    after = rows.select(F.explode(children_of(fen, candidates)).alias("x")).select(F.col("x.child").alias("position"))
+    return roots.unionByName(after).distinct()
+
+
+def target_presence(rows: DataFrame, fen: str, target: str, roots: str, every: str) -> DataFrame:
+    """rows with ``target_uci``, ``in_root`` (among the legal root candidates) and ``anywhere`` (its coordinates are written anywhere; no board is asked).
+
+    target: the first true move as written; roots and every: arrays of written moves. Without a target the flags are NULL.
+    """
+    from . import moves as M
+
+    white = white_to_move(fen)
+    at = lambda c: M.with_castling(M.coordinates(c), F.col("_white"))
+    df = rows.withColumn("_white", white).withColumn("target_uci", at(F.col(target)))
+    df = df.withColumn("target_uci", F.coalesce(resolved(fen, "target_uci"), F.col("target_uci")))
+    df = df.withColumn("_legal", F.transform(children_of(fen, F.transform(roots, at)), lambda x: x["move"]))
+    has = F.col("target_uci").isNotNull()
+    df = df.withColumn("in_root", F.when(has, F.array_contains("_legal", F.col("target_uci")).cast("int")))
+    df = df.withColumn("anywhere", F.when(has, F.exists(every, lambda w: at(w) == F.col("target_uci")).cast("int")))
+    return df.drop("_white", "_legal")

@@ -63,12 +63,6 @@ def flexible_number(text: Column) -> Column:
     return F.regexp_replace(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(-?[0-9][0-9.,]*)"), F.lit(1)), F.lit(-1)), "[,]|[.]$", "")
 
 
-def last_boxed(text: Column) -> Column:
-    r"""The body of the last \boxed{}, with balanced braces up to two levels inside it."""
-    inner = r"(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*"
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed\{(" + inner + r")\}"), F.lit(1)), F.lit(-1))
-
-
 def numbers_equal(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
     """Equal within a relative tolerance, also as percent."""
     x, y = a.try_cast("double"), b.try_cast("double")

@@ -98,33 +98,54 @@ def sequence(df: DataFrame, key: str | list[str], order: str, *columns: str, nam
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias(name))
 
 
-def discounted_returns(df: DataFrame, key: str, order: str, reward: str, gamma: float = 1.0, out: str = "returns", baseline: str | None = None) -> DataFrame:
-    """Reverse cumulative discounted reward per sequence, minus the sequence's baseline if there is one."""
-    seq = sequence(df, key, order, reward, *([baseline] if baseline else []))
-    back = F.aggregate(
-        F.reverse("steps"), F.array().cast("array<double>"),
-        lambda acc, x: F.concat(F.array(x[reward].cast("double") + F.lit(gamma) * F.coalesce(F.try_element_at(acc, F.lit(1)), F.lit(0.0))), acc),
-    )
-    rows = seq.select(key, F.explode(F.arrays_zip("steps", back.alias("back"))).alias("x"))
-    value = F.col("x.back") - (F.col(f"x.steps.{baseline}") if baseline else 0.0)
-    return rows.select(key, F.col(f"x.steps.{order}").alias(order), value.alias(out))
-
-
-def gae(df: DataFrame, key: str, order: str, reward: str, value: str, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
-    """Generalised advantage estimation backwards over each sequence; returns = advantage + value."""
-    seq = sequence(df, key, order, reward, value)
-    zero = F.struct(F.array().cast("array<double>").alias("a"), F.lit(0.0).alias("next"))
-
-    def step(acc: Column, x: Column) -> Column:
-        v = x[value].cast("double")
-        delta = x[reward].cast("double") + F.lit(gamma) * acc["next"] - v
-        last = F.coalesce(F.try_element_at(acc["a"], F.lit(1)), F.lit(0.0))
-        return F.struct(F.concat(F.array(delta + F.lit(gamma * lam) * last), acc["a"]).alias("a"), v.alias("next"))
-
-    back = F.aggregate(F.reverse("steps"), zero, step)["a"]
-    rows = seq.select(key, F.explode(F.arrays_zip("steps", back.alias("back"))).alias("x"))
-    adv = F.col("x.back")
-    return rows.select(key, F.col(f"x.steps.{order}").alias(order), adv.alias("advantage"), (adv + F.col(f"x.steps.{value}")).alias("returns"))
+def _reverse_sum(value: Column, gamma: float, key: str, order: str, place: Column, chain: Column | None = None) -> Column:
+    """The sum of value times gamma per step from each row to the end of its chain, as one running sum.
+
+    Powers count from the start of the sequence, so a sequence that is too long for its discount fails rather than losing digits.
+    """
+    from_end = Window.partitionBy(key, *([chain] if chain is not None else [])).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    if gamma == 0:
+        return value.cast("double")
+    if gamma == 1:
+        return F.sum(value.cast("double")).over(from_end)
+    power = F.pow(F.lit(float(gamma)), place)
+    power = F.when(power > 1e-280, power).otherwise(F.raise_error(F.lit("a sequence is too long for its discount")).cast("double"))
+    return F.sum(value * power).over(from_end) / power
+
+
+@ESTIMATORS.register("reinforce_plus_plus")
+def discounted_returns(df: DataFrame, key: str, order: str, reward: str, gamma: float = 1.0, out: str = "returns", baseline: str | None = None, mask: str | None = None, whiten: bool = False) -> DataFrame:
+    """Reverse cumulative discounted reward per sequence, minus the baseline if there is one.
+
+    With a mask, what follows a masked token doesn't reach the tokens before it; with ``whiten`` the column ``advantage`` holds the returns
+    whitened over the valid tokens, 0 elsewhere.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    rows = df.select(key, order, reward, *[c for c in (baseline, mask) if c]).withColumn("_place", F.row_number().over(w) - 1)
+    chain = None
+    if mask:  # a masked token starts a chain to its left
+        chain = F.col("_chain")
+        rows = rows.withColumn("_chain", F.sum((F.col(mask) <= 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    value = _reverse_sum(F.col(reward), gamma, key, order, F.col("_place"), chain)
+    rows = rows.withColumn(out, value - (F.col(baseline) if baseline else 0.0))
+    if not whiten:
+        return rows.select(key, order, out)
+    rows = masked_whiten(rows, out, mask, "advantage")
+    return rows.select(key, order, out, (F.when(F.col(mask) > 0, F.col("advantage")).otherwise(0.0) if mask else F.col("advantage")).alias("advantage"))
+
+
+@ESTIMATORS.register("gae")
+def gae(df: DataFrame, key: str, order: str, reward: str, value: str, gamma: float = 1.0, lam: float = 1.0, mask: str | None = None, whiten: bool = False) -> DataFrame:
+    """Generalised advantage estimation backwards over each sequence; returns = advantage + value, before any whitening over the valid tokens."""
+    w = Window.partitionBy(key).orderBy(order)
+    rows = df.select(key, order, reward, value, *([mask] if mask else [])).withColumn("_place", F.row_number().over(w) - 1)
+    follow = F.coalesce(F.lead(value).over(w), F.lit(0.0))
+    rows = rows.withColumn("_delta", F.col(reward).cast("double") + F.lit(float(gamma)) * follow - F.col(value))
+    rows = rows.withColumn("advantage", _reverse_sum(F.col("_delta"), gamma * lam, key, order, F.col("_place")))
+    rows = rows.withColumn("returns", F.col("advantage") + F.col(value))
+    if whiten:
+        rows = masked_whiten(rows.withColumnRenamed("advantage", "_raw"), "_raw", mask, "advantage")
+    return rows.select(key, order, "advantage", "returns")
 
 
 def stepwise(df: DataFrame, group: str, step: str, score: str, out: str = "advantage", eps: float = 1e-6) -> DataFrame:
@@ -135,6 +156,37 @@ def stepwise(df: DataFrame, group: str, step: str, score: str, out: str = "advan
     return df.withColumn(out, (F.col(score) - mean) / (sd + eps))
 
 
+@ESTIMATORS.register("step_wise_grpo_tokens")
+def positionwise(df: DataFrame, group: str, position: str, reward: str, mask: str, out: str = "advantage", scale: bool = True, eps: float = 1e-6) -> DataFrame:
+    """Each token position normalised across a group's sequences, over valid tokens only; invalid tokens get 0, a lone one its reward."""
+    w = Window.partitionBy(group, position)
+    valid = F.when(F.col(mask) > 0, F.col(reward).cast("double"))
+    lone = F.count(valid).over(w) <= 1
+    mean, sd = F.when(lone, 0.0).otherwise(F.avg(valid).over(w)), F.when(lone, 1.0).otherwise(F.stddev_samp(valid).over(w))
+    centred = valid - mean
+    return df.withColumn(out, F.coalesce(centred / (sd + eps) if scale else centred, F.lit(0.0)))
+
+
+@ESTIMATORS.register("tango_grpo")
+def outcome_and_steps(df: DataFrame, group: str, key: str, position: str, outcome: str, step_reward: str, mask: str, alpha: float = 0.2, eps: float = 1e-6, differential: str | None = None) -> DataFrame:
+    """(1 - alpha) of the group-relative outcome and alpha of the normalised step rewards, each step reaching the tokens before it (reverse running sum).
+
+    ``differential``: steps whose sign disagrees with the outcome's are dropped ("zero") or halved ("half").
+    outcome: one value a sequence, on each of its tokens.
+    """
+    if differential not in (None, "zero", "half"):
+        raise ValueError(f"unknown mode {differential!r}")
+    one = df.groupBy(group, key).agg(F.first(outcome).alias("_outcome"))
+    one = group_relative(one, group, "_outcome", "_relative", eps=eps).select(group, key, "_relative")
+    rows = positionwise(df, group, position, step_reward, mask, "_step", eps=eps).join(one, [group, key])
+    if differential:
+        agrees = F.col("_step") * F.col("_relative") >= 0
+        rows = rows.withColumn("_step", F.when(agrees, F.col("_step")).otherwise(F.col("_step") * (0.0 if differential == "zero" else 0.5)))
+    later = Window.partitionBy(key).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, 0)
+    both = (1 - alpha) * F.col("_relative") + alpha * F.sum("_step").over(later)
+    return rows.withColumn("advantage", F.when(F.col(mask) > 0, both).otherwise(0.0)).drop("_step", "_relative")
+
+
 def kl_penalty(p: str | Column, q: str | Column, kind: str = "kl") -> Column:
     """Per-token estimators of KL(p || q) from log probabilities."""
     d = _col(p) - _col(q)
@@ -165,6 +217,11 @@ def value_loss(value: Column, old: Column, target: Column, clip: float = 0.5) ->
     return 0.5 * F.greatest(a, b), b > a
 
 
+#: Losses by name: (advantage, log ratio) -> (loss per token, whether it was clipped).
+LOSSES: Registry = Registry("loss")
+LOSSES.register("vanilla", clipped_objective)
+
+
 def aggregate_loss(df: DataFrame, key: str, loss: str, mask: str, horizon: float | None = None) -> DataFrame:
     """One row with the four ways to aggregate token losses."""
     seq = df.groupBy(key).agg(F.sum(F.col(loss) * F.col(mask)).alias("total"), F.sum(mask).alias("tokens"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import written
+from .membership import with_membership
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -79,18 +84,24 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str, text: str, test
     words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     t = tests.select(words(F.col(test_text)).alias("_w")).filter(F.size("_w") > 0).distinct()
     t = t.select(F.least(F.size("_w"), F.lit(width)).alias("_n"), F.col("_w"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_test"))
-    d = docs.select(doc_id, words(F.col(text)).alias("_w"))
-    pairs = None
-    for n in sorted(r["_n"] for r in t.select("_n").distinct().collect()):  # at most ``width`` values
-        keys = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), _window(n))
-        posted = d.filter(F.size("_w") >= n).select(doc_id, F.explode(keys).alias("_key"))  # no text beside the keys
-        own = t.filter(F.col("_n") == n).select("_test", _window(n)(F.lit(1)).alias("_key"))
-        hit = posted.join(own, "_key").select(doc_id, "_test")
-        pairs = hit if pairs is None else pairs.unionByName(hit)
-    if pairs is None:
+    lengths = sorted(r["_n"] for r in t.select("_n").distinct().collect())  # at most ``width`` values
+    if not lengths:
         return docs.select(doc_id).limit(0)
-    found = d.join(pairs, doc_id).filter(F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).contains(F.col("_test"))).select(doc_id)
-    return found.distinct()
+    own = t.select("_test", F.coalesce(*[F.when(F.col("_n") == n, _window(n)(F.lit(1))) for n in lengths]).alias("_key"))
+    own = written(own, "test-keys")
+    d = docs.select(F.xxhash64(doc_id).alias("_id"), words(F.col(text)).alias("_w"))
+    posted = None
+    for n in lengths:  # one pass: all lengths are exploded together, without the text beside the keys
+        at = F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), _window(n))).otherwise(F.array().cast("array<bigint>"))
+        posted = at if posted is None else F.concat(posted, at)
+    posted = d.select("_id", F.explode(F.array_distinct(posted)).alias("_key"))
+    posted = with_membership(posted, F.col("_key"), own.select("_key"), "_maybe").filter("_maybe").drop("_maybe")
+    hits = written(posted.join(own.select("_key").distinct(), "_key", "left_semi").select("_id", "_key"), "test-hits")
+    # texts of the documents with a key in common are read again, and only they are joined
+    some = with_membership(docs.select(doc_id, text), F.xxhash64(doc_id), hits.select("_id"), "_maybe").filter("_maybe")
+    some = some.select(doc_id, F.xxhash64(doc_id).alias("_id"), F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" ")).alias("_text"))
+    pairs = hits.join(own, "_key").select("_id", "_test").distinct()
+    return some.join(pairs, "_id").filter(F.col("_text").contains(F.col("_test"))).select(doc_id).distinct()
 
 
 def _window(n: int):
@@ -102,21 +113,59 @@ def decontaminate(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", tex
     return docs.join(ids, doc_id, "left_semi" if removed else "left_anti")
 
 
-def sharded(df: DataFrame, order: str, size: Column, cap: int) -> DataFrame:
-    """Shards in order, each the rows whose running size stays in the same multiple of the cap.
+def _fill(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    file, shard, used = None, 0, 0
+    for batch in batches:
+        shards = []
+        for f, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if f != file:
+                file, shard, used = f, 0, 0
+            elif used + size > cap:
+                shard, used = shard + 1, 0
+            used += size
+            shards.append(shard)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shards, pa.int64())], names=batch.schema.names[:2] + ["shard"])
+
 
-    The running sum is built from per-range totals, so no task sees all rows. A shard exceeds
-    the cap by at most one row.
+def greedy_shards(df: DataFrame, file: str, order: str, size: Column, cap: int) -> DataFrame:
+    """(file, order, shard): a file's rows in order; a new shard opens before a row that would pass the cap, so only a row larger than the cap does.
+
+    Filling is sequential by nature, so a file is one stream, of two numbers a row; files run side by side.
     """
-    rows = written(df.withColumn("_size", size).repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "sharded")
-    totals = rows.groupBy("_part").agg(F.sum("_size").alias("_total"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    return rows.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("shard", F.floor(at / F.lit(cap)).cast("long")).drop("_part", "_before", "_size")
+    kinds = dict(df.dtypes)
+    rows = df.select(file, order, size.cast("long").alias("_size")).repartition(file).sortWithinPartitions(file, order)
+    return rows.mapInArrow(functools.partial(_fill, cap=cap), f"{file} {kinds[file]}, {order} {kinds[order]}, shard long")
+
+
+def text_lines(df: DataFrame, text: str, least: int = 50) -> DataFrame:
+    """Rows whose trimmed text isn't blank and whose escaped line has ``least`` characters at least, with the line's bytes as ``line_bytes``."""
+    clean = df.withColumn(text, F.trim(F.col(text))).filter(F.col(text) != "")
+    return clean.filter(escaped_length(text) >= least).withColumn("line_bytes", F.octet_length(F.to_json(F.struct(F.col(text).alias("t")))) - F.length(F.lit('{"t":""}')) + 1)
 
 
 def escaped_length(text: str | Column) -> Column:
     """Characters of a text as an escaped JSON line with its newline."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.length(F.to_json(F.struct(c.alias("t")))) - F.length(F.lit('{"t":}')) + 1
+    return F.length(F.to_json(F.struct(c.alias("t")))) - F.length(F.lit('{"t":""}')) + 1
+
+
+#: Limits of a reliable puzzle.
+MOST_DEVIATION, LEAST_PLAYS, LEAST_POPULARITY = 100, 50, 0
+
+
+def reliable(deviation: str, plays: str, popularity: str) -> Column:
+    return (F.col(deviation) <= MOST_DEVIATION) & (F.col(plays) >= LEAST_PLAYS) & (F.col(popularity) >= LEAST_POPULARITY)
+
+
+def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.na.drop(subset=columns)
+
+
+def of_sources(df: DataFrame, source: str, names: list[str]) -> DataFrame:
+    return df.filter(F.col(source).isin(names))
+
+
+def header_id(game: Column, length: int = 8) -> Column:
+    """The id in a game's Site header, else in its Link header; NULL without one."""
+    at = lambda name: F.nullif(F.regexp_extract(game, rf'\[{name}\s+"https?://[^/"]+/([A-Za-z0-9]{{{length}}})', 1), F.lit(""))
+    return F.coalesce(at("Site"), at("Link"))

@@ -1,6 +1,6 @@
 """Seeded sampling: temperature sampling, bootstrap, log-normal widths; and the covariance rules that pick tokens.
 
-Randomness is a hash of a seed and keys, so a lost task draws the same again.
+Randomness is the MD5 of a seed and keys, so a lost task draws the same again, and any engine can repeat it.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 def uniform(seed: int, *keys: str | Column) -> Column:
     """A number in (0, 1) that depends on the seed and the keys alone."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys])
-    return (F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
 
 
 def gumbel_sample(df: DataFrame, group: str, action: str, score: str, n: int = 1, temperature: float = 1.0, seed: int = 0) -> DataFrame:

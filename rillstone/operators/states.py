@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,35 +81,13 @@ def best_alpha(pairs: DataFrame, state: str, action: str, most: float = 5.0, rou
     return best
 
 
+def at_boundary(alpha: float, most: float = 5.0, near: float = 0.05) -> bool:
+    """Whether a fitted alpha lies at an end of its range, so that the fit says little."""
+    return alpha <= near or alpha >= most - near
+
+
 def log_ratio_fit(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Least squares of ln q on ln p over the points where both are positive."""
     pts = pairs.filter("p > 1e-12 and q > 1e-12").withColumns({"x": F.ln("p"), "y": F.ln("q")})
     g = pts.groupBy(*by) if by else pts.groupBy()
     return g.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.count(F.lit(1)).alias("n"))
-
-
-def collapse(traces: DataFrame, target: DataFrame, state: str, trace: str, action: str) -> DataFrame:
-    """Per state the divergence of the target to the marginal and to its nearest trace.
-
-    traces: (state, trace, action, p); target: (state, action, q). Missing actions are 0, clipped inside the divergence.
-    """
-    g = marginals(traces, state, trace, action)
-    t = vectors(target, [state], action, "q", "q")
-    m = vectors(g, [state], action, "g", "g").join(t, state)
-    per = vectors(traces, [state, trace], action, "p", "p").join(t, state)
-
-    def divergence(q: str, p: str) -> Column:
-        keys = F.array_union(F.map_keys(q), F.map_keys(p))
-        at = lambda c: F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.col(c), k), F.lit(0.0)))
-        return D.kl(at(q), at(p))
-
-    near = per.select(state, trace, divergence("q", "p").alias("d")).groupBy(state).agg(F.min("d").alias("d_trace"), F.min_by(trace, F.struct(F.round("d", 9), trace)).alias("nearest"))
-    return m.select(state, divergence("q", "g").alias("d_marginal")).join(near, state).withColumn("gap", F.col("d_marginal") - F.col("d_trace"))
-
-
-def transitions(pairs: DataFrame, state: str, action: str, truth: DataFrame) -> DataFrame:
-    """Per state whether the mode was right before (p) and after (q), as kept, gained, lost or wrong; modes tie to the larger action."""
-    modes = pairs.groupBy(state).agg(F.max_by(action, F.struct("p", action)).alias("mode_p"), F.max_by(action, F.struct("q", action)).alias("mode_q"))
-    m = modes.join(truth, state)
-    a, b = F.col("mode_p") == F.col("truth"), F.col("mode_q") == F.col("truth")
-    return m.withColumn("category", F.when(a & b, "kept").when(~a & b, "gained").when(a & ~b, "lost").when(F.col("mode_p") == F.col("mode_q"), "same_wrong").otherwise("other_wrong"))

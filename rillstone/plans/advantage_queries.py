@@ -156,3 +156,40 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(0.5::DOUBLE * greatest((discou
 def value(s, d):
     loss, _ = A.value_loss(F.col("discount") * 10, F.col("tax") * 10, F.col("hit"), 0.2)
     return lines(s, d).select(*KEYS, F.round(loss, 6).alias("loss"))
+
+
+CHAIN = f"{TOKENS}, z AS (SELECT *, sum(CASE WHEN mask > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY pos) AS chain FROM t), r AS (SELECT a.l_orderkey, a.pos, a.mask, sum(b.discount * power(0.9::DOUBLE, b.pos - a.pos)) AS returns FROM z a JOIN z b ON a.l_orderkey = b.l_orderkey AND a.chain = b.chain AND b.pos >= a.pos GROUP BY 1, 2, 3), g AS (SELECT avg(returns) AS m, var_samp(returns) AS v FROM r WHERE mask > 0)"
+
+
+@query("masked_returns", f"WITH {CHAIN} SELECT l_orderkey, pos, round(returns, 6) AS returns, round(CASE WHEN mask > 0 THEN (returns - m) / sqrt(v + 1e-8) ELSE 0 END, 6) AS advantage FROM r, g")
+def masked_returns(s, d):
+    r = A.discounted_returns(tokens(s, d), "l_orderkey", "pos", "discount", 0.9, mask="mask", whiten=True)
+    return r.select("l_orderkey", "pos", F.round("returns", 6).alias("returns"), F.round("advantage", 6).alias("advantage"))
+
+
+@query("gae_whitened", f"""WITH {TOKENS}, e AS (SELECT *, discount + 0.99::DOUBLE * coalesce(lead(tax) OVER (PARTITION BY l_orderkey ORDER BY pos), 0) - tax AS delta FROM t),
+a AS (SELECT a.l_orderkey, a.pos, a.mask, sum(b.delta * power(0.99::DOUBLE * 0.95::DOUBLE, b.pos - a.pos)) AS adv FROM e a JOIN e b ON a.l_orderkey = b.l_orderkey AND b.pos >= a.pos GROUP BY 1, 2, 3), g AS (SELECT avg(adv) AS m, var_samp(adv) AS v FROM a WHERE mask > 0)
+SELECT l_orderkey, pos, round((adv - m) / sqrt(v + 1e-8), 6) AS advantage FROM a, g""")
+def gae_whitened(s, d):
+    r = A.gae(tokens(s, d), "l_orderkey", "pos", "discount", "tax", 0.99, 0.95, mask="mask", whiten=True)
+    return r.select("l_orderkey", "pos", F.round("advantage", 6).alias("advantage"))
+
+
+@query("positionwise_advantage", """WITH l AS (SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice / 701 AS reward, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS mask FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT *, avg(reward) FILTER (mask > 0) OVER w AS m, stddev_samp(reward) FILTER (mask > 0) OVER w AS sd, count(*) FILTER (mask > 0) OVER w AS n FROM l WINDOW w AS (PARTITION BY o_custkey, l_linenumber))
+SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, round(CASE WHEN mask = 0 THEN 0 ELSE (reward - CASE WHEN n <= 1 THEN 0 ELSE m END) / (CASE WHEN n <= 1 THEN 1 ELSE sd END + 1e-6) END, 5) AS advantage FROM g""")
+def positionwise(s, d):
+    rows = lines(s, d).join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return A.positionwise(rows, "o_custkey", "l_linenumber", "reward", "mask").select("o_custkey", *KEYS, F.round("advantage", 5).alias("advantage"))
+
+
+@query("outcome_and_steps", f"""WITH {TOKENS}, j AS (SELECT t.*, o_custkey, o_totalprice / 1000 AS outcome FROM t JOIN orders ON l_orderkey = o_orderkey),
+s AS (SELECT *, avg(reward) OVER w AS m, stddev_samp(reward) OVER w AS sd, count(*) OVER w AS n FROM j WINDOW w AS (PARTITION BY o_custkey, pos)), st AS (SELECT *, (reward - CASE WHEN n <= 1 THEN 0 ELSE m END) / (CASE WHEN n <= 1 THEN 1 ELSE sd END + 1e-6) AS step FROM s),
+q AS (SELECT DISTINCT o_custkey, l_orderkey, outcome FROM j), r AS (SELECT l_orderkey, (outcome - CASE WHEN count(*) OVER w = 1 THEN 0 ELSE avg(outcome) OVER w END) / (CASE WHEN count(*) OVER w = 1 THEN 1 ELSE stddev_samp(outcome) OVER w END + 1e-6) AS rel FROM q WINDOW w AS (PARTITION BY o_custkey)),
+x AS (SELECT l_orderkey, pos, rel, CASE WHEN step * rel >= 0 THEN step ELSE step * 0.5 END AS step FROM st JOIN r USING (l_orderkey))
+SELECT l_orderkey, pos, round(0.8::DOUBLE * rel + 0.2::DOUBLE * sum(step) OVER (PARTITION BY l_orderkey ORDER BY pos DESC), 5) AS advantage FROM x""")
+def both(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", (F.col("o_totalprice") / 1000).alias("outcome"))
+    rows = tokens(s, d).join(o, "l_orderkey").withColumn("all", F.lit(1))
+    r = A.outcome_and_steps(rows, "o_custkey", "l_orderkey", "pos", "outcome", "reward", "all", differential="half")
+    return r.select("l_orderkey", "pos", F.round("advantage", 5).alias("advantage"))

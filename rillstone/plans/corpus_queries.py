@@ -60,10 +60,13 @@ def kept(s, d):
     return P.decontaminate(table(s, d, "documents"), table(s, d, "benchmark")).select("doc_id")
 
 
-@query("text_shards", "SELECT doc_id, CAST(floor(coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 100000) AS BIGINT) AS shard FROM documents WHERE length(trim(text)) >= 50")
+LINES = "r AS (SELECT doc_id, strlen(to_json(trim(text))::VARCHAR) - 1 AS b, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE trim(text) <> '' AND length(to_json(trim(text))::VARCHAR) - 1 >= 50)"
+
+
+@query("text_shards", f"WITH RECURSIVE {LINES}, g AS (SELECT doc_id, k, b AS used, 0::BIGINT AS shard FROM r WHERE k = 1 UNION ALL SELECT r.doc_id, r.k, CASE WHEN g.used + r.b > 100000 THEN r.b ELSE g.used + r.b END, g.shard + CASE WHEN g.used + r.b > 100000 THEN 1 ELSE 0 END FROM g JOIN r ON r.k = g.k + 1) SELECT doc_id, shard FROM g")
 def shards(s, d):
-    t = table(s, d, "documents").filter(F.length(F.trim("text")) >= 50)
-    return P.sharded(t, "doc_id", F.octet_length("text"), 100_000).select("doc_id", "shard")
+    t = P.text_lines(table(s, d, "documents").select(F.lit(0).alias("file"), "doc_id", "text"), "text")
+    return P.greedy_shards(t, "file", "doc_id", F.col("line_bytes"), 100_000).select("doc_id", "shard")
 
 
 # text
@@ -93,15 +96,14 @@ def route(s, d):
 # tokens
 
 
-@query("encode_vocab", "WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS token FROM benchmark) SELECT token, CAST(row_number() OVER (ORDER BY token) + 1 AS BIGINT) AS id FROM w UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '<unk>', 1")
+@query("encode_vocab", "WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS token FROM documents) SELECT token, CAST(row_number() OVER (ORDER BY token) + 1 AS BIGINT) AS id FROM w UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '<unk>', 1")
 def vocab(s, d):
-    return K.vocabulary(table(s, d, "benchmark"), "text")
+    return K.vocabulary(table(s, d, "documents"), "text")
 
 
-@query("encoded_texts", "WITH v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS token FROM benchmark WHERE item_id % 2 = 0)), w AS (SELECT item_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM benchmark)) SELECT item_id, list(CAST(coalesce(id, 1) AS BIGINT) ORDER BY pos) AS ids FROM w LEFT JOIN v USING (token) GROUP BY 1")
+@query("encoded_texts", "WITH v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS token FROM benchmark)), w AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents)) SELECT doc_id, list(CAST(coalesce(id, 1) AS BIGINT) ORDER BY pos) AS ids FROM w LEFT JOIN v USING (token) GROUP BY 1")
 def encoded(s, d):
-    b = table(s, d, "benchmark")
-    return K.encode(b, "item_id", "text", K.vocabulary(b.filter("item_id % 2 = 0"), "text"))
+    return K.encode(table(s, d, "documents"), "doc_id", "text", K.vocabulary(table(s, d, "benchmark"), "text"))
 
 
 TOK = "t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos, l_partkey AS tok FROM lineitem)"
@@ -255,16 +257,6 @@ def unbalance(s, d):
     return B.unbalance(docs, "batch", "part", "n_chars").withColumn("mean", F.round("mean", 4))
 
 
-@query("resample_weighted", None)
-def resample(s, d):
-    return B.weighted_resample(orders(s, d), "o_orderkey", F.col("o_totalprice"), 2000, 1)
-
-
-@query("sample_n", None)
-def sample(s, d):
-    return B.sample_n(orders(s, d), "o_orderkey", 100, 1)
-
-
 @query("budget_allocation", "WITH e AS (SELECT s_nationkey, s_suppkey, s_acctbal + 1000 AS w, floor((s_acctbal + 1000) / sum(s_acctbal + 1000) OVER (PARTITION BY s_nationkey) * 100) AS u, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal + 1000 DESC, s_suppkey) AS place FROM supplier) SELECT s_nationkey, s_suppkey, CAST(u + CASE WHEN place <= 100 - sum(u) OVER (PARTITION BY s_nationkey) THEN 1 ELSE 0 END AS BIGINT) AS units FROM e")
 def budget(s, d):
     t = table(s, d, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_acctbal") + 1000).alias("w"))

@@ -203,44 +203,6 @@ def alpha_grid(s, d):
     return rounded(S.power_loss(pairs(s, d), "user_id", "event_type", GRID), "loss", digits=5)
 
 
-COLLAPSE = "sum(CASE WHEN q > 1e-12 THEN q * ln(q / least(greatest(coalesce(p, 0), 1e-12), 1)) ELSE 0 END)"
-
-
-@query("trace_collapse", f"""WITH {_half(0)}, {_half(1)}, t AS (SELECT user_id, event_type, g AS q FROM g1), d AS (SELECT user_id, day, {COLLAPSE} AS d FROM (SELECT DISTINCT user_id, day FROM p0) JOIN t USING (user_id) LEFT JOIN p0 USING (user_id, day, event_type) GROUP BY 1, 2),
-n AS (SELECT user_id, min(d) AS d_trace, (list(day ORDER BY round(d, 9), day))[1] AS nearest FROM d GROUP BY 1),
-m AS (SELECT user_id, {COLLAPSE} AS d_marginal FROM (SELECT DISTINCT user_id FROM g0) JOIN t USING (user_id) LEFT JOIN (SELECT user_id, event_type, g AS p FROM g0) USING (user_id, event_type) GROUP BY 1)
-SELECT user_id, round(d_marginal, 5) AS d_marginal, round(d_trace, 5) AS d_trace, nearest, round(d_marginal - d_trace, 5) AS gap FROM m JOIN n USING (user_id)""")
-def collapse(s, d):
-    p = S.distributions(days(s, d, 0), "user_id", "day", "event_type")
-    r = S.collapse(p, half_marginal(s, d, 1).withColumnRenamed("g", "q"), "user_id", "day", "event_type")
-    return rounded(r, "d_marginal", "d_trace", "gap", digits=5)
-
-
-TRUTH = "truth AS (SELECT user_id, arg_max(event_type, c * 100 + rank) AS truth FROM (SELECT user_id, event_type, count(*) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS rank FROM events GROUP BY 1, 2) GROUP BY 1)"
-
-
-def transition_table(s, d):
-    votes = table(s, d, "events").groupBy("user_id", "event_type").count()
-    truth = votes.groupBy("user_id").agg(F.max_by("event_type", F.struct("count", "event_type")).alias("truth"))
-    return S.transitions(pairs(s, d).withColumns({"p": F.round("p", 9), "q": F.round("q", 9)}), "user_id", "event_type", truth)
-
-
-MODES = f"{PAIRS}, {TRUTH}, mo AS (SELECT user_id, (list(event_type ORDER BY round(p, 9) DESC, event_type DESC))[1] AS mode_p, (list(event_type ORDER BY round(q, 9) DESC, event_type DESC))[1] AS mode_q FROM j GROUP BY 1), ca AS (SELECT user_id, mode_p, mode_q, truth, CASE WHEN mode_p = truth AND mode_q = truth THEN 'kept' WHEN mode_q = truth THEN 'gained' WHEN mode_p = truth THEN 'lost' WHEN mode_p = mode_q THEN 'same_wrong' ELSE 'other_wrong' END AS category FROM mo JOIN truth USING (user_id))"
-
-
-@query("transition_categories", f"WITH {MODES} SELECT user_id, mode_p, mode_q, truth, category FROM ca")
-def transitions(s, d):
-    return transition_table(s, d)
-
-
-@query("category_fractions", f"WITH {MODES} SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM ca GROUP BY 1")
-def fractions(s, d):
-    from pyspark.sql.window import Window
-
-    c = transition_table(s, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    return c.select("category", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("fraction"))
-
-
 @query("embedding_softmax_entropy", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS t FROM e), z AS (SELECT vec_id, v, t, list_sum(list_transform(v, lambda x: exp(x - t))) AS z FROM m) SELECT vec_id, round(t + ln(z) - list_sum(list_transform(v, lambda x: exp(x - t) / z * x)), 5) AS entropy, round(t + ln(z) - list_sum(v) / len(v), 5) AS self_certainty FROM z")
 def embedding(s, d):
     v = F.transform("embedding", lambda x: x.cast("double"))

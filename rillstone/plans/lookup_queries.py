@@ -106,11 +106,13 @@ def speed(s, d):
     return r.select("tokens", F.round("tokens_per_device_second", 5).alias("tokens_per_device_second"), F.round("ms_per_token", 6).alias("ms_per_token"))
 
 
-@query("shard_wraparound", "WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS k FROM orders WHERE o_custkey < 20), n AS (SELECT o_orderpriority, least(count(*), 10) AS n FROM r GROUP BY 1), g AS (SELECT o_orderpriority, n, CAST(x AS INTEGER) AS slot FROM n, range(25) t(x)) SELECT o_orderpriority, slot, o_orderkey FROM g JOIN r USING (o_orderpriority) WHERE r.k = slot % n")
+@query("shard_wraparound", "WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS k FROM orders), n AS (SELECT o_orderpriority, least(count(*), 10) AS n FROM r GROUP BY 1), g AS (SELECT o_orderpriority, n, CAST(x AS INTEGER) AS slot FROM n, range(25) t(x)) SELECT o_orderpriority, slot, o_orderkey FROM g JOIN r USING (o_orderpriority) WHERE r.k = slot % n")
 def wrap(s, d):
+    # only the first 10 rows of a shard are read; the limit by shard is applied before the shuffle
     from pyspark.sql.window import Window
 
-    r = orders(s, d).filter("o_custkey < 20").select("o_orderpriority", "o_orderkey", (F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1).alias("k"))
+    k = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1
+    r = orders(s, d).select("o_orderpriority", "o_orderkey", k.alias("k")).filter("k < 10")
     return L.shard_local_windows(r, "o_orderpriority", "k", 10, 25).select("o_orderpriority", "slot", "o_orderkey")
 
 

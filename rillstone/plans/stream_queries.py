@@ -30,13 +30,27 @@ def running(s, d):
     return out.select("event_type", "n", F.round("mean", 5).alias("mean"), "least", "most")
 
 
+def _finished(s, stream, mode):
+    root = _checkpoint(s)
+    return M.finished(stream, mode, root, f"{root}-result")
+
+
+#: Event times have no zone: they are read, and shown again, as UTC, whatever the session's zone is.
+AS_UTC = "CASE WHEN ts IS NOT NULL THEN timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))) END AS ts"
+
+
+def _utc(column: str, pattern: str):
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(column).cast("timestamp_ntz")), pattern)
+
+
 def session_table(s, d):
-    out = M.sessions(table(s, d, "events"), "ts", "6 hours", "user_id")
-    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+    out = _finished(s, M.sessions(_events(s, d).selectExpr(AS_UTC, "user_id"), "ts", "6 hours", "user_id", "1 day"), "complete")
+    return out.select("user_id", _utc("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
 
 
 def hourly(s, d):
-    return M.windowed(table(s, d, "events"), "ts", "1 day", "1 hour", ["event_type"], "value").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    out = _finished(s, M.windowed(_events(s, d).selectExpr(AS_UTC, "event_type", "value"), "ts", "1 day", "1 hour", ["event_type"], "value"), "complete")
+    return out.select(_utc("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 Q |= {"stream_running_metrics": running, "stream_sessions": session_table, "stream_windows": hourly}

@@ -83,8 +83,3 @@ def width(s, d):
     c = table(s, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"))
     h = c.groupBy("user_id").agg(D.entropy(F.array_sort(F.collect_list("n"))).alias("h"))
     return h.select("user_id", F.round("h", 6).alias("entropy"), D.width_for_entropy(F.col("h"), 5, 8).alias("width"))
-
-
-@query("gumbel_policy", None)
-def gumbel(s, d):
-    return S.gumbel_sample(table(s, d, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", "p_partkey", "p_size", 3, 5.0, 1)

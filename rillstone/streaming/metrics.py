@@ -1,4 +1,4 @@
-"""Streaming operators: metrics and sessions over files that keep arriving, and dialogues as keyed state."""
+"""Streaming operators: metrics, windows and sessions over files that keep arriving, dialogues as keyed state, and replays of budgeted thinking."""
 
 from __future__ import annotations
 
@@ -39,6 +39,61 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFra
     return stream.sparkSession.table(name)
 
 
+def finished(stream: DataFrame, mode: str, checkpoint: str, result: str) -> DataFrame:
+    """The result of a stream over all files that are there now, as a table: each batch is written to a folder of its own, and the last one counts in complete mode, all of them otherwise."""
+    spark, schema = stream.sparkSession, stream.schema
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{result}/{'last' if mode == 'complete' else f'batch={k}'}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{result}/last" if mode == "complete" else f"{result}/batch=*")
+
+
+def budgeted(thought_end: int, separator: int, call: int, eos: int, budget: int = 1024, answer: int = 1024, most_calls: int = 6):
+    """An Arrow-batched function over recorded ids: (thinking, answer, calls, ended).
+
+    Phase one takes thinking tokens up to the budget; an end of thought before it becomes a separator and thinking goes on. Then the end of thought is set, and phase two
+    takes answer tokens up to their own budget, the end id, or the cap on calls.
+    """
+    from pyspark.sql import types as T
+
+    ids = T.ArrayType(T.LongType())
+    kind = T.StructType([T.StructField("thinking", ids), T.StructField("answer", ids), T.StructField("calls", T.IntegerType()), T.StructField("ended", T.StringType())])
+
+    def one(recorded):
+        thinking: list[int] = []
+        at = 0
+        while at < len(recorded) and len(thinking) < budget:
+            token, at = int(recorded[at]), at + 1
+            if token == eos:
+                at -= 1
+                break
+            thinking.append(separator if token == thought_end and len(thinking) + 1 < budget else token)
+        if not thinking or thinking[-1] != thought_end:
+            thinking.append(thought_end)
+        said: list[int] = []
+        calls = 0
+        while at < len(recorded):
+            token, at = int(recorded[at]), at + 1
+            said.append(token)
+            calls += token == call
+            if token == eos:
+                return thinking, said, calls, "end"
+            if calls >= most_calls:
+                return thinking, said, calls, "calls"
+            if len(said) >= answer:
+                return thinking, said, calls, "budget"
+        return thinking, said, calls, "recorded"
+
+    @F.pandas_udf(kind)
+    def run(recorded: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one([] if r is None else r) for r in recorded], columns=["thinking", "answer", "calls", "ended"])
+
+    return run
+
+
 def dialogue_steps(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Per dialogue: counts model turns up to a call cap; a reply without a call, or the cap, ends it. For applyInPandasWithState."""
     turns, done = state.get if state.exists else (0, False)

@@ -8,6 +8,7 @@ import pytest
 
 from rillstone import bindings
 from rillstone.functions import distributions as D
+from rillstone.functions import final_answers as N
 from rillstone.functions import lan_tokens as L
 from rillstone.functions import notation, rollout_text, rules
 from rillstone.functions import text as X
@@ -100,7 +101,7 @@ def test_alpha_is_found(spark):
 def test_text_functions(spark):
     c = F.lit
     r = one(
-        spark, X.reasoning(c("a </T> b")), X.reasoning(c("x <T> y")), X.last_boxed(c(r"\boxed{1} \boxed{\frac{1}{2}}")), X.strict_number(c("#### 1,234")), X.flexible_number(c("so 3 then 45.")),
+        spark, X.reasoning(c("a </T> b")), X.reasoning(c("x <T> y")), N.boxed(c(r"\boxed{1} \boxed{\frac{1}{2}}")), X.strict_number(c("#### 1,234")), X.flexible_number(c("so 3 then 45.")),
         X.lan_to_uci(c("Pe7e8=Q")), X.lan_to_uci(c("O-O"), False), X.split_lan(c("Nd4xe6+")), X.decode_list(c("['a', 'b']")), X.decode_list(c("a, b c")), X.normal_answer(c("The  Cat, a dog!")),
         X.numbers_equal(c("50"), c("0.5")), X.cp_label(c(300)), X.cp_label(c(301)), X.cp_label(c(-50)), X.strip_env_pairs(c("A <call_env> B C")), X.position_key(c("x w KQ - 0 1")), X.model_size_millions(c("run_50m x")),
     )
@@ -162,7 +163,7 @@ def test_batch_union_conflict(spark):
 
 def test_resampling_follows_weights(spark):
     df = spark.range(1, 101)
-    rows = B.weighted_resample(df, "id", F.col("id").cast("double"), 5050, 3).collect()
+    rows = B.systematic_resample(df, "id", F.col("id").cast("double"), 5050, 3).collect()
     n = {}
     for r in rows:
         n[r["id"]] = n.get(r["id"], 0) + 1
