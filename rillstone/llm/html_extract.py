@@ -1,21 +1,21 @@
 """HTML extraction with host suffix arrays.
 
 A page is read as a stream of blocks. Markup says what is chrome by nature (menus,
-headers, footers, sidebars, forms, notices, adverts, comments, scripts). What stands
-inside an article is the page's own text. Blocks that markup leaves open, those of
-pages without an article element, are decided by their host: the pages' token streams are concatenated,
-a suffix array finds the long substrings that repeat across distinct contents, and open
-blocks that these cover are boilerplate, but for the unique runs in them. A substring counts as repeated
-if it stands in LEAST contents of its host and in SHARE of them, or in all if there are fewer than LEAST; copies of a page are one content.
+headers, footers, sidebars, forms, notices, adverts, comments, scripts); of a header inside an article its headings stay. The pages' other
+token streams, those outside of articles, are concatenated by host: a suffix array finds the long substrings that repeat across distinct contents, and
+blocks that these cover are boilerplate, but for the unique runs in them. On pages without an article element every block is
+decided so; inside an article only a block of RUN tokens or more goes that such substrings cover whole, a notice that stands in the chrome of other pages. A substring counts as repeated
+if it stands in LEAST contents of its host and in SHARE of them, or in all if there are fewer than LEAST; copies of a page are one content. What articles repeat
+among themselves, as quotes or copies, stays.
 
 The suffix arrays are built over the pages of one Arrow batch and host; each hands on the
 number of contents of every substring of RUN tokens, and a shuffle by substring adds
 them up. Contents that stand on several pages are counted apart, each once. So repeats count across all pages of a host, and no task ever holds a host.
 
-Defined results: null html is an empty page; a page without text gives an empty string; a null
+Defined results: null html is an empty page; a page without text gives an empty string; very long pages are read whole, and tasks take few pages at once; a null
 url is a host of its own; pages that repeat give rows each (one page_id twice doesn't make
-its own text boilerplate); an unclosed article runs to the end of the page; an empty
-table gives no rows. Extra columns are ignored.
+its own text boilerplate), and ties don't arise, as no order decides anything; an unclosed article runs to the end of the page; an empty
+table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +37,9 @@ COVERED = 0.5
 #: Distinct contents of a host in which a repeated substring stands at least, and their share.
 LEAST, SHARE = 3, 0.1
 
+#: Pages that a worker holds at once.
+PAGES = 64
+
 #: Tags whose content is never text of the page.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "title"}
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "head", "fieldset"}
@@ -57,8 +60,10 @@ BESIDE = {"", "site", "global", "container", "wrapper", "wrap", "bar", "box", "a
 #: Names that start so speak of the page around, as in has-sidebar.
 LAYOUT = ("has-", "no-", "with-", "without-")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
+#: Attribute values may be quoted; unquoted ones end at white space or the tag's end, and quotes inside them mean nothing.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)*+)>""", re.S)
+ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 HEADING = re.compile(r"h[1-6]$")
 
@@ -69,10 +74,10 @@ def is_chrome(tag: str, attrs: str) -> bool:
     if tag in ("body", "html") or len(attrs) < 4:
         return False
     for m in ATTR.finditer(attrs):
-        if not m[1]:
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and HIDDEN.search(value)):
             return True
-        names = (m[2] or m[3] or m[4] or "").lower().split()
-        if tag not in ARTICLE and any(names_chrome(name) for name in names):
+        if name in ("class", "id", "role") and tag not in ARTICLE and any(map(names_chrome, value.lower().split())):
             return True
     return False
 
@@ -150,7 +155,10 @@ def blocks_of(page: str) -> tuple[list[str], list[str], bool]:
                 while stack and stack[-1][0] == tag:
                     stack.pop()
                 hidden, article = stack[-1][1:] if stack else (False, False)
-            hidden = hidden or is_chrome(tag, m[3])
+            if hidden and HEADING.match(tag) and stack and stack[-1][0] == "header" and article and not any(h for _, h, _ in stack[:-1]):
+                hidden = is_chrome(tag, m[3])  # the title of an article in its own header
+            else:
+                hidden = hidden or is_chrome(tag, m[3])
             if tag in ARTICLE and not hidden:
                 article = found = True
             stack.append((tag, hidden, article))
@@ -233,16 +241,30 @@ def gram_keys(grams: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the article, or all that are open, and the blocks outside; content: a hash of the page."""
+    for batch in lean(batches, PAGES):
+        blocks, others, found, hosts = [], [], [], []
+        for url, page in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
+            inside, outside, has = blocks_of(page.as_py() or "")
+            blocks.append(inside)
+            others.append(outside if has else [])
+            found.append(has)
+            hosts.append(host_of(url))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), batch.column("content"), pa.array(hosts, pa.string()), pa.array(found, pa.bool_()), pa.array(blocks, pa.list_(pa.string())), pa.array(others, pa.list_(pa.string()))],
+            names=["page_id", "url", "content", "host", "article", "blocks", "outside"],
+        )
+
+
 def _evidence(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.RecordBatch]:
-    """Substrings of open and outside blocks by host with their number of pages; key 0 and part 1 count the pages. With ``each``, page by page, and the page's content."""
-    for batch in batches:
+    """Substrings of blocks outside of articles by host with their number of pages; key 0 and part 1 count the pages. With ``each``, page by page, and the page's content."""
+    for batch in lean(batches):
         hosts: dict[tuple[str, int | None], list] = {}
-        for url, page, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            inside, outside, found = blocks_of(page or "")
-            blocks = outside if found else inside + outside
-            streams = hosts.setdefault((host_of(url), content if each else None), [])
+        for host, content, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            streams = hosts.setdefault((host, content if each else None), [])
             if not each or not streams:
-                streams.append([_token_hashes(b) for b in blocks])
+                streams.append([_token_hashes(b) for b in blocks.as_py()])
         for (host, content), streams in hosts.items():
             keys, n = run_keys(streams, RUN)
             k = len(keys)
@@ -252,39 +274,42 @@ def _evidence(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.Reco
             )
 
 
-def repeated_runs(pages: DataFrame) -> DataFrame:
+def repeated_runs(parsed: DataFrame) -> DataFrame:
     """(host, run_key) of the substrings of RUN tokens that repeat in distinct contents of a host, outside of articles."""
-    rows = pages.select("url", "html", F.xxhash64("html").alias("content"))
-    copied = written(rows.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content"), "html-copied")
-    rows = with_membership(rows, F.col("content"), copied, "_maybe")
+    copied = written(parsed.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content"), "html-copied")
+    rows = parsed.select("host", "content", F.when(F.col("article"), F.col("outside")).otherwise(F.col("blocks")).alias("streams"))
+    rows = with_membership(rows, F.col("content"), copied, "maybe")
     schema = "host string, part byte, run_key long, n long, content long"
-    single = rows.filter("not _maybe").drop("_maybe").mapInArrow(lambda b: _evidence(b, False), schema).drop("content")
-    several = rows.filter("_maybe").drop("_maybe").mapInArrow(lambda b: _evidence(b, True), schema).distinct().drop("content")
+    single = rows.filter("not maybe").drop("maybe").mapInArrow(lambda b: _evidence(b, False), schema).drop("content")
+    several = rows.filter("maybe").drop("maybe").mapInArrow(lambda b: _evidence(b, True), schema).distinct().drop("content")
     counts = written(single.unionByName(several).groupBy("host", "part", "run_key").agg(F.sum("n").alias("n")).filter("n > 1 or part = 1"), "html-counts")
     hosts = counts.filter("part = 1").select("host", F.col("n").alias("contents"))
     least = F.least("contents", F.greatest(F.lit(LEAST), F.ceil(SHARE * F.col("contents"))))
     return counts.filter("part = 0").join(hosts, "host").filter(F.col("n") >= least).select("host", "run_key")
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, host, run_key) of the first RUN tokens of each block that has so many."""
+    import zlib
+
     for batch in lean(batches):
-        texts, opens, hosts = [], [], []
-        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            inside, _, found = blocks_of(page or "")
-            texts.append("\n\n".join(inside) if found else None)
-            opens.append(None if found else inside)
-            hosts.append(host_of(url))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))],
-            names=["page_id", "url", "host", "text", "open_blocks"],
-        )
+        rows, hosts, grams = [], [], []
+        for row, host, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for block in blocks.as_py():
+                words = block.split(None, RUN)[:RUN]
+                if len(words) == RUN:
+                    rows.append(row)
+                    hosts.append(host)
+                    grams.append([zlib.crc32(w.encode()) for w in words])
+        keys = gram_keys(np.asarray(grams, dtype=np.int64).reshape(-1, RUN))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["row", "host", "run_key"])
 
 
 def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per substring of each open block: row, block, at, n_tokens, host, run_key."""
-    for batch in batches:
-        for row, host, blocks in zip(batch.column("row").to_pylist(), batch.column("host").to_pylist(), batch.column("open_blocks").to_pylist(), strict=True):
-            for b, block in enumerate(blocks):
+    """One row per substring of each block: row, block, at, n_tokens, host, run_key."""
+    for batch in lean(batches):
+        for row, host, blocks in zip(batch.column("row").to_pylist(), batch.column("host").to_pylist(), batch.column("blocks"), strict=True):
+            for b, block in enumerate(blocks.as_py()):
                 hashes = _token_hashes(block)
                 n = len(hashes)
                 padded = np.asarray([*hashes, *[1 << 33] * max(0, RUN - n)], dtype=np.int64)
@@ -297,10 +322,10 @@ def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The open blocks as text; of those with repeated runs only the runs of RUN tokens or more that aren't covered."""
-    for batch in batches:
+    """The blocks as text; of those with repeated runs only the runs of RUN tokens or more that aren't covered."""
+    for batch in lean(batches, PAGES):
         texts = []
-        for blocks, cuts in zip(batch.column("open_blocks").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
+        for blocks, cuts in zip(batch.column("blocks").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
             for cut in cuts or ():
                 words = blocks[cut["block"]].split()
                 ends = [a + RUN for a in cut["ats"]]
@@ -311,23 +336,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text for each row of pages."""
+    """page_id, url, text for each row of pages. A page is parsed once; its blocks move only if a repeated run may stand in them."""
     kind = dict(pages.dtypes)["page_id"]
-    parsed = pages.select("page_id", "url", "html").mapInArrow(_parse, f"page_id {kind}, url string, host string, text string, open_blocks array<string>")
-    parsed = written(parsed, "html-parsed")
-    done = parsed.filter("open_blocks is null").select("page_id", "url", "text")
-    left = parsed.filter("open_blocks is not null and size(open_blocks) > 0")
-    none = parsed.filter("open_blocks is not null and size(open_blocks) = 0").select("page_id", "url", F.lit("").alias("text"))
-    runs = written(repeated_runs(pages), "html-runs")
-    left = written(left.select(F.expr("uuid()").alias("row"), "page_id", "url", "host", "open_blocks"), "html-open")
-    at = left.select("row", "host", "open_blocks").mapInArrow(_open_runs, "row string, block int, at int, n_tokens int, host string, run_key long")
+    parsed = pages.select("page_id", "url", "html", F.xxhash64("html").alias("content")).mapInArrow(_parse, f"page_id {kind}, url string, content long, host string, article boolean, blocks array<string>, outside array<string>")
+    parsed = written(parsed.withColumn("row", F.expr("uuid()")), "html-parsed")
+    runs = written(repeated_runs(parsed), "html-runs")
+
+    # articles with a block that starts with a repeated run are looked at again, and all pages without an article
+    first = parsed.filter("article").select("row", "host", "blocks").mapInArrow(_first_runs, "row string, host string, run_key long")
+    known = runs.select(F.xxhash64("host", "run_key").alias("h"))
+    first = with_membership(first, F.xxhash64("host", "run_key"), known, "maybe").filter("maybe").join(runs, ["host", "run_key"], "left_semi")
+    suspects = written(first.select("row").distinct(), "html-suspects")
+    again = with_membership(parsed.filter("article"), F.xxhash64("row"), suspects.select(F.xxhash64("row").alias("h")), "maybe").filter("maybe").join(suspects, "row", "left_semi")
+    looked = parsed.filter("not article and size(blocks) > 0").select("row", "host", "blocks").unionByName(again.select("row", "host", "blocks"))
+    at = looked.mapInArrow(_open_runs, "row string, block int, at int, n_tokens int, host string, run_key long")
+    at = with_membership(at, F.xxhash64("host", "run_key"), known, "maybe").filter("maybe").drop("maybe")
     hits = at.join(runs, ["host", "run_key"]).groupBy("row", "block").agg(F.collect_set("at").alias("ats"), F.max("n_tokens").alias("n"))
     # tokens under at least one repeated substring, from the sorted starts
     hits = hits.withColumn("ats", F.array_sort("ats"))
     cover = F.aggregate("ats", F.struct(F.lit(0).alias("c"), F.lit(0).alias("e")), lambda a, s: F.struct((a["c"] + F.least(s + RUN, F.col("n")) - F.greatest(a["e"], s)).alias("c"), F.least(s + RUN, F.col("n")).alias("e")))["c"]
-    bad = hits.filter(cover >= COVERED * F.col("n")).groupBy("row").agg(F.collect_list(F.struct("block", "ats")).alias("cuts"))
-    kept = left.join(bad, "row", "left").select("page_id", "url", "open_blocks", "cuts").mapInArrow(_cut, f"page_id {kind}, url string, text string")
-    return done.unionByName(kept).unionByName(none)
+    bad = hits.withColumn("cover", cover).filter(F.col("cover") >= COVERED * F.col("n"))
+    cuts = written(bad.groupBy("row").agg(F.collect_list(F.struct("block", "ats", ((F.col("cover") == F.col("n")) & (F.col("n") >= RUN)).alias("whole"))).alias("cuts")), "html-cuts")
+
+    rows = with_membership(parsed, F.xxhash64("row"), cuts.select(F.xxhash64("row").alias("h")), "maybe")
+    sure = rows.filter("not maybe").select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
+    applied = F.when(F.col("article"), F.filter("cuts", lambda c: c["whole"])).otherwise(F.col("cuts"))
+    rest = rows.filter("maybe").join(cuts, "row", "left").select("page_id", "url", "blocks", applied.alias("cuts"))
+    return sure.unionByName(rest.mapInArrow(_cut, f"page_id {kind}, url string, text string"))
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -220,6 +220,40 @@ def test_html_compound_names_are_no_chrome(spark):
     assert set(texts_of(spark, pages).values()) == {"one\n\ntwo\n\nthree\n\nfour"}
 
 
+def test_html_attributes_and_headers(spark):
+    page = """<article><p title=it's>one</p><p data-class="ad">two</p><p title="class=ad">three</p><header><h1>Title</h1><p>by x</p></header><div CLASS=ad>no</div><p aria-hidden="true">no</p><p style="display: none">no</p>
+    <nav><h2>no</h2></nav><p data-a='>'>four</p></article>"""
+    assert texts_of(spark, [("http://a.b/1", page), ("http://a.b/2", '<article><p a="unclosed>five</p><p>six</p></article>')]) == {0: "one\n\ntwo\n\nthree\n\nTitle\n\nfour", 1: "five\n\nsix"}
+
+
+def test_html_chrome_of_the_host_inside_an_article(spark):
+    rng = random.Random(4)
+    notice, quote = prose(rng, 14, 5000), prose(rng, 14, 5000)
+    bodies = [prose(rng, 40, 5000) for _ in range(8)]
+    pages = [(f"http://h.org/{i}", f"<article><p>{b}</p>" + (f"<p>{notice}</p>" if i < 2 else "") + f"<p>{quote}</p><h2>Contact us</h2></article><div>{notice}</div><div>Contact us</div>") for i, b in enumerate(bodies)]
+    got = texts_of(spark, pages)
+    # the notice is chrome on all pages of the host; what only articles share stays, and so do short headings
+    assert got == {i: f"{b}\n\n{quote}\n\nContact us" for i, b in enumerate(bodies)}
+    stripped = [(u, h.replace("<article>", "").replace("</article>", "")) for u, h in pages]
+    got = texts_of(spark, stripped)  # without article tags the host's evidence decides all
+    assert got == {i: b for i, b in enumerate(bodies)}
+
+
+def test_html_runs_against_brute_force():
+    """Substrings of RUN tokens and their pages, against all substrings of small hosts."""
+    rng = random.Random(6)
+    for _ in range(50):
+        streams = [[[rng.randrange(3) for _ in range(rng.randrange(0, 14))] for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 5))]
+        keys, n = html_extract.run_keys(streams, 4)
+        want = collections.Counter()
+        for page in streams:
+            want.update({tuple(b[k : k + 4]) if len(b) >= 4 else tuple(b) + (1 << 33,) * (4 - len(b)) for b in page if b for k in range(max(1, len(b) - 3))})
+        import numpy as np
+
+        expected = dict(zip(html_extract.gram_keys(np.asarray(list(want), dtype=np.int64).reshape(-1, 4)).tolist(), want.values(), strict=True))
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == expected
+
+
 def test_suffix_array():
     import numpy as np
 
