@@ -5,7 +5,8 @@ from the back, so that the first piece is the short one. What is packed is the
 histogram of piece lengths: at most one counter a length, however many documents there
 are. The driver completes a bin around the largest length left: it enumerates the
 undominated fillings, prunes by the waste they must leave, keeps the best-fit filling as the
-incumbent, and repeats the bin found as often as the counters allow. Pieces then find
+incumbent, and repeats the bin found as often as the counters allow. The search has a budget; where it ends with waste, the sums that the lengths left can reach
+tell the least waste, and a filling with it is taken. So each bin is as full as it can be, whatever the lengths. Pieces then find
 their bin through their rank among the pieces of their length.
 
 Defined results: a null text is empty; an empty text is one piece, the end id; a very long text is
@@ -31,7 +32,7 @@ from .common import buckets_for, lean, written
 
 LENGTH = 2048
 END_ID = 0
-#: Fillings tried for one bin, beyond the best-fit one.
+#: Fillings tried for one bin, beyond the best-fit one, and how many pieces deep, before the reachable sums are asked.
 NODES = 4000
 DEPTH = 6
 
@@ -194,7 +195,33 @@ def complete(bins: Bins, room: int, first: int, nodes: int = NODES, depth: int =
 
     if waste:
         search(room, room, [])
-    return best
+    return least_waste(bins, room, first) if waste else best
+
+
+def least_waste(bins: Bins, room: int, first: int) -> list[int]:
+    """Lengths that fill ``room`` beside ``first`` as far as any do, the largest pieces first; descending.
+
+    A number's bits are the sums that can be reached; one is kept per length, so that a filling can be read off.
+    """
+    lengths = [x for x in range(1, room + 1) if bins.counts[x] - (x == first) > 0]
+    every, reached = (1 << (room + 1)) - 1, [1]
+    for x in lengths:
+        sums, left, step = reached[-1], min(bins.counts[x] - (x == first), room // x), 1
+        while left > 0:  # copies in powers of two
+            n = min(step, left)
+            sums |= (sums << (x * n)) & every
+            left -= n
+            step *= 2
+        reached.append(sums)
+    rest, out = reached[-1].bit_length() - 1, []
+    for k in range(len(lengths) - 1, -1, -1):
+        x = lengths[k]
+        n = min(bins.counts[x] - (x == first), rest // x)
+        while not reached[k] >> (rest - n * x) & 1:
+            n -= 1
+        out += [x] * n
+        rest -= n * x
+    return out
 
 
 def _free(bins: Bins, used: dict[int, int], most: int) -> int:

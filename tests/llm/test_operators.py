@@ -417,6 +417,21 @@ def test_bins_are_optimal_where_brute_force_can_tell():
         assert sum(n for _, n in packed) == best(sorted(sizes, reverse=True), [])
 
 
+def test_many_short_pieces_fill_their_bins():
+    packed = packing.pack_histogram({201: 1000, 184: 1000}, 2048)
+    assert sum(n for _, n in packed) == 190
+    rng = random.Random(15)
+    for _ in range(40):
+        counts = {rng.randrange(1, 60): rng.randrange(1, 6) for _ in range(rng.randrange(1, 7))}
+        bins = packing.Bins([counts.get(k, 0) for k in range(101)])
+        first = max(counts)
+        sums = {0}
+        for x, c in counts.items():
+            sums = {s + x * k for s in sums for k in range(c + 1 - (x == first)) if s + x * k <= 100 - first}
+        got = packing.least_waste(bins, 100 - first, first)
+        assert sum(got) == max(sums) and all(got.count(x) <= counts[x] - (x == first) for x in got)
+
+
 # 6
 
 
