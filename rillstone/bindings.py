@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("advantage_queries", "evaluation_queries", "corpus_queries", "lookup_queries", "token_queries", "rollout_queries", "traversal_queries", "stream_queries", "grading_queries", "stage_queries", "batch_queries", "answer_queries")
+AREAS = ("advantage_queries", "evaluation_queries", "corpus_queries", "lookup_queries", "token_queries", "rollout_queries", "traversal_queries", "stream_queries", "grading_queries", "stage_queries", "batch_queries", "answer_queries", "text_queries")
 
 
 def _areas():

@@ -58,7 +58,7 @@ def answer_lines(s, d):
 
 @query("weighted_answers", "SELECT p_partkey, round(0.9::DOUBLE * (p_size % 2 = 0)::INT + 0.1::DOUBLE * (p_size % 3 = 0)::INT, 6) AS score FROM part")
 def weighted(s, d):
-    gold = F.when(F.col("p_size") % 2 == 0, F.col("p_partkey")).otherwise(F.col("p_partkey") * 3).cast("string")
+    gold = F.when(F.col("p_size") % 2 == 0, F.col("p_partkey")).otherwise(F.col("p_partkey") * 3 + 1).cast("string")
     text = F.concat(F.when(F.col("p_size") % 3 == 0, "<think>a</think> ").otherwise("a "), F.lit("\\boxed{"), F.col("p_partkey").cast("string"), F.lit("}"))
     return table(s, d, "part").select("p_partkey", F.round(N.weighted(text, gold), 6).alias("score"))
 
