@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results, by stage. Extra columns ride along to the last stage, whatever their names; very long texts are worked whole; empty tables give empty tables.
+Quality rules: null and empty texts go, repeated rows are judged each. Exact dedup: one row of each text stays, the smallest doc_id's; a null doc_id is larger than any other, and of rows
+that tie one stays. Near-dedup: one row of each group stays; unlike texts under one doc_id, or under none, all stay. Mixing: rows without a word are never drawn, a null source is a source,
+a document may be drawn twice; ties go by hash, doc_id and size. Packing: every row's ids are packed, those of a null text as the end id alone.
 """
 
 from __future__ import annotations
