@@ -58,7 +58,7 @@ def width(entropy: Column, n: Column) -> Column:
 
 
 def grow(roots: DataFrame, scores: DataFrame, budget: str = "budget", most: int = 5, depth: int = 6, stop_entropy: float = 0.5, temperature: float = 100.0, eps: float = 1e-6) -> DataFrame:
-    """(tree, path): the lines of each tree.
+    """(tree, path, position): the lines of each tree with the position at their ends.
 
     roots: (tree, position, budget). A node is a leaf once its budget is used up, at full depth, or without moves. Below ``stop_entropy``
     only the best line is followed (never at the root); else the width grows with the entropy, and what is left of the budget after this node
@@ -88,7 +88,7 @@ def grow(roots: DataFrame, scores: DataFrame, budget: str = "budget", most: int
         units = F.col("_units") + (F.col("_rank") <= F.col("_left")).cast("long")
         share = F.when(F.col("_straight"), F.col("budget") - 1).otherwise(units)
         below = written(moves.select("tree", F.col("child").alias("position"), share.alias("budget"), F.concat("path", F.array("move")).alias("path"), F.col("_straight").alias("straight"), F.col("path").alias("_parent")), "grow-level")
-        ends = front.join(below.select("tree", F.col("_parent").alias("path")).distinct(), ["tree", "path"], "left_anti").filter(F.size("path") > 0).select("tree", "path")
+        ends = front.join(below.select("tree", F.col("_parent").alias("path")).distinct(), ["tree", "path"], "left_anti").filter(F.size("path") > 0).select("tree", "path", "position")
         done = ends if done is None else done.unionByName(ends)
         front = below.drop("_parent")
     return done
@@ -149,3 +149,27 @@ def engine_failures(wanted: DataFrame, scores: DataFrame, position: str) -> Data
 def lines_for_budget(moves: Column, depth: int) -> Column:
     """Lines that a budget of moves pays for."""
     return F.floor(moves / F.lit(depth)).cast("int")
+
+
+def synthesise(roots: DataFrame, scores: DataFrame, leaf_scores: DataFrame, context: str | None = None, breadth: bool = False, **options) -> DataFrame:
+    """(tree, text, move, label, value, n_lines): trees grown, labelled, searched by minimax and written as reasoning traces that end in the best move.
+
+    leaf_scores: (position, cp for the root's side, mate_in, over, winner_is_root). Ties between root moves go to the value, then to the smaller move. A root without
+    moves has an empty text. ``context``: a column of roots that the trace follows.
+    """
+    from . import traversals as V
+    from . import trees as T
+
+    lines = written(grow(roots, scores, **options), "synthesis-lines")
+    ends = lines.join(leaf_scores, "position", "left").drop("position")
+    moves = labelled_trees(lines.select("tree", "path"), ends)
+    best = moves.groupBy("tree").agg(F.min_by(F.struct("move", "label", "value"), F.struct(-F.col("label"), -F.col("value"), F.col("move"))).alias("b"))
+    named = lines.select("tree", "path", F.array_join("path", " ").alias("line"))
+    nodes = V.nodes_of(T.visits(named, "tree", "line", "path"), "tree", "line")
+    label = leaf_label(F.coalesce("over", F.lit(False)), F.col("winner_is_root"), F.col("mate_in"), F.col("cp"))
+    leaves = ends.select("tree", F.array_join("path", " ").alias("prefix"), label.alias("label"))
+    text = V.traversal(nodes.join(leaves, ["tree", "prefix"], "left"), "tree", label="label", breadth=breadth, separators=True)
+    counts = lines.groupBy("tree").agg(F.count(F.lit(1)).alias("n_lines"))
+    out = roots.select("tree", *([F.col(context).alias("_context")] if context else [])).join(best, "tree", "left").join(text, "tree", "left").join(counts, "tree", "left")
+    whole = V.trace(F.col("text"), F.col("b.move"), F.col("_context") if context else None)
+    return out.select("tree", whole.alias("text"), "b.move", "b.label", "b.value", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 
 def visits(df: DataFrame, tree: str, line: str, moves: str) -> DataFrame:
     """One row per visit: tree, prefix, depth, line, and whether it is the node's first visit (lines in order)."""
@@ -82,6 +84,21 @@ def dfs_consistency(v: DataFrame, tree: str, line: str) -> DataFrame:
     return seq.select(tree, _consistency(F.col("_seq.prefix")).alias("tau"))
 
 
+def row_metrics(df: DataFrame, key: str, output: str) -> DataFrame:
+    """One row per output: its tree's shape and consistency, and the length of its reasoning; without lines, zeros and full consistency."""
+    from ..functions import text as X
+
+    lines = df.select(key, F.posexplode(X.lines_of(F.col(output))).alias("line", "moves"))
+    v = written(visits(lines, key, "line", "moves"), "row-visits")
+    nodes, depth = F.coalesce("nodes", F.lit(0)), F.coalesce("max_depth", F.lit(0))
+    out = df.select(key, F.length(X.reasoning(F.col(output))).alias("n_chars")).join(shape(v, key), key, "left").join(dfs_consistency(v, key, "line"), key, "left")
+    return out.select(
+        key, F.coalesce("root_candidates", F.lit(0)).alias("candidate_count"), nodes.alias("num_nodes"), depth.alias("max_depth"), F.when(depth > 0, branching(nodes, depth)).otherwise(0.0).alias("branching"),
+        F.when(depth > 0, F.col("leaves") / depth).otherwise(0.0).alias("leaves_per_depth"), F.coalesce("visits", F.lit(0)).alias("visits"), F.coalesce("revisit_rate", F.lit(0.0)).alias("revisit_rate"),
+        F.coalesce("tau", F.lit(1.0)).alias("consistency"), "n_chars",
+    )
+
+
 def minimax_level(df: DataFrame, parent: list[str], value: str, maximise: bool) -> DataFrame:
     """One level up: the best (or worst) child value per parent; a missing leaf counts 0."""
     v = F.coalesce(F.col(value), F.lit(0.0))

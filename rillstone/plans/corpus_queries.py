@@ -178,7 +178,7 @@ def first_visits(s, d):
     return visits(s, d).groupBy("user_id", "prefix", "depth").agg(F.min("day").alias("first_line"), F.count(F.lit(1)).alias("visits"))
 
 
-@query("dfs_consistency", None)
+@query("dfs_consistency", f"WITH {V}, f AS (SELECT user_id, prefix, min(day) AS day, any_value(depth) AS depth FROM v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day, depth) AS k FROM f), a AS (SELECT user_id, prefix, k, unnest(range(1, depth + 1)) AS j FROM r), c AS (SELECT a.user_id, a.prefix, a.k, list(r.k ORDER BY j) AS chain FROM a JOIN r ON r.user_id = a.user_id AND r.prefix = array_to_string(string_split(a.prefix, ' ')[1:j], ' ') GROUP BY 1, 2, 3), o AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY chain) AS place FROM c), i AS (SELECT x.user_id, count(*) AS inv FROM o x JOIN o y ON x.user_id = y.user_id AND x.k < y.k AND x.place > y.place GROUP BY 1), n AS (SELECT user_id, count(*) AS n FROM o GROUP BY 1) SELECT user_id, round(CASE WHEN n < 2 THEN 1::DOUBLE ELSE 1 - 4.0::DOUBLE * coalesce(inv, 0) / (n * (n - 1)) END, 6) AS tau FROM n LEFT JOIN i USING (user_id)")
 def dfs(s, d):
     return T.dfs_consistency(visits(s, d), "user_id", "day").withColumn("tau", F.round("tau", 6))
 

@@ -19,6 +19,7 @@ from rillstone.operators import lookups
 from rillstone.operators import prep as P
 from rillstone.operators import stages, states
 from rillstone.operators import training_rows as R
+from rillstone.operators import trees as T
 from rillstone.plans import named
 from rillstone.sources import loaders
 from rillstone.streaming import metrics as S
@@ -198,6 +199,23 @@ def test_growth_against_recursion(spark):
         assert sorted(found.get(tree, [])) == grown(scores, position, budget), (tree, position, budget)
 
 
+def test_synthesis(spark):
+    scores = spark.createDataFrame([("r", "a", "p1", 50.0, 40.0), ("r", "b", "p2", 40.0, 90.0), ("p1", "c", "p3", 10.0, 0.0), ("p2", "d", "p4", 5.0, 5.0)], "position string, move string, child string, work double, ref double")
+    leaf = spark.createDataFrame([("p3", -400.0, None, False, None), ("p4", 400.0, None, False, None)], "position string, cp double, mate_in int, over boolean, winner_is_root boolean")
+    roots = spark.createDataFrame([(1, "r", 10, "e4"), (2, "nowhere", 10, "d4")], "tree int, position string, budget int, ctx string")
+    got = {r["tree"]: r for r in W.synthesise(roots, scores, leaf, "ctx", depth=2).collect()}
+    assert got[1]["move"] == "b" and got[1]["label"] == 1 and got[1]["n_lines"] == 2
+    assert got[1]["text"] == "e4 <T> a c <result>-1</result> <sep> b d <result>+1</result> </T> b" and got[2]["text"] == ""
+
+
+def test_row_metrics(spark):
+    df = spark.createDataFrame([(1, "a b <sep> a c <sep> d </T> a"), (2, "nothing"), (3, "a </T>")], "k int, o string")
+    got = {r["k"]: r for r in T.row_metrics(df, "k", "o").collect()}
+    assert (got[1]["candidate_count"], got[1]["num_nodes"], got[1]["max_depth"], got[1]["visits"], got[1]["consistency"]) == (2, 4, 2, 5, 1.0)
+    assert got[1]["branching"] == pytest.approx(2.0) and got[1]["leaves_per_depth"] == 1.5 and got[1]["revisit_rate"] == pytest.approx(0.2)
+    assert (got[2]["num_nodes"], got[2]["consistency"], got[2]["n_chars"]) == (0, 1.0, 0) and got[3]["num_nodes"] == 1
+
+
 def test_labelled_trees_and_order(spark):
     lines = spark.createDataFrame([(1, ["a", "x"]), (1, ["a", "y"]), (1, ["b", "z"])], "tree int, path array<string>")
     ends = spark.createDataFrame([(1, ["a", "x"], 500.0, None, False, None), (1, ["a", "y"], -500.0, None, False, None), (1, ["b", "z"], 10.0, None, True, True)], "tree int, path array<string>, cp double, mate_in int, over boolean, winner_is_root boolean")
@@ -416,3 +434,20 @@ def test_named(spark, tmp_path):
 def test_distribution_helpers(spark):
     p = F.array(*[F.lit(x) for x in (0.1, 0.5, 0.4)])
     assert one(spark, D.top_mass(p, 2), D.clamped(F.lit(3.0), 0.0, 1.0)) == (pytest.approx(0.9), 1.0)
+
+
+def test_small_helpers(spark, tmp_path):
+    from rillstone.operators import advantages as A
+    from rillstone.sources import files
+
+    assert A.next_kl_weight(0.1, 6.0, 3.0, 100, 1000.0) == pytest.approx(0.1 * (1 + 0.2 * 0.1)) and A.LOSSES["vanilla"] is A.clipped_objective
+    rows = spark.createDataFrame([(0, 2), (1, 3)], "row long, times int")
+    assert B.repeat(rows, F.col("times")).groupBy("row").count().orderBy("row").collect()[1]["count"] == 3
+    df = spark.createDataFrame([("a", [1, 2])], "shard string, ids array<int>")
+    files.token_table(df, "ids", str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).first()["ids"] == [1, 2]
+    got = spark.createDataFrame([("1. e4 e5 <T> x",), ("1. e9 <T>",)], "t string").select(notation.final_position("t").alias("p")).collect()
+    assert got[0]["p"] == rules.replay(["e4", "e5"])[1][-1].fen() and got[1]["p"] is None
+    assert [len(p) for p in B.checked_partitions([3, 3, 2, 2], 2)] == [2, 2]
+    with pytest.raises(ValueError):
+        B.checked_partitions([1], 2)
