@@ -19,6 +19,7 @@ import pytest
 from rillstone.llm import exact_dedup, html_extract, licenses, mil_classifier, mixing, neardup, packing, quality_rules, secrets, sharding
 from rillstone.llm.common import table, with_membership
 from rillstone.llm.queries import oracle_sql, queries
+from rillstone.operators import membership
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,10 +78,9 @@ def helper_names():
     """Every name in quotes in the sources: whatever a helper column is called."""
     folder = os.path.dirname(exact_dedup.__file__)
     found = set()
-    for n in sorted(os.listdir(folder)):
-        if n.endswith(".py"):
-            with open(os.path.join(folder, n)) as f:
-                found |= {x.lower() for x in re.findall(r'"([A-Za-z_]\w*)"', f.read())}
+    for path in [membership.__file__, *(os.path.join(folder, n) for n in sorted(os.listdir(folder)) if n.endswith(".py"))]:
+        with open(path) as f:
+            found |= {x.lower() for x in re.findall(r'"([A-Za-z_]\w*)"', f.read())}
     return sorted(found - {"doc_id", "text", "lang", "source", "n_chars"})
 
 
