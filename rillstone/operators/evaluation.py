@@ -94,3 +94,23 @@ def norm_rank(df: DataFrame, group: str, score: str, order: str) -> DataFrame:
 
 def explained_variance(df: DataFrame, value: str, target: str) -> DataFrame:
     return df.agg((1 - F.var_samp(F.col(target) - F.col(value)) / F.var_samp(target)).alias("explained_variance"))
+
+
+def masked_stats(df: DataFrame, columns: list[str], mask: str, by: list[str] | None = None) -> DataFrame:
+    """Mean, largest and smallest of each column over the valid rows; one pass."""
+    valid = lambda c: F.when(F.col(mask) > 0, F.col(c))
+    return df.groupBy(*(by or [])).agg(*[f(valid(c)).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))])
+
+
+def length_stats(df: DataFrame, length: str, most: int, by: list[str] | None = None) -> DataFrame:
+    """Mean, largest and smallest length, and the share that was cut at ``most``."""
+    return df.groupBy(*(by or [])).agg(F.avg(length).alias("mean"), F.max(length).alias("max"), F.min(length).alias("min"), F.avg((F.col(length) >= most).cast("double")).alias("clip_ratio"))
+
+
+def label_metrics(df: DataFrame, prompt: str, majority: str, truth: str, majority_reward: str, truth_reward: str) -> DataFrame:
+    """Over prompts: whether the majority is the truth, how often both rewards agree, mean rewards, and whether any response is right."""
+    per = df.groupBy(prompt).agg(
+        F.max((F.col(majority) == F.col(truth)).cast("double")).alias("label_accuracy"), F.avg((F.col(majority_reward) == F.col(truth_reward)).cast("double")).alias("reward_accuracy"),
+        F.avg(majority_reward).alias("majority_reward"), F.avg(truth_reward).alias("truth_reward"), F.max((F.col(truth_reward) > 0).cast("double")).alias("pass_at_n"),
+    )
+    return per.agg(*[F.avg(c).alias(c) for c in per.columns[1:]])

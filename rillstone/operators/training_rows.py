@@ -77,6 +77,19 @@ def chat_row(prompt: Column, response: Column, most: int, pad: int = 0, cut: str
     return F.struct(ids.alias("input_ids"), attention.alias("attention_mask"), positions.alias("position_ids"), loss.alias("loss_mask"))
 
 
+def merged_turns(df: DataFrame, conv: str, turn: str, role: str, text: str, tool: str = "tool", roles: tuple[str, ...] = ("system", "user", "assistant", "tool")) -> DataFrame:
+    """Turns with consecutive tool messages joined by line ends, numbered anew; an unknown role, or a system message that isn't first, fails the job."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(conv).orderBy(turn)
+    wrong = F.when(~F.col(role).isin(*roles), F.concat(F.lit("unknown role "), F.col(role))).when((F.col(role) == "system") & (F.row_number().over(w) > 1), F.lit("a system message must be first"))
+    rows = df.withColumn("_wrong", wrong).withColumn("_role", F.when(F.col("_wrong").isNull(), F.col(role)).otherwise(F.raise_error(F.col("_wrong")).cast("string")))
+    follows = (F.col("_role") == tool) & F.coalesce(F.lag(role).over(w) == tool, F.lit(False))
+    rows = rows.withColumn("_part", F.sum((~follows).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn, text))), lambda m: m[text]), "\n")
+    return rows.groupBy(conv, (F.col("_part") - 1).cast("int").alias(turn), F.col("_role").alias(role)).agg(joined.alias(text))
+
+
 def checked_tokens(df: DataFrame, joined: str, whole: str, out: str = "same_tokens") -> DataFrame:
     """Whether the concatenated pieces equal the whole text's tokens; the concatenated form is what later steps use."""
     return df.withColumn(out, F.col(joined).eqNullSafe(F.col(whole)))

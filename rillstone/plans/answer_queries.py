@@ -110,3 +110,9 @@ def check(s, d):
 def retrieved(s, d):
     b = table(s, d, "benchmark").select(F.expr("item_id div 5").alias("k"), F.struct("item_id", F.replace("text", F.lit(" "), F.lit("\n")).alias("t")).alias("x"))
     return b.groupBy("k").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias("l")).select("k", passages(F.col("l")).alias("t"))
+
+
+@query("merged_turns", "WITH c AS (SELECT *, CASE WHEN role = 'user' AND lag(role) OVER w = 'user' THEN 0 ELSE 1 END AS new FROM (SELECT conv_id, turn, CASE WHEN turn % 3 > 0 AND role <> 'system' THEN 'user' ELSE role END AS role, text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), p AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS part FROM c) SELECT conv_id, CAST(part AS INT) AS turn, role, string_agg(text, chr(10) ORDER BY p.turn) AS text FROM p GROUP BY conv_id, part, role")
+def merged(s, d):
+    role = F.when((F.col("turn") % 3 > 0) & (F.col("role") != "system"), "user").otherwise(F.col("role"))
+    return R.merged_turns(table(s, d, "conversations").withColumn("role", role).select("conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text", "user")

@@ -207,3 +207,21 @@ def alpha_grid(s, d):
 def embedding(s, d):
     v = F.transform("embedding", lambda x: x.cast("double"))
     return table(s, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(D.entropy_from_logits(F.col("v")), 5).alias("entropy"), F.round(D.self_certainty(F.col("v")), 5).alias("self_certainty"))
+
+
+@query("masked_stats", "SELECT l_returnflag, round(avg(l_tax) FILTER (l_linestatus = 'O'), 6) AS l_tax_mean, max(l_tax) FILTER (l_linestatus = 'O') AS l_tax_max, min(l_tax) FILTER (l_linestatus = 'O') AS l_tax_min, round(avg(l_discount) FILTER (l_linestatus = 'O'), 6) AS l_discount_mean, max(l_discount) FILTER (l_linestatus = 'O') AS l_discount_max, min(l_discount) FILTER (l_linestatus = 'O') AS l_discount_min FROM lineitem GROUP BY 1")
+def masked_stats(s, d):
+    t = table(s, d, "lineitem").withColumn("mask", (F.col("l_linestatus") == "O").cast("int"))
+    return rounded(E.masked_stats(t, ["l_tax", "l_discount"], "mask", ["l_returnflag"]), "l_tax_mean", "l_discount_mean")
+
+
+@query("length_stats", "SELECT lang, round(avg(n_chars), 5) AS mean, max(n_chars) AS max, min(n_chars) AS min, round(avg(CASE WHEN n_chars >= 2000 THEN 1::DOUBLE ELSE 0 END), 6) AS clip_ratio FROM documents GROUP BY 1")
+def length_stats(s, d):
+    return rounded(rounded(E.length_stats(table(s, d, "documents"), "n_chars", 2000, ["lang"]), "mean", digits=5), "clip_ratio")
+
+
+@query("label_metrics", "WITH g AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 1::DOUBLE ELSE 0 END) AS p, max(CASE WHEN l_orderkey % 3 = l_orderkey % 5 THEN 1::DOUBLE ELSE 0 END) AS a, avg(CASE WHEN (l_returnflag = 'R') = (l_linestatus = 'O') THEN 1::DOUBLE ELSE 0 END) AS r, avg(CASE WHEN l_linestatus = 'O' THEN 1::DOUBLE ELSE 0 END) AS m, avg(CASE WHEN l_returnflag = 'R' THEN 1::DOUBLE ELSE 0 END) AS t FROM lineitem GROUP BY 1) SELECT round(avg(a), 6) AS label_accuracy, round(avg(r), 6) AS reward_accuracy, round(avg(m), 6) AS majority_reward, round(avg(t), 6) AS truth_reward, round(avg(p), 6) AS pass_at_n FROM g")
+def label_metrics(s, d):
+    t = table(s, d, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 3).alias("a"), (F.col("l_orderkey") % 5).alias("b"), (F.col("l_linestatus") == "O").cast("double").alias("m"), (F.col("l_returnflag") == "R").cast("double").alias("t"))
+    r = E.label_metrics(t, "l_orderkey", "a", "b", "m", "t")
+    return rounded(r, *r.columns)
