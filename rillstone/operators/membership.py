@@ -41,3 +41,16 @@ def with_membership(df: DataFrame, key: Column, members: DataFrame, out: str) ->
     hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")) == 1
     df = df.withColumn(own["_word"], F.floor(place / 32768).cast("int")).join(F.broadcast(bitmap), own["_word"], "left")
     return df.withColumn(out, F.coalesce(hit, F.lit(False))).drop(*own.values())
+
+
+#: Keys that are broadcast as they are: some megabytes.
+SMALL = 200_000
+
+
+def keep_members(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """Rows of df whose long ``key`` is in ``members`` (one column of that name): a broadcast of up to SMALL counted keys, else the bitmap before a shuffled join."""
+    keys = members.select(key).distinct()
+    if keys.limit(SMALL + 1).count() <= SMALL:
+        return df.join(F.broadcast(keys), key, "left_semi")
+    maybe = free_names(df, "_maybe")["_maybe"]
+    return with_membership(df, F.col(key), keys, maybe).filter(F.col(maybe)).drop(maybe).join(keys, key, "left_semi")

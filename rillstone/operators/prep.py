@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import written
-from .membership import with_membership
+from .membership import keep_members
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -94,12 +94,11 @@ def contaminated(docs: DataFrame, tests: DataFrame, doc_id: str, text: str, test
     for n in lengths:  # one pass: all lengths are exploded together, without the text beside the keys
         at = F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), _window(n))).otherwise(F.array().cast("array<bigint>"))
         posted = at if posted is None else F.concat(posted, at)
-    posted = d.select("_id", F.explode(F.array_distinct(posted)).alias("_key"))
-    posted = with_membership(posted, F.col("_key"), own.select("_key"), "_maybe").filter("_maybe").drop("_maybe")
-    hits = written(posted.join(own.select("_key").distinct(), "_key", "left_semi").select("_id", "_key"), "test-hits")
+    posted = d.select("_id", F.explode(posted).alias("_key"))
+    hits = written(keep_members(posted, "_key", own).select("_id", "_key"), "test-hits")
     # texts of the documents with a key in common are read again, and only they are joined
-    some = with_membership(docs.select(doc_id, text), F.xxhash64(doc_id), hits.select("_id"), "_maybe").filter("_maybe")
-    some = some.select(doc_id, F.xxhash64(doc_id).alias("_id"), F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" ")).alias("_text"))
+    some = keep_members(docs.select(doc_id, text, F.xxhash64(doc_id).alias("_id")), "_id", hits)
+    some = some.select(doc_id, "_id", F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" ")).alias("_text"))
     pairs = hits.join(own, "_key").select("_id", "_test").distinct()
     return some.join(pairs, "_id").filter(F.col("_text").contains(F.col("_test"))).select(doc_id).distinct()
 
