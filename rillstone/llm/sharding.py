@@ -7,7 +7,8 @@ A unit larger than the average shard takes a shard of its own at the front, and
 others share the rest; else it alone would set the capacity and leave shards empty.
 The driver holds sums of UNITS ranges, however many documents there are.
 
-Defined results: a null text has no bytes and size 8; a null doc_id sorts first; rows
+Defined results: a null text has no bytes and size 8; very long texts count whole, and one above the average shard gets a shard of its own; only doc_id and text are read, so
+other columns can't clash; a null doc_id sorts first, and rows that tie in doc_id, CRC and size are alike; rows
 that repeat are rows of their own with slots of their own; an empty table gives no rows;
 with fewer units than shards, some shards stay empty.
 """
