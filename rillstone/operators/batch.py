@@ -352,3 +352,9 @@ def drawn(df: DataFrame, key: str, weight: Column, n: int, seed: int = 0, units:
     draws = draws.withColumn("_slice", F.floor(F.col("_at") / width).cast("long"))
     hit = draws.join(rows, "_slice").filter((F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_low") + F.col("_w")))
     return hit.select("draw", *df.columns)
+
+
+def padded_chunks(df: DataFrame, total: int, n: int, row: str = "row") -> DataFrame:
+    """A batch cycled up to a multiple of n and split into n equal chunks."""
+    padded = pad_cyclic(df, total, n, row).drop(row).withColumnRenamed("new_row", row)
+    return chunk(padded, n, total + -total % n, row)

@@ -12,6 +12,7 @@ from ..functions import final_answers as N
 from ..functions import lan_tokens as L
 from ..operators import grading as G
 from ..operators import rewards as R
+from ..operators import tokens as K
 from .registry import Registry
 
 #: Reward managers: (output, targets) -> a score per row. A row that can't be scored counts 0 by itself.
@@ -35,6 +36,12 @@ class Tokens(ABC):
     @abstractmethod
     def decode(self, ids: Column) -> Column: ...
 
+    def batch(self, text: Column, length: int, left: bool = False, cut: str = "right", pad: int = 0) -> Column:
+        """(input_ids, attention_mask) of a fixed length."""
+        ids = K.truncate(self.encode(text), length, cut)
+        real = F.transform(ids, lambda _: F.lit(1))
+        return F.struct(K.pad(ids, length, pad, left).alias("input_ids"), K.pad(real, length, 0, left).alias("attention_mask"))
+
     def id_of(self, token: str) -> int | None:
         return self.vocab.get(token)
 

@@ -94,6 +94,41 @@ def budgeted(thought_end: int, separator: int, call: int, eos: int, budget: int
     return run
 
 
+def boundary_turns(end: str = "<eos>", most: int = 6):
+    """An Arrow-batched function over recorded tokens and replies: (move, end, reply) of each turn.
+
+    A turn ends where a complete move does, wherever the tokens are cut; the next reply follows it. Turns end with the end token, the replies, or the cap.
+    """
+    import re
+
+    from pyspark.sql import types as T
+
+    from ..functions.moves import MOVE
+
+    kind = T.ArrayType(T.StructType([T.StructField("move", T.StringType()), T.StructField("end", T.IntegerType()), T.StructField("reply", T.StringType())]))
+    move = re.compile(MOVE)
+
+    def walk(tokens, replies):
+        out, word = [], ""
+        for k, token in enumerate(tokens):
+            if token == end or len(out) >= most:
+                break
+            *words, word = re.split(r"\s+", word + token)
+            hit = next((w for w in (*words, word) if move.match(w)), None)
+            if hit:
+                out.append({"move": hit, "end": k + 1, "reply": replies[len(out)] if len(out) < len(replies) else None})
+                word = ""
+                if out[-1]["reply"] is None:
+                    break
+        return out
+
+    @F.pandas_udf(kind)
+    def run(tokens: pd.Series, replies: pd.Series) -> pd.Series:
+        return pd.Series([walk([] if t is None else t, [] if r is None else r) for t, r in zip(tokens, replies, strict=True)])
+
+    return run
+
+
 def dialogue_steps(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Per dialogue: counts model turns up to a call cap; a reply without a call, or the cap, ends it. For applyInPandasWithState."""
     turns, done = state.get if state.exists else (0, False)

@@ -451,3 +451,19 @@ def test_small_helpers(spark, tmp_path):
     assert [len(p) for p in B.checked_partitions([3, 3, 2, 2], 2)] == [2, 2]
     with pytest.raises(ValueError):
         B.checked_partitions([1], 2)
+
+
+def test_turns_by_boundary(spark):
+    rows = [(["Pd2", "d4", " ", "Ng1", "f3 x", " Pe2e4"], ["Pd7d5", "Ng8f6"]), (["no", " move"], ["a"]), (["Pd2d4", "<eos>", "Pe2e4"], ["a", "b"]), (None, None)]
+    df = spark.createDataFrame(rows, "t array<string>, r array<string>")
+    got = [[tuple(x) for x in r["x"]] for r in df.select(S.boundary_turns()("t", "r").alias("x")).collect()]
+    assert got == [[("Pd2d4", 2, "Pd7d5"), ("Ng1f3", 5, "Ng8f6"), ("Pe2e4", 6, None)], [], [("Pd2d4", 1, "a")], []]
+
+
+def test_padded_chunks_and_batches(spark):
+    df = spark.createDataFrame([(k,) for k in range(5)], "row long")
+    got = B.padded_chunks(df, 5, 3).orderBy("row").collect()
+    assert [(r["row"], r["chunk"]) for r in got] == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 2)]
+    tokens = named.TOKENIZERS["moves"]()
+    r = one(spark, tokens.batch(F.lit("Pe2e4"), 8), tokens.batch(F.lit("Pe2e4 Pe7e5"), 4, left=True, cut="left"))
+    assert r[0]["attention_mask"] == [1, 1, 1, 1, 1, 0, 0, 0] and len(r[1]["input_ids"]) == 4 and r[1]["attention_mask"] == [1, 1, 1, 1]
