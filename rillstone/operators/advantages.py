@@ -234,6 +234,11 @@ def aggregate_loss(df: DataFrame, key: str, loss: str, mask: str, horizon: float
     )
 
 
+def reward_with_kl(df: DataFrame, reward: str, p: str, q: str, beta: float, kind: str = "kl", out: str = "token_reward") -> DataFrame:
+    """Adds ``kl`` and the reward less ``beta`` times it, token by token."""
+    return df.withColumn("kl", kl_penalty(p, q, kind)).withColumn(out, F.col(reward) - F.lit(float(beta)) * F.col("kl"))
+
+
 def next_kl_weight(beta: float, current: float, target: float, steps: int, horizon: float) -> float:
     """Proportional controller of the KL weight, its error clipped to 0.2."""
     error = min(max(current / target - 1, -0.2), 0.2)

@@ -66,10 +66,10 @@ def reshape(s, d):
 
 @query("kl_in_reward", "SELECT l_orderkey, round(sum(l_discount - 0.1::DOUBLE * (l_tax - l_discount)) , 6) AS reward, round(avg(l_tax - l_discount), 6) AS mean_kl FROM lineitem GROUP BY 1")
 def kl_reward(s, d):
-    from ..operators.advantages import kl_penalty
+    from ..operators.advantages import reward_with_kl
 
-    kl = kl_penalty("l_tax", "l_discount")
-    return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_discount") - 0.1 * kl), 6).alias("reward"), F.round(F.avg(kl), 6).alias("mean_kl"))
+    rows = reward_with_kl(table(s, d, "lineitem"), "l_discount", "l_tax", "l_discount", 0.1)
+    return rows.groupBy("l_orderkey").agg(F.round(F.sum("token_reward"), 6).alias("reward"), F.round(F.avg("kl"), 6).alias("mean_kl"))
 
 
 @query("token_covariance", "WITH m AS (SELECT avg(l_tax) AS ml, avg(l_discount) AS ma FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_tax - ml) * (l_discount - ma), 8) AS cov FROM lineitem, m")
