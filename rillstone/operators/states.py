@@ -17,10 +17,13 @@ def distributions(df: DataFrame, state: str, trace: str, action: str, weight: st
 
 
 def marginals(p: DataFrame, state: str, trace: str, action: str) -> DataFrame:
-    """(state, action, g): the mean of the traces' shares; an action that a trace lacks counts 0."""
-    n = p.groupBy(state).agg(F.countDistinct(trace).alias("n_traces"))
-    g = p.groupBy(state, action).agg(F.sum("p").alias("total")).join(n, state)
-    return g.select(state, action, (F.col("total") / F.col("n_traces")).alias("g"))
+    """(state, action, g): the mean of the traces' shares; an action that a trace lacks counts 0.
+
+    A trace's shares sum to 1, so a state's shares sum to the number of its traces: one pass, and one row per action in the window.
+    """
+    totals = p.groupBy(state, action).agg(F.sum("p").alias("_total"))
+    n = F.round(F.sum("_total").over(Window.partitionBy(state)))
+    return totals.select(state, action, (F.col("_total") / n).alias("g"))
 
 
 def vectors(p: DataFrame, keys: list[str], action: str, value: str, name: str) -> DataFrame:
@@ -44,11 +47,12 @@ def trace_sensitivity(p: DataFrame, state: str, trace: str, action: str) -> Data
 
 
 def align(a: DataFrame, b: DataFrame, state: str, action: str) -> DataFrame:
-    """Two marginals over the union of their actions, states of both stages only; missing actions are 0."""
-    both = a.select(state).distinct().join(b.select(state).distinct(), state, "left_semi")
-    x = a.join(both, state, "left_semi").select(state, action, F.col("g").alias("p"))
-    y = b.join(both, state, "left_semi").select(state, action, F.col("g").alias("q"))
-    return x.join(y, [state, action], "full").select(state, action, F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
+    """Two marginals over the union of their actions, states of both stages only; missing actions are 0. Each side is read once, and one shuffle by state serves both steps."""
+    none, some = F.lit(0.0), F.col("g")
+    both = a.select(state, action, some.alias("p"), none.alias("q"), F.lit(1).alias("_side")).unionByName(b.select(state, action, none.alias("p"), some.alias("q"), F.lit(2).alias("_side")))
+    rows = both.repartition(state).groupBy(state, action).agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.min("_side").alias("_low"), F.max("_side").alias("_high"))
+    w = Window.partitionBy(state)
+    return rows.withColumn("_in_both", (F.min("_low").over(w) == 1) & (F.max("_high").over(w) == 2)).filter("_in_both").select(state, action, "p", "q")
 
 
 def aligned_arrays(pairs: DataFrame, state: str, action: str) -> DataFrame:
