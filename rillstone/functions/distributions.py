@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,46 +19,51 @@ def _each(v: Column, f) -> Column:
     return F.transform(v, f)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _shares(v: Column) -> Column:
+    return let(v, lambda x: let(total(x), lambda z: _each(x, lambda y: y / z)))
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(logits)
-    e = _each(logits, lambda x: F.exp((x - top) / F.lit(temperature)))
-    return _each(e, lambda x: x / total(e))
+    return let(F.array_max(logits), lambda top: _shares(_each(logits, lambda x: F.exp((x - top) / F.lit(temperature)))))
 
 
 def normalised(p: Column) -> Column:
-    z = total(p)
-    return _each(p, lambda x: x / z)
+    return _shares(p)
 
 
 def entropy(p: Column) -> Column:
     """-sum p ln p over p > 1e-12, after normalising."""
-    z = total(p)
-    return -F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x / z > TINY, x / z * F.ln(x / z)).otherwise(0.0))
+    return let(total(p), lambda z: -F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x / z > TINY, x / z * F.ln(x / z)).otherwise(0.0)))
 
 
 def kl(p: Column, q: Column) -> Column:
     """Both normalised; summed over p > 1e-12 with q clipped to [1e-12, 1]."""
-    zp, zq = total(p), total(q)
-    term = lambda x, y: F.when(x / zp > TINY, x / zp * F.ln(x / zp / F.least(F.greatest(y / zq, F.lit(TINY)), F.lit(1.0)))).otherwise(0.0)
-    return total(F.zip_with(p, q, term))
+    term = lambda x, y: F.when(x > TINY, x * F.ln(x / F.least(F.greatest(y, F.lit(TINY)), F.lit(1.0)))).otherwise(0.0)
+    return total(F.zip_with(_shares(p), _shares(q), term))
 
 
 def jsd(p: Column, q: Column) -> Column:
-    zp, zq = total(p), total(q)
-    m = F.zip_with(p, q, lambda x, y: (x / zp + y / zq) / 2)
-    return (kl(p, m) + kl(q, m)) / 2
+    def between(x: Column, y: Column) -> Column:
+        middle = F.zip_with(x, y, lambda a, b: (a + b) / 2)
+        return let(middle, lambda m: (kl(x, m) + kl(y, m)) / 2)
+
+    return let(_shares(p), lambda x: let(_shares(q), lambda y: between(x, y)))
 
 
 def power(p: Column, alpha: float | Column) -> Column:
     """Clipped, raised to alpha, normalised."""
     exponent = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    raised = _each(p, lambda x: F.pow(F.least(F.greatest(x, F.lit(TINY)), F.lit(1.0)), exponent))
-    return _each(raised, lambda x: x / total(raised))
+    return _shares(_each(p, lambda x: F.pow(F.least(F.greatest(x, F.lit(TINY)), F.lit(1.0)), exponent)))
 
 
 def centred_log(p: Column) -> Column:
     logs = _each(p, lambda x: F.ln(F.greatest(x, F.lit(TINY))))
-    return _each(logs, lambda x: x - total(logs) / F.size(logs))
+    return let(logs, lambda v: let(total(v) / F.size(v), lambda m: _each(v, lambda x: x - m)))
 
 
 def logit(p: Column) -> Column:
@@ -66,8 +72,7 @@ def logit(p: Column) -> Column:
 
 
 def logsumexp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.ln(total(_each(v, lambda x: F.exp(x - top))))
+    return let(F.array_max(v), lambda top: top + F.ln(total(_each(v, lambda x: F.exp(x - top)))))
 
 
 def entropy_from_logits(v: Column) -> Column:
