@@ -278,11 +278,15 @@ def repeated_runs(parsed: DataFrame) -> DataFrame:
     """(host, run_key) of the substrings of RUN tokens that repeat in distinct contents of a host, outside of articles."""
     copied = written(parsed.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content"), "html-copied")
     rows = parsed.select("host", "content", F.when(F.col("article"), F.col("outside")).otherwise(F.col("blocks")).alias("streams"))
-    rows = with_membership(rows, F.col("content"), copied, "maybe")
     schema = "host string, part byte, run_key long, n long, content long"
-    single = rows.filter("not maybe").drop("maybe").mapInArrow(lambda b: _evidence(b, False), schema).drop("content")
-    several = rows.filter("maybe").drop("maybe").mapInArrow(lambda b: _evidence(b, True), schema).distinct().drop("content")
-    counts = written(single.unionByName(several).groupBy("host", "part", "run_key").agg(F.sum("n").alias("n")).filter("n > 1 or part = 1"), "html-counts")
+    if copied.isEmpty():
+        found = rows.mapInArrow(lambda b: _evidence(b, False), schema).drop("content")
+    else:
+        rows = with_membership(rows, F.col("content"), copied, "maybe")
+        single = rows.filter("not maybe").drop("maybe").mapInArrow(lambda b: _evidence(b, False), schema).drop("content")
+        several = rows.filter("maybe").drop("maybe").mapInArrow(lambda b: _evidence(b, True), schema).distinct().drop("content")
+        found = single.unionByName(several)
+    counts = written(found.groupBy("host", "part", "run_key").agg(F.sum("n").alias("n")).filter("n > 1 or part = 1"), "html-counts")
     hosts = counts.filter("part = 1").select("host", F.col("n").alias("contents"))
     least = F.least("contents", F.greatest(F.lit(LEAST), F.ceil(SHARE * F.col("contents"))))
     return counts.filter("part = 0").join(hosts, "host").filter(F.col("n") >= least).select("host", "run_key")
@@ -341,6 +345,8 @@ def extract(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page_id", "url", "html", F.xxhash64("html").alias("content")).mapInArrow(_parse, f"page_id {kind}, url string, content long, host string, article boolean, blocks array<string>, outside array<string>")
     parsed = written(parsed.withColumn("row", F.expr("uuid()")), "html-parsed")
     runs = written(repeated_runs(parsed), "html-runs")
+    if runs.isEmpty():  # nothing repeats, so nothing is cut
+        return parsed.select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
 
     # articles with a block that starts with a repeated run are looked at again, and all pages without an article
     first = parsed.filter("article").select("row", "host", "blocks").mapInArrow(_first_runs, "row string, host string, run_key long")
