@@ -1,4 +1,4 @@
-"""The ten queries opN_<name> and the pipeline, with SQL where it can express them."""
+"""The queries opN_<name>, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, licenses, mil_classifier, mixing, neardup, packing, quality_rules, secrets, sharding
+from . import centroids, exact_dedup, html_extract, licenses, mil_classifier, mixing, neardup, packing, quality_rules, release, secrets, sharding, simhash
 from .common import table
 
 
@@ -22,8 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": lambda s, d: neardup.report(table(s, d, "documents")),
         "op9_minimax_shards": lambda s, d: sharding.report(table(s, d, "documents")),
         "op10_license_scan": lambda s, d: licenses.report(table(s, d, "documents")),
+        "op11_ball_tree_clusters": lambda s, d: centroids.report(table(s, d, "embeddings")),
+        "op12_cascading_release": lambda s, d: release.report(table(s, d, "conversations")),
+        "op13_simhash_near_dedup": lambda s, d: simhash.report(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op10_license_scan": licenses.sql()}
+    return {"op1_mix_sources": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op10_license_scan": licenses.sql(), "op11_ball_tree_clusters": centroids.SQL}
