@@ -197,7 +197,7 @@ c{k + 1} AS (SELECT c.cluster, c.i, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOI
 
 SQL = f"""
 WITH k AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS rid, vec_id, embedding FROM embeddings
-    WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {DIMENSIONS}),
+    WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMENSIONS}),
 e AS (SELECT rid, i, CAST(floor({SCALE} * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM k CROSS JOIN range(1, {DIMENSIONS + 1}) t(i)),
 c0 AS (SELECT rid AS cluster, i, x FROM e WHERE rid < {K}),
 {",".join(_sql_round(k) for k in range(ROUNDS))},

@@ -124,9 +124,9 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def replayed(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
     """Whole blocks: each turn's status, attempts and times; columns i of the arrays are the turns i - REACH of all blocks."""
-    column = {n: np.asarray(batch.column(n).fill_null(0) if batch.column(n).null_count else batch.column(n)) for n in ("g", "p", "blk", "distance", "repair", "mask", "status", "last_at")}
+    column = {n: np.asarray(batch.column(n).fill_null(0) if batch.column(n).null_count else batch.column(n)) for n in ("g", "p", "start", "distance", "repair", "mask", "status", "last_at")}
     block = np.cumsum(np.concatenate([[0], column["g"][1:] != column["g"][:-1]])) if batch.num_rows else np.zeros(0, dtype=int)
-    at = column["p"] - column["blk"] * BLOCK + REACH
+    at = column["p"] - column["start"] + REACH
     shape = (int(block.max(initial=-1)) + 1, int(at.max(initial=-1)) + 1)
     status, last = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=np.int64)
     given = at < REACH
@@ -158,11 +158,11 @@ def replay(turns: DataFrame) -> DataFrame:
     rows = numbered(turns).withColumn("blk", F.floor(F.col("p") / BLOCK).cast("long"))
     for name, kind in (x.split() for x in _COLUMNS.split(", ")):
         rows = rows.withColumn(name, F.lit(None).cast(kind))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("g", "long")])
+    kinds = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("start", "long"), ("g", "long")])
 
     def passed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("g", F.xxhash64("key", "blk")).repartition("key", "blk").sortWithinPartitions("key", "blk", "p")
-        return written(df.mapInArrow(_replay, kinds).drop("g"), "release-replay")
+        df = df.withColumn("start", F.col("blk") * BLOCK).withColumn("g", F.xxhash64("key", "blk")).repartition("key", "blk").sortWithinPartitions("key", "blk", "p")
+        return written(df.mapInArrow(_replay, kinds).drop("start", "g"), "release-replay")
 
     now = passed(rows)
     done, open_ = now.filter(F.col("status") != OPEN), now.filter(F.col("status") == OPEN)

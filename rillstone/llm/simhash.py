@@ -260,10 +260,14 @@ def shard_links(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return small.unionByName(stars).unionByName(_tasks(up.unionByName(down)))
 
 
-def near_components(docs: DataFrame, agree: int | None = None, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp) for each row of docs, as a table; fp: the bits as a signed long."""
     kind = dict(docs.dtypes)["doc_id"]
-    rows = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "simhash-rows")
+    return written(docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "simhash-rows")
+
+
+def linked(rows: DataFrame, agree: int | None = None, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``fingerprints``."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "simhash-nodes")
     n = nodes.count()
     trees = forest(nodes, n, agree, shard)
@@ -281,4 +285,4 @@ def shown(fp: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id."""
-    return near_components(docs).select("doc_id", shown(F.col("fp")).alias("fingerprint"), "component_id")
+    return linked(fingerprints(docs)).select("doc_id", shown(F.col("fp")).alias("fingerprint"), "component_id")
