@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.registry import Registry
+from .scans import reverse_scan
 
 ESTIMATORS: Registry[Callable[..., DataFrame]] = Registry("advantage estimator")
 
@@ -98,36 +99,16 @@ def sequence(df: DataFrame, key: str | list[str], order: str, *columns: str, nam
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias(name))
 
 
-def _reverse_sum(value: Column, gamma: float, key: str, order: str, place: Column, chain: Column | None = None) -> Column:
-    """The sum of value times gamma per step from each row to the end of its chain, as one running sum.
-
-    Powers count from the start of the sequence, so a sequence that is too long for its discount fails rather than losing digits.
-    """
-    from_end = Window.partitionBy(key, *([chain] if chain is not None else [])).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    if gamma == 0:
-        return value.cast("double")
-    if gamma == 1:
-        return F.sum(value.cast("double")).over(from_end)
-    power = F.pow(F.lit(float(gamma)), place)
-    power = F.when(power > 1e-280, power).otherwise(F.raise_error(F.lit("a sequence is too long for its discount")).cast("double"))
-    return F.sum(value * power).over(from_end) / power
-
-
 @ESTIMATORS.register("reinforce_plus_plus")
 def discounted_returns(df: DataFrame, key: str, order: str, reward: str, gamma: float = 1.0, out: str = "returns", baseline: str | None = None, mask: str | None = None, whiten: bool = False) -> DataFrame:
-    """Reverse cumulative discounted reward per sequence, minus the baseline if there is one.
+    """Reverse cumulative discounted reward per sequence, of any length, minus the baseline if there is one.
 
     With a mask, what follows a masked token doesn't reach the tokens before it; with ``whiten`` the column ``advantage`` holds the returns
     whitened over the valid tokens, 0 elsewhere.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    rows = df.select(key, order, reward, *[c for c in (baseline, mask) if c]).withColumn("_place", F.row_number().over(w) - 1)
-    chain = None
-    if mask:  # a masked token starts a chain to its left
-        chain = F.col("_chain")
-        rows = rows.withColumn("_chain", F.sum((F.col(mask) <= 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    value = _reverse_sum(F.col(reward), gamma, key, order, F.col("_place"), chain)
-    rows = rows.withColumn(out, value - (F.col(baseline) if baseline else 0.0))
+    rows = df.select(key, order, reward, *[c for c in (baseline, mask) if c])
+    rows = reverse_scan(rows, key, order, F.col(reward), gamma, "_value_ahead", open_=F.col(mask) > 0 if mask else None)
+    rows = rows.withColumn(out, F.col("_value_ahead") - (F.col(baseline) if baseline else 0.0))
     if not whiten:
         return rows.select(key, order, out)
     rows = masked_whiten(rows, out, mask, "advantage")
@@ -136,15 +117,14 @@ def discounted_returns(df: DataFrame, key: str, order: str, reward: str, gamma:
 
 @ESTIMATORS.register("gae")
 def gae(df: DataFrame, key: str, order: str, reward: str, value: str, gamma: float = 1.0, lam: float = 1.0, mask: str | None = None, whiten: bool = False) -> DataFrame:
-    """Generalised advantage estimation backwards over each sequence; returns = advantage + value, before any whitening over the valid tokens."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = df.select(key, order, reward, value, *([mask] if mask else [])).withColumn("_place", F.row_number().over(w) - 1)
-    follow = F.coalesce(F.lead(value).over(w), F.lit(0.0))
-    rows = rows.withColumn("_delta", F.col(reward).cast("double") + F.lit(float(gamma)) * follow - F.col(value))
-    rows = rows.withColumn("advantage", _reverse_sum(F.col("_delta"), gamma * lam, key, order, F.col("_place")))
-    rows = rows.withColumn("returns", F.col("advantage") + F.col(value))
+    """Generalised advantage estimation backwards over each sequence, of any length; returns = advantage + value, before any whitening over the valid tokens."""
+    rows = df.select(key, order, reward, value, *([mask] if mask else []))
+    rows = reverse_scan(rows, key, order, F.col(reward) - F.col(value), gamma * lam, "_advantage", follow=F.col(value), ahead=gamma)
+    rows = rows.withColumn("returns", F.col("_advantage") + F.col(value))
     if whiten:
-        rows = masked_whiten(rows.withColumnRenamed("advantage", "_raw"), "_raw", mask, "advantage")
+        rows = masked_whiten(rows, "_advantage", mask, "advantage")
+    else:
+        rows = rows.withColumnRenamed("_advantage", "advantage")
     return rows.select(key, order, "advantage", "returns")
 
 

@@ -158,12 +158,12 @@ def value(s, d):
     return lines(s, d).select(*KEYS, F.round(loss, 6).alias("loss"))
 
 
-CHAIN = f"{TOKENS}, z AS (SELECT *, sum(CASE WHEN mask > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY pos) AS chain FROM t), r AS (SELECT a.l_orderkey, a.pos, a.mask, sum(b.discount * power(0.9::DOUBLE, b.pos - a.pos)) AS returns FROM z a JOIN z b ON a.l_orderkey = b.l_orderkey AND a.chain = b.chain AND b.pos >= a.pos GROUP BY 1, 2, 3), g AS (SELECT avg(returns) AS m, var_samp(returns) AS v FROM r WHERE mask > 0)"
+CHAIN = f"{TOKENS}, z AS (SELECT *, sum(CASE WHEN mask > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY pos) AS chain FROM t), r AS (SELECT a.l_orderkey, a.pos, a.mask, sum(b.reward * power(0.9::DOUBLE, b.pos - a.pos)) AS returns FROM z a JOIN z b ON a.l_orderkey = b.l_orderkey AND a.chain = b.chain AND b.pos >= a.pos GROUP BY 1, 2, 3), g AS (SELECT avg(returns) AS m, var_samp(returns) AS v FROM r WHERE mask > 0)"
 
 
 @query("masked_returns", f"WITH {CHAIN} SELECT l_orderkey, pos, round(returns, 6) AS returns, round(CASE WHEN mask > 0 THEN (returns - m) / sqrt(v + 1e-8) ELSE 0 END, 6) AS advantage FROM r, g")
 def masked_returns(s, d):
-    r = A.discounted_returns(tokens(s, d), "l_orderkey", "pos", "discount", 0.9, mask="mask", whiten=True)
+    r = A.discounted_returns(tokens(s, d), "l_orderkey", "pos", "reward", 0.9, mask="mask", whiten=True)
     return r.select("l_orderkey", "pos", F.round("returns", 6).alias("returns"), F.round("advantage", 6).alias("advantage"))
 
 
