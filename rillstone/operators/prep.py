@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,30 +108,6 @@ def decontaminate(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", tex
     return docs.join(ids, doc_id, "left_semi" if removed else "left_anti")
 
 
-def _fill(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
-    file, shard, used = None, 0, 0
-    for batch in batches:
-        shards = []
-        for f, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if f != file:
-                file, shard, used = f, 0, 0
-            elif used + size > cap:
-                shard, used = shard + 1, 0
-            used += size
-            shards.append(shard)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shards, pa.int64())], names=batch.schema.names[:2] + ["shard"])
-
-
-def greedy_shards(df: DataFrame, file: str, order: str, size: Column, cap: int) -> DataFrame:
-    """(file, order, shard): a file's rows in order; a new shard opens before a row that would pass the cap, so only a row larger than the cap does.
-
-    Filling is sequential by nature, so a file is one stream, of two numbers a row; files run side by side.
-    """
-    kinds = dict(df.dtypes)
-    rows = df.select(file, order, size.cast("long").alias("_size")).repartition(file).sortWithinPartitions(file, order)
-    return rows.mapInArrow(functools.partial(_fill, cap=cap), f"{file} {kinds[file]}, {order} {kinds[order]}, shard long")
-
-
 def text_lines(df: DataFrame, text: str, least: int = 50) -> DataFrame:
     """Rows whose trimmed text isn't blank and whose escaped line has ``least`` characters at least, with the line's bytes as ``line_bytes``."""
     clean = df.withColumn(text, F.trim(F.col(text))).filter(F.col(text) != "")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..operators import batch as B
 from ..operators import prep as P
+from ..operators import shards as shards_of
 from ..operators import tokens as K
 from ..operators import trees as T
 from ..sources.tables import table
@@ -66,7 +67,7 @@ LINES = "r AS (SELECT doc_id, strlen(to_json(trim(text))::VARCHAR) - 1 AS b, row
 @query("text_shards", f"WITH RECURSIVE {LINES}, g AS (SELECT doc_id, k, b AS used, 0::BIGINT AS shard FROM r WHERE k = 1 UNION ALL SELECT r.doc_id, r.k, CASE WHEN g.used + r.b > 100000 THEN r.b ELSE g.used + r.b END, g.shard + CASE WHEN g.used + r.b > 100000 THEN 1 ELSE 0 END FROM g JOIN r ON r.k = g.k + 1) SELECT doc_id, shard FROM g")
 def shards(s, d):
     t = P.text_lines(table(s, d, "documents").select(F.lit(0).alias("file"), "doc_id", "text"), "text")
-    return P.greedy_shards(t, "file", "doc_id", F.col("line_bytes"), 100_000).select("doc_id", "shard")
+    return shards_of.greedy_shards(t, "file", "doc_id", F.col("line_bytes"), 100_000).select("doc_id", "shard")
 
 
 # text

@@ -17,7 +17,7 @@ from rillstone.operators import grading as G
 from rillstone.operators import growth as W
 from rillstone.operators import lookups
 from rillstone.operators import prep as P
-from rillstone.operators import stages, states
+from rillstone.operators import shards, stages, states
 from rillstone.operators import training_rows as R
 from rillstone.operators import trees as T
 from rillstone.plans import named
@@ -318,7 +318,7 @@ def test_batch_shapes(spark):
 def test_greedy_shards_restart_by_file(spark):
     rng = random.Random(5)
     rows = [(f, k, rng.randrange(1, 30)) for f in "ab" for k in range(200)]
-    got = P.greedy_shards(spark.createDataFrame(rows, "f string, k int, n int").repartition(5), "f", "k", F.col("n"), 50).collect()
+    got = shards.greedy_shards(spark.createDataFrame(rows, "f string, k int, n int").repartition(5), "f", "k", F.col("n"), 50).collect()
     found = {(r["f"], r["k"]): r["shard"] for r in got}
     for f in "ab":
         used, shard = 0, 0
