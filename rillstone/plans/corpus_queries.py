@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +13,8 @@ from ..operators import prep as P
 from ..operators import shards as shards_of
 from ..operators import tokens as K
 from ..operators import trees as T
+from ..sources import token_source
+from ..sources.scratch import scratch_dir
 from ..sources.tables import table
 
 Q, SQL = {}, {}
@@ -70,6 +74,17 @@ def shards(s, d):
     return shards_of.greedy_shards(t, "file", "doc_id", F.col("line_bytes"), 100_000).select("doc_id", "shard")
 
 
+@query("token_file_round_trip", """WITH w AS (SELECT doc_id, doc_id // 200 AS shard, string_split(text, ' ') AS l FROM documents), t AS (SELECT shard, doc_id, unnest(list_transform(l, lambda x: length(x))) AS id, generate_subscripts(l, 1) AS k FROM w),
+p AS (SELECT shard, id, row_number() OVER (PARTITION BY shard ORDER BY doc_id, k) - 1 AS place FROM t) SELECT CAST(shard AS VARCHAR) AS shard, count(*) AS n_tokens, CAST(sum(id) AS BIGINT) AS total, CAST(sum(id * place) AS BIGINT) AS weighted FROM p GROUP BY 1""")
+def token_files(s, d):
+    """Word lengths as ids: written by shard, read again in byte ranges, and summed up by position."""
+    root = f"{scratch_dir(s)}/tokens-{uuid.uuid4().hex}"
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w))
+    token_source.write_tokens(table(s, d, "documents").select("doc_id", F.expr("doc_id div 200").alias("shard"), ids.alias("ids")), "shard", "doc_id", "ids", root)
+    rows = token_source.read_tokens(s, root).select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("shard"), "at", F.posexplode("ids").alias("k", "id"))
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("id").alias("total"), F.sum(F.col("id") * (F.col("at") + F.col("k"))).alias("weighted"))
+
+
 # text
 
 

@@ -71,29 +71,6 @@ def token_files(spark: SparkSession, root: str, most: int | None = None, pattern
     return files.mapInArrow(lambda b: _token_batches(b, most), "path string, ids array<bigint>")
 
 
-def write_token_files(df: DataFrame, ids: str, shard: str, root: str) -> DataFrame:
-    """(shard, path, n_tokens) of the files written, one flat uint32 file a shard, through Arrow on the executors; a shard without tokens writes none.
-
-    ``root`` is a folder that all executors share.
-    """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        for batch in batches:
-            for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if x:
-                    os.makedirs(root, exist_ok=True)
-                    path = os.path.join(root, f"{s}.npy")
-                    part = f"{path}.{os.getpid()}.tmp"
-                    with open(part, "wb") as f:
-                        np.save(f, np.asarray(x, dtype=np.uint32))
-                    os.replace(part, path)  # a task that runs twice leaves one whole file
-                    yield pa.RecordBatch.from_arrays([pa.array([str(s)]), pa.array([path]), pa.array([len(x)], pa.int64())], names=["shard", "path", "n_tokens"])
-
-    return df.select(F.col(shard).cast("string"), F.col(ids)).mapInArrow(write, "shard string, path string, n_tokens bigint")
-
-
 def files_in_order(spark: SparkSession, root: str, pattern: str = "*.npy") -> list[str]:
     """Paths below ``root``/shard_*/ by folder and name; a listing."""
     return listed(spark, f"{root}/shard_*/{pattern}", ())

@@ -357,8 +357,6 @@ def test_loaders(spark, tmp_path):
         np.save(tmp_path / name / "0.npy", np.asarray(ids, dtype=np.uint32))
     assert [p.rsplit("/", 2)[1] for p in loaders.files_in_order(spark, root)] == ["shard_0", "shard_1"]
     assert sorted(r["ids"] for r in loaders.token_files(spark, root, 2).collect()) == [[1, 2], [4, 5]]
-    out = loaders.write_token_files(spark.createDataFrame([("a", [1, 2, 3]), ("b", [])], "s string, ids array<bigint>"), "ids", "s", f"{root}/tokens").collect()
-    assert [(r["shard"], r["n_tokens"]) for r in out] == [("a", 3)] and np.load(f"{root}/tokens/a.npy").tolist() == [1, 2, 3]
     (tmp_path / "f").mkdir()
     for n in ("b.json", "a.jsonl", "c.txt"):
         (tmp_path / "f" / n).write_text("{}")
