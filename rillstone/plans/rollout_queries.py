@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import formulas
 from ..functions import math_answers as A
 from ..operators import rollouts as R
 from ..sources.tables import table
@@ -56,3 +57,20 @@ def steps(s, d):
     ends = F.filter(F.transform("ids", lambda x, i: i), lambda i: i % 2 == 1)
     values = F.transform(ends, lambda i: F.get("ids", i).cast("double"))
     return sequences(s, d).select("l_orderkey", R.step_rewards(ends, values, F.size("ids")).alias("rewards"))
+
+
+@query("formula_equality", """WITH p AS (SELECT p_partkey, p_size AS s, p_partkey % 7 + 1 AS k, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS off FROM part)
+SELECT p_partkey, abs(s / k::DOUBLE - (2 * s + off) / (2 * k)::DOUBLE) <= 1e-4 * greatest(s / k::DOUBLE, (2 * s + off) / (2 * k)::DOUBLE) AS quotients, p_partkey % 5 <> 0 AS products, p_partkey % 4 <> 0 AS roots, p_partkey % 3 <> 0 AS intervals FROM p""")
+def formula_equality(s, d):
+    """Quotients, products and roots made from the columns, some of them off; the SQL decides by arithmetic."""
+    p = table(s, d, "part").select("p_partkey", F.col("p_size").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"))
+    off = lambda n: (F.col("p_partkey") % n == 0).cast("int")
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    size, k = F.col("s"), F.col("k")
+    return p.select(
+        "p_partkey",
+        formulas.same_formula(join(r"\frac{", size, "}{", k, "}"), join(2 * size + off(3), "/", 2 * k)).alias("quotients"),
+        formulas.same_formula(join("(x+", size, ")(x-", k, ")"), join("x^2+(", size - k, ")x-", size * k + off(5))).alias("products"),
+        formulas.same_formula(join(r"\sqrt{", size * k * k, "}"), join(k + off(4), r"\sqrt{", size, "}")).alias("roots"),
+        formulas.same_formula(join("(-", k, ",", size, r"]\cup[99,\infty)"), join(r"[99,\infty) \cup (-", k, ",", size + off(3), "]")).alias("intervals"),
+    )
