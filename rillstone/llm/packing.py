@@ -3,11 +3,13 @@
 Documents become token ids and an end id. Only those longer than a sequence are cut,
 from the back, so that the first piece is the short one. What is packed is the
 histogram of piece lengths: at most one counter a length, however many documents there
-are. The driver completes a bin around the largest length left: it enumerates the
-undominated fillings, prunes by the waste they must leave, keeps the best-fit filling as the
-incumbent, and repeats the bin found as often as the counters allow. The search has a budget; where it ends with waste, the sums that the lengths left can reach
-tell the least waste, and a filling with it is taken. So each bin is as full as it can be, whatever the lengths. Pieces then find
-their bin through their rank among the pieces of their length.
+are. The whole best-fit decreasing packing is the first incumbent, and where it has as many bins as a lower bound
+asks for, it is taken. Else the driver branches over bins: around the largest length left it enumerates undominated fillings, prunes them by the waste
+they must leave, and tries the fullest, the best-fit one and the fullest without the first one's largest piece, each as often as the counters
+allow. A node is given up when its bins and the lower bound of what is left are no better than the incumbent; best-fit packings of what is
+left give new incumbents on the way. The search over bins has a budget, so it may end above the optimum, but never above best-fit. Within a bin, too, the search has a
+budget; where it ends with waste, the sums that the lengths left can reach tell the least waste, and a filling with it is taken. Pieces
+then find their bin through their rank among the pieces of their length.
 
 Defined results: a null text is empty; an empty text is one piece, the end id; a very long text is
 encoded whole, runs of 100,000 blanks and more as one word each, and cut; rows that repeat are packed each; pieces of a length
@@ -17,12 +19,14 @@ are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ END_ID = 0
 #: Fillings tried for one bin, beyond the best-fit one, and how many pieces deep, before the reachable sums are asked.
 NODES = 4000
 DEPTH = 6
+#: Bins that are branched over, and how many of them share one best-fit packing of the rest.
+BRANCHES, PROBES = 3000, 16
 
 #: Characters on which the splitters of both libraries agree without doubt.
 PLAIN = r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧]"
@@ -121,8 +127,6 @@ def pieces_of(ids, length: int = LENGTH) -> list[tuple[int, int]]:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: int) -> Iterator[pa.RecordBatch]:
     import zlib
 
-    import numpy as np
-
     encode = Encoder(path)
     for batch in lean(batches):
         out: list[list] = [[], [], [], [], []]
@@ -160,8 +164,8 @@ class Bins:
         return max(at, 0)
 
 
-def complete(bins: Bins, room: int, first: int, nodes: int = NODES, depth: int = DEPTH) -> list[int]:
-    """Lengths that fill ``room`` beside ``first`` with the least waste found; descending.
+def complete(bins: Bins, room: int, first: int, nodes: int = NODES, depth: int = DEPTH, largest: int | None = None) -> list[int]:
+    """Lengths, of ``largest`` at most, that fill ``room`` beside ``first`` with the least waste found; descending.
 
     Longer pieces are tried first: swapping pieces of a filling for one longer piece that
     leaves no more waste dominates it. A branch ends when even its largest pieces, as many
@@ -169,7 +173,8 @@ def complete(bins: Bins, room: int, first: int, nodes: int = NODES, depth: int =
     """
     best: list[int] = []
     used: dict[int, int] = {first: 1}
-    left, most = room, room
+    top = room if largest is None else min(room, largest)
+    left, most = room, top
     while (x := _free(bins, used, min(left, most))) > 0:  # the best-fit filling, piece by piece
         best.append(x)
         used[x] = used.get(x, 0) + 1
@@ -194,16 +199,26 @@ def complete(bins: Bins, room: int, first: int, nodes: int = NODES, depth: int =
             x = _free(bins, used, x - 1)
 
     if waste:
-        search(room, room, [])
-    return least_waste(bins, room, first) if waste else best
+        search(room, top, [])
+    return least_waste(bins, room, first, top) if waste else best
+
+
+def greedy(bins: Bins, room: int, first: int) -> list[int]:
+    """The best-fit filling: the largest piece that fits, again and again."""
+    out, used = [], {first: 1}
+    while (x := _free(bins, used, min(room, out[-1] if out else room))) > 0:
+        out.append(x)
+        used[x] = used.get(x, 0) + 1
+        room -= x
+    return out
 
 
-def least_waste(bins: Bins, room: int, first: int) -> list[int]:
+def least_waste(bins: Bins, room: int, first: int, largest: int | None = None) -> list[int]:
     """Lengths that fill ``room`` beside ``first`` as far as any do, the largest pieces first; descending.
 
     A number's bits are the sums that can be reached; one is kept per length, so that a filling can be read off.
     """
-    lengths = [x for x in range(1, room + 1) if bins.counts[x] - (x == first) > 0]
+    lengths = [x for x in range(1, (room if largest is None else min(room, largest)) + 1) if bins.counts[x] - (x == first) > 0]
     every, reached = (1 << (room + 1)) - 1, [1]
     for x in lengths:
         sums, left, step = reached[-1], min(bins.counts[x] - (x == first), room // x), 1
@@ -231,25 +246,128 @@ def _free(bins: Bins, used: dict[int, int], most: int) -> int:
     return x
 
 
-def pack_histogram(counts: dict[int, int], length: int = LENGTH) -> list[tuple[list[int], int]]:
-    """Bins as (lengths descending, times). Each bin uses up at least one length, or what is left of it, so their number is bounded by the lengths."""
+Packed = list[tuple[list[int], int]]
+
+
+def best_fit(counts: list[int], length: int) -> Packed:
+    """Best-fit decreasing on a histogram: bins that are alike are one entry, so there are about two a length."""
+    rooms: dict[int, Packed] = {}  # room left: bins
+    order: list[int] = []  # the rooms, ascending
+    for x in range(length, 0, -1):
+        left = counts[x]
+        at = bisect.bisect_left(order, x)
+        while left > 0 and at < len(order):  # the fullest bins that have room, each filled before the next
+            room = order[at]
+            group = rooms[room]
+            filling, times = group.pop()
+            if not group:
+                del rooms[room]
+                order.pop(at)
+            each = room // x
+            whole = min(times, left // each)
+            rest = left - whole * each if whole < times else 0
+            moved = [([*filling, *[x] * each], whole)] if whole else []
+            if rest:  # one bin takes what is left
+                moved.append(([*filling, *[x] * rest], 1))
+            for new, n in moved:
+                _put(rooms, order, length - sum(new), new, n)
+            if whole + bool(rest) < times:
+                _put(rooms, order, room, filling, times - whole - bool(rest))
+            left -= whole * each + rest
+            at = bisect.bisect_left(order, x)
+        each = length // x
+        if left >= each:
+            _put(rooms, order, length - x * each, [x] * each, left // each)
+        if left % each:
+            _put(rooms, order, length - x * (left % each), [x] * (left % each), 1)
+    return [b for group in rooms.values() for b in group]
+
+
+def _put(rooms: dict[int, Packed], order: list[int], room: int, filling: list[int], times: int) -> None:
+    if room not in rooms:
+        rooms[room] = []
+        bisect.insort(order, room)
+    rooms[room].append((filling, times))
+
+
+def lower_bound(counts: list[int], length: int) -> int:
+    """Bins that any packing needs: for each threshold, pieces that leave less than it stand alone, and the smaller ones have to fit beside the larger ones."""
+    n = np.asarray(counts, dtype=np.int64)
+    size = n * np.arange(length + 1)
+    count, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(size)])  # below each length
+    half, k = length // 2, np.arange(length // 2 + 1)
+    alone = count[length + 1] - count[length - k + 1]
+    large, in_large = count[length - k + 1] - count[half + 1], total[length - k + 1] - total[half + 1]
+    small = total[half + 1] - total[np.maximum(k, 1)]
+    return int((alone + large + np.maximum(0, -((large * length - in_large - small) // length))).max(initial=0))
+
+
+def bins_of(packed: Packed) -> int:
+    return sum(n for _, n in packed)
+
+
+def _fillings(bins: Bins, length: int) -> list[tuple[list[int], int]]:
+    """Fillings around the largest length left, the fullest first, with how often the counters allow each."""
+    first = bins.largest(length)
+    room = length - first
+    full = complete(bins, room, first)
+    others = [greedy(bins, room, first)]
+    if full:
+        others.append(complete(bins, room, first, largest=full[0] - 1))
+    out = []
+    for filling in dict.fromkeys(tuple(x) for x in [full, *others]):
+        whole = [first, *filling]
+        out.append((whole, min(bins.counts[x] // whole.count(x) for x in set(whole))))
+    return out
+
+
+def branch_over_bins(counts: list[int], length: int, incumbent: Packed, bound: int, budget: int = BRANCHES) -> Packed:
+    """The best packing found; ``incumbent``, if none is better. Depth first, so that the last bins are varied first."""
+    best, fewest = incumbent, bins_of(incumbent)
+    chosen: Packed = []
+    stack: list[list] = [[Bins(list(counts)), 0, None]]  # counters, bins so far, fillings yet to try
+    while stack and budget > 0 and fewest > bound:
+        bins, used, options = stack[-1]
+        if options is None:
+            first = bins.largest(length)
+            if used + lower_bound(bins.counts, length) >= fewest:
+                options = []
+            elif len(stack) % PROBES == 1 and used + bins_of(rest := best_fit(bins.counts, length)) < fewest:
+                best = [*chosen, *rest]
+                fewest = bins_of(best)
+                continue
+            else:
+                budget -= 1
+                options = _fillings(bins, length) if first else []
+            if not first and used < fewest:
+                best, fewest = list(chosen), used
+            stack[-1][2] = options = options[::-1]
+        if not options:
+            stack.pop()
+            if chosen:
+                chosen.pop()
+            continue
+        filling, times = options.pop()
+        left = list(bins.counts)
+        for x in filling:
+            left[x] -= times
+        chosen.append((filling, times))
+        stack.append([Bins(left), used + times, None])
+    return best
+
+
+def pack_histogram(counts: dict[int, int], length: int = LENGTH) -> Packed:
+    """Bins as (lengths descending, times); their number is bounded by the lengths, not by the counts."""
     left = [0] * (length + 1)
     for n, c in counts.items():
         if not 0 < n <= length:
             raise ValueError(f"a piece of {n} tokens doesn't fit {length}")
         left[n] += c
-    bins, out = Bins(left), []
-    while (first := bins.largest(length)) > 0:
-        filling = [first, *complete(bins, length - first, first)]
-        need = {x: filling.count(x) for x in set(filling)}
-        times = min(bins.counts[x] // n for x, n in need.items())
-        for x, n in need.items():
-            bins.counts[x] -= n * times
-        out.append((filling, times))
-    return out
+    incumbent, bound = best_fit(left, length), lower_bound(left, length)
+    return incumbent if bins_of(incumbent) == bound else branch_over_bins(left, length, incumbent, bound)
 
 
-def slots(packed: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:
+def slots(packed: Packed) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, copies a sequence, offset of the first copy)."""
     ranks: dict[int, int] = {}
     out, sequence = [], 0
