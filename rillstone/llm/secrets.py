@@ -1,10 +1,11 @@
 """Secret scans with a recursive decoding worklist.
 
 The text is the first layer. Each layer is scanned, and its encoded stretches (URL escapes,
-Unicode and hex escapes, base64 and base64url, also wrapped over lines or glued to other characters, and gzip or zlib data inside
+Unicode and hex escapes, character references, base64 and base64url, also wrapped over lines or glued to other characters, and gzip or zlib data inside
 base64, however deep) are decoded into new layers, alone and among their surroundings, until none is left. A layer whose text and places were seen before is not decoded
 again, so cycles end; a text that stands twice is reported at both places. A layer keeps segments that map its characters to those of the
-layer around it; a find in a deep layer is reported at its span of the text.
+whole text, made once from those of the layer around it, so a deep layer costs no more than a shallow one: the work on a text is linear in the sum of its
+layers. A find in a deep layer is reported at its span of the text.
 
 Content that inflates to more than WINDOW bytes is streamed and worked in windows of that size that overlap by OVERLAP characters, so memory has
 a bound and nothing is left out but what a single find of more than OVERLAP characters or an encoded stretch across windows would add.
@@ -26,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from html.entities import html5
 from operator import itemgetter
 
 import pyarrow as pa
@@ -42,8 +44,10 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 #: Runs of characters of URLs are taken first, escapes looked for inside: linear in the text, however long a run is.
 URL = re.compile(r"[A-Za-z0-9_.~+/:=?&@,;!*'()$%-]+")
-URL_ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
-UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: An escaped byte; percent signs that were escaped eight times and more (%2525...) are unwrapped in one step.
+URL_BYTE = re.compile(r"%((?:25){8,}|)([0-9A-Fa-f]{2})")
+URL_ESCAPE = re.compile(r"((?:%(?:(?:25){8,}|)[0-9A-Fa-f]{2})+)")
+UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|&([A-Za-z][A-Za-z0-9]{1,31});")
 LEAST_BLOB = 16
 BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_BLOB},}}={{0,2}}")
 #: Base64 over several lines, of 60 characters or more as encoders wrap it, all alike but the last.
@@ -62,7 +66,8 @@ Segment = tuple[int, int, int, bool]
 def scan_layer(text: str) -> list[Find]:
     """Base finds of one layer, leftmost and non-overlapping per kind."""
     out: list[Find] = []
-    out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+    if ":" in text or "=" in text:
+        out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
@@ -107,18 +112,28 @@ class Splice:
 class Layer:
     text: str
     segments: list[Segment]
-    around: Layer | None
+    """Spans are those of the whole text."""
 
     def outermost(self, start: int, end: int) -> Span:
-        """The span of the text from which the characters from start to end come."""
-        layer = self
-        while layer.around is not None:
-            at, low, _, itself = layer.segments[bisect.bisect_right(layer.segments, start, key=itemgetter(0)) - 1]
-            at_last, low_last, high, itself_last = layer.segments[bisect.bisect_right(layer.segments, end - 1, key=itemgetter(0)) - 1]
-            start = low + start - at if itself else low
-            end = low_last + end - at_last if itself_last else high
-            layer = layer.around
-        return start, end
+        """The span of the whole text from which the characters from start to end come."""
+        at, low, _, itself = self.segments[bisect.bisect_right(self.segments, start, key=itemgetter(0)) - 1]
+        at_last, low_last, high, itself_last = self.segments[bisect.bisect_right(self.segments, end - 1, key=itemgetter(0)) - 1]
+        return low + start - at if itself else low, low_last + end - at_last if itself_last else high
+
+    def inside(self, segments: list[Segment]) -> list[Segment]:
+        """The segments of a layer inside this one, which map to this one, as segments that map to the whole text."""
+        out: list[Segment] = []
+        for at, start, end, itself in segments:
+            if not itself:
+                out.append((at, *self.outermost(start, end), False))
+                continue
+            k = bisect.bisect_right(self.segments, start, key=itemgetter(0)) - 1
+            while k < len(self.segments) and self.segments[k][0] < end:  # plain characters lie in one segment of this layer or several
+                own, low, high, plain = self.segments[k]
+                first, last = max(start, own), min(end, self.segments[k + 1][0] if k + 1 < len(self.segments) else end)
+                out.append((at + first - start, low + first - own, low + last - own, True) if plain else (at + first - start, low, high, False))
+                k += 1
+        return out
 
 
 def decoded_bytes(data: bytes) -> str | None:
@@ -246,16 +261,19 @@ def _url_stretches(text: str) -> list[tuple[int, int, Splice]]:
             continue
         stretch, at, any_decoded = Splice(), m.start(), False
         for k, part in enumerate(parts):
-            plain = decoded_bytes(bytes.fromhex(part.replace("%", ""))) if k % 2 else None
+            units = URL_BYTE.findall(part) if k % 2 else []
+            plain = decoded_bytes(bytes.fromhex("".join(b for _, b in units))) if units else None
             if plain is None:  # bytes that aren't UTF-8 stay as they stand
                 stretch.plain(text, at, at + len(part))
                 at += len(part)
                 continue
-            any_decoded = True
+            any_decoded, byte = True, 0
             for c in plain:
-                n = 3 * len(c.encode("utf-8"))
+                size, n = len(c.encode("utf-8")), 0
+                for again, _ in units[byte : byte + size]:
+                    n += 3 + len(again)
                 stretch.decoded(c, at, at + n)
-                at += n
+                at, byte = at + n, byte + size
         if any_decoded:
             found.append((m.start(), m.end(), stretch))
     return found
@@ -264,6 +282,12 @@ def _url_stretches(text: str) -> list[tuple[int, int, Splice]]:
 def _unicode_stretches(text: str) -> list[tuple[int, int, Splice]]:
     found = []
     for m in UNICODE.finditer(text):
+        if m[7]:
+            if (named := html5.get(f"{m[7]};")) is not None:
+                stretch = Splice()
+                stretch.decoded(named, *m.span())
+                found.append((*m.span(), stretch))
+            continue
         code = int(m[6]) if m[6] else int(next(g for g in m.groups()[:5] if g), 16)
         if code < 0x110000 and not 0xD800 <= code < 0xE000:
             stretch = Splice()
@@ -281,7 +305,7 @@ def unwrapped(text: str) -> Iterator[tuple[str, list[Segment]]]:
     yield from (stretch.layer() for _, _, stretch in found)
     if found:
         yield _among(text, found)
-    if ("\\" in text or "&#" in text) and (found := _unicode_stretches(text)):
+    if ("\\" in text or "&" in text) and (found := _unicode_stretches(text)):
         yield _among(text, found)
     found = []
     for m in BASE64.finditer(text):
@@ -302,19 +326,21 @@ def unwrapped(text: str) -> Iterator[tuple[str, list[Segment]]]:
 
 def find_secrets(text: str | None) -> tuple[list[Find], list[Find]]:
     """(base finds, all finds): spans in code points of the text, end exclusive."""
-    first = Layer(text or "", [], None)
+    text = text or ""
+    first = Layer(text, [(0, 0, len(text), True)])
     base = scan_layer(first.text)
     every = set(base)
-    seen: set[tuple[str, int]] = set()  # texts with a hash of the places that they come from
+    seen: set[tuple[bytes, int]] = set()  # digests of texts, with a hash of the places that they come from
     work = [first]
     while work:
         around = work.pop()
         for inner, segments in unwrapped(around.text):
-            place = (inner, hash(tuple((at, itself, *around.outermost(a, b)) for at, a, b, itself in segments)))
+            segments = around.inside(segments)
+            place = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), hash(tuple(segments)))
             if place in seen:
                 continue
             seen.add(place)
-            layer = Layer(inner, segments, around)
+            layer = Layer(inner, segments)
             every |= {(kind, *layer.outermost(a, b)) for kind, a, b in scan_layer(inner)}
             work.append(layer)
     return base, in_order(every)

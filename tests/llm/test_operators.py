@@ -417,6 +417,40 @@ def test_bins_are_optimal_where_brute_force_can_tell():
         assert sum(n for _, n in packed) == best(sorted(sizes, reverse=True), [])
 
 
+def plain_best_fit(sizes, length):
+    """Bins of best-fit decreasing, piece by piece."""
+    rooms = []
+    for x in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= x]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - x)
+        else:
+            rooms.append(length - x)
+    return len(rooms)
+
+
+def test_never_above_best_fit():
+    rng = random.Random(8)
+    for _ in range(1000):
+        length = rng.choice([12, 50, 100, 2048])
+        sizes = [rng.randrange(1, rng.choice([length, length // 2]) + 1) for _ in range(rng.randrange(1, 25))]
+        left = [sizes.count(x) for x in range(length + 1)]
+        assert packing.bins_of(packing.best_fit(left, length)) == plain_best_fit(sizes, length)
+        packed = packing.pack_histogram(dict(collections.Counter(sizes)), length)
+        assert packing.lower_bound(left, length) <= packing.bins_of(packed) <= plain_best_fit(sizes, length)
+        assert collections.Counter(x for f, n in packed for x in f * n) == collections.Counter(sizes) and all(sum(f) <= length for f, _ in packed)
+
+
+def test_branching_beats_best_fit():
+    rng = random.Random(1)
+    sizes = [rng.randrange(300, 701) for _ in range(300)]
+    assert packing.bins_of(packing.pack_histogram(dict(collections.Counter(sizes)))) < plain_best_fit(sizes, 2048)
+    huge = {x: 10**9 + x for x in range(1, 2049, 7)}  # bins that are alike are one entry
+    packed = packing.pack_histogram(huge)
+    assert len(packed) < 2000 and {x: sum(f.count(x) * n for f, n in packed) for x in huge} == huge
+
+
 def test_many_short_pieces_fill_their_bins():
     packed = packing.pack_histogram({201: 1000, 184: 1000}, 2048)
     assert sum(n for _, n in packed) == 190
@@ -460,6 +494,53 @@ def test_secret_layers():
     assert secrets.find_secrets("\u017fecret=abcdefgh to\u212aen=abcdefgh")[0] == []
 
 
+def test_secrets_in_long_chains_of_escapes():
+    """A text of many layers costs the sum of its layers; percent signs escaped over and over are one step."""
+    began = time.perf_counter()
+    for text, want in (
+        ("password%" + "25" * 10_000 + "3Dabcdefgh", ("assign", 0, 20_019)),
+        ("%25" * 50_000, None), ("\\u005c" * 5_000 + "u0041", None), ("token&" + "amp;" * 300 + "equals;abcdefgh", ("assign", 0, 1221)), ("%5C" * 5000 + "u0041", None),
+    ):
+        finds = secrets.find_secrets(text)[1]
+        assert want in finds if want else finds == []
+    assert time.perf_counter() - began < 5
+
+
+def test_character_references_are_a_layer():
+    assert secrets.find_secrets("password&quot;:&quot;abcdefg")[1] == [("assign", 0, 28)]
+    assert secrets.find_secrets("password&amp;quot;&colon;abcdefg &nosuch;")[1] == [("assign", 0, 32)]
+    assert secrets.find_secrets("&#x70;assword&equals;abcdefgh")[1] == [("assign", 0, 29)]
+
+
+def plain_chain(text):
+    """Finds of a text that was escaped as a whole, layer by layer: (depth, kind, matched characters)."""
+    out, depth = [], 0
+    while True:
+        out += [(depth, k, text[a:b]) for k, a, b in secrets.scan_layer(text)]
+        inner = urllib.parse.unquote(text, errors="strict")
+        if inner == text:
+            return out
+        text, depth = inner, depth + 1
+
+
+def test_spans_of_nested_escapes_equal_a_plain_decoder():
+    rng = random.Random(6)
+    for _ in range(150):
+        plain = f"{prose(rng, 3)} é password = {''.join(rng.choices('abcdefgh0123', k=12))} & {'AKIA' + 'Z9' * 9} ü"
+        text = plain
+        for _ in range(rng.randrange(1, 6)):
+            text = "".join(urllib.parse.quote(c, safe="") if not c.isalnum() or rng.random() < 0.2 else c for c in text)
+        spans = {(k, text[a:b]) for k, a, b in secrets.find_secrets(text)[1]}
+        for _, kind, found in plain_chain(text):
+            assert any(k == kind and found in _unquoted(s) for k, s in spans)
+
+
+def _unquoted(text):
+    while (inner := urllib.parse.unquote(text, errors="replace")) != text:
+        text = inner
+    return text
+
+
 def test_secret_layers_at_every_place():
     key = "password=hunter2hunter2"
     blob = b64encode(key.encode()).decode()
