@@ -149,11 +149,14 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from labelled rows that aren't held out; at most ``sample`` of them, by the smallest hashes of their ids, reach the driver (BAG passages each)."""
+    """A model from labelled rows that aren't held out; at most ``sample`` of them, by the smallest hashes of their ids, reach the driver (BAG passages each).
+
+    Of rows that share a doc_id the text with the smallest hash counts, so the bound is one of rows.
+    """
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
     known = known.filter(crc(F.col("doc_id")) % 5 != 0).select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows
-    rows = rows.select("label", "text", "h", "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` ids
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))  # and one row an id
     width = encode("").shape[1]
     found = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_encoded, "label int, bag binary").collect()
     found.sort(key=lambda r: (r["bag"], r["label"]))  # the order of tasks mustn't matter
