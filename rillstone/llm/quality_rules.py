@@ -206,10 +206,12 @@ def fit_cutoffs(features: DataFrame, names: dict[str, str], alpha: float = ALPHA
     """One row per stratum: no_stratum, stratum and a cutoff per rule (null: off).
 
     features: doc_id, lang, is_good and the feature columns of the labelled documents. All counting is by groups; a stratum leaves as many rows as there are
-    cutoffs. Rows that repeat a doc_id count once.
+    cutoffs. Rows that repeat a doc_id count once, by the smallest of their features.
     """
     stratum = ["no_stratum", "stratum"]
-    rows = features.dropDuplicates(["doc_id"]).select("doc_id", F.col("lang").isNull().alias("no_stratum"), F.coalesce("lang", F.lit("")).alias("stratum"), "is_good", *[F.col(names[r]).alias(r) for r in RULES])
+    used = ["lang", "is_good", *[names[r] for r in RULES]]
+    features = features.groupBy("doc_id").agg(F.min(F.struct(*used)).alias("_least")).select("doc_id", "_least.*")
+    rows = features.select("doc_id", F.col("lang").isNull().alias("no_stratum"), F.coalesce("lang", F.lit("")).alias("stratum"), "is_good", *[F.col(names[r]).alias(r) for r in RULES])
     rows = written(rows.withColumn("orders", F.pmod(F.xxhash64("doc_id"), F.lit(ORDERING)) == 0), "quality-labelled")
     every = [(r, k, float(c)) for r, cuts in RULES.items() for k, c in enumerate(cuts)]
     counts = rows.filter("orders").groupBy(*stratum, "is_good").agg(*[F.expr(f"count_if({r} > {c!r}D) AS {r}_{k}") for r, k, c in every])
