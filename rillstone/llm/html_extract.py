@@ -3,7 +3,7 @@
 A page is read as a stream of blocks. Markup says what is chrome by nature (menus,
 headers, footers, sidebars, forms, notices, adverts, comments, scripts); of a header inside an article its headings stay. The pages' other
 token streams, those outside of articles, are concatenated by host: a suffix array finds the long substrings that repeat across distinct contents, and
-blocks that these cover are boilerplate, but for the unique runs in them. On pages without an article element every block is
+blocks that these cover are boilerplate, but for the unique runs in them, however short. On pages without an article element every block is
 decided so; inside an article only a block of RUN tokens or more goes that such substrings cover whole, a notice that stands in the chrome of other pages. A substring counts as repeated
 if it stands in LEAST contents of its host and in SHARE of them, or in all if there are fewer than LEAST; copies of a page are one content. What articles repeat
 among themselves, as quotes or copies, stays.
@@ -41,12 +41,15 @@ LEAST, SHARE = 3, 0.1
 PAGES = 64
 
 #: Tags whose content is never text of the page.
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "title"}
+RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "title", "annotation", "annotation-xml"}
+#: Those of them that may stand within a line and don't end a block.
+WITHIN = {"script", "style", "svg", "annotation", "annotation-xml"}
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "head", "fieldset"}
 ARTICLE = {"article", "main"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "rp", "rt",
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mpadded", "mfenced", "mtable", "mtr", "mtd",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words of a class, id or role that name chrome.
@@ -66,9 +69,12 @@ ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 HEADING = re.compile(r"h[1-6]$")
+#: Elements of an article that no name makes chrome: a heading's id is its anchor, a quote's class its looks.
+OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figure", "figcaption", "pre", "table", "dl"}
 
 
-def is_chrome(tag: str, attrs: str) -> bool:
+def is_chrome(tag: str, attrs: str, article: bool = False) -> bool:
+    """By element, by a hidden attribute, or by a class, id or role; inside an article ids are anchors and decide nothing."""
     if tag in CHROME:
         return True
     if tag in ("body", "html") or len(attrs) < 4:
@@ -77,7 +83,8 @@ def is_chrome(tag: str, attrs: str) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and HIDDEN.search(value)):
             return True
-        if name in ("class", "id", "role") and tag not in ARTICLE and any(map(names_chrome, value.lower().split())):
+        named = name in ("class", "role") and not (article and tag in OWN) or name == "id" and not article and not HEADING.match(tag)
+        if named and tag not in ARTICLE and any(map(names_chrome, value.lower().split())):
             return True
     return False
 
@@ -123,7 +130,8 @@ def blocks_of(page: str) -> tuple[list[str], list[str], bool]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                close()
+                if tag not in WITHIN:
+                    close()
                 shut = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = shut.end() if shut else end
             continue
@@ -138,7 +146,7 @@ def blocks_of(page: str) -> tuple[list[str], list[str], bool]:
                 close()
                 del stack[depth:]
                 hidden, article = stack[-1][1:] if stack else (False, False)
-            elif not closing and tag not in VOID and not m[3].endswith("/") and (held or is_chrome(tag, m[3])):
+            elif not closing and tag not in VOID and not m[3].endswith("/") and (held or is_chrome(tag, m[3], article)):
                 close()
                 hidden = True
                 stack.append((tag, hidden, article))
@@ -156,9 +164,9 @@ def blocks_of(page: str) -> tuple[list[str], list[str], bool]:
                     stack.pop()
                 hidden, article = stack[-1][1:] if stack else (False, False)
             if hidden and HEADING.match(tag) and stack and stack[-1][0] == "header" and article and not any(h for _, h, _ in stack[:-1]):
-                hidden = is_chrome(tag, m[3])  # the title of an article in its own header
+                hidden = is_chrome(tag, m[3], article)  # the title of an article in its own header
             else:
-                hidden = hidden or is_chrome(tag, m[3])
+                hidden = hidden or is_chrome(tag, m[3], article)
             if tag in ARTICLE and not hidden:
                 article = found = True
             stack.append((tag, hidden, article))
@@ -326,14 +334,14 @@ def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks as text; of those with repeated runs only the runs of RUN tokens or more that aren't covered."""
+    """The blocks as text; of those with repeated runs only the tokens that aren't covered."""
     for batch in lean(batches, PAGES):
         texts = []
         for blocks, cuts in zip(batch.column("blocks").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
             for cut in cuts or ():
                 words = blocks[cut["block"]].split()
                 ends = [a + RUN for a in cut["ats"]]
-                free = [words[a:b] for a, b in zip([0, *ends], [*cut["ats"], len(words)], strict=True) if b - a >= RUN]
+                free = [words[a:b] for a, b in zip([0, *ends], [*cut["ats"], len(words)], strict=True) if b > a]
                 blocks[cut["block"]] = " ".join(w for run in free for w in run)
             texts.append("\n\n".join(b for b in blocks if b))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])

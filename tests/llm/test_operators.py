@@ -196,7 +196,7 @@ def test_html_repeated_runs_of_a_host(spark):
     bodies = [prose(rng, 50, 5000) for _ in range(40)]
     pages = [(f"http://h{i % 2}.org/{i}", f"<div>{chrome} {i}</div><div>{b}</div>") for i, b in enumerate(bodies)] + [("http://alone.org/", f"<div>{chrome}</div><p>x y</p>")]
     got = texts_of(spark, pages)
-    assert [got[i] for i in range(40)] == bodies  # the repeated run goes, the unique one stays
+    assert [got[i] for i in range(40)] == [f"{i}\n\n{b}" for i, b in enumerate(bodies)]  # the repeated run goes, the unique ones stay, short ones, too
     assert got[40] == f"{chrome}\n\nx y"  # another host's run is no evidence
 
 
@@ -215,11 +215,19 @@ def test_html_copies_and_quotes_stay(spark):
 
 
 def test_html_compound_names_are_no_chrome(spark):
-    inside = '<div class="elementor-widget"><p>one</p></div><section id="related-work">two</section><section id="search-algorithms">three</section><h1 class="post-header">four</h1><div class="site-footer">no</div><div id="cookie-notice">no</div>'
+    inside = '<div class="elementor-widget"><p>one</p></div><section id="related-work">two</section><section id="search-algorithms">three</section><h1 class="post-header">four</h1><div class="site-footer">no</div><div class="cookie-notice">no</div>'
     pages = [("http://a.b/1", f'<article class="long-form">{inside}</article>'), ("http://a.b/2", f'<main id="search">{inside}</main>'), ("http://c.d/3", f"<div>{inside}</div>")]
     assert set(texts_of(spark, pages).values()) == {"one\n\ntwo\n\nthree\n\nfour"}
 
 
+def test_html_anchors_quotes_and_formulas_of_articles(spark):
+    inside = """<h2 id="search">Search</h2><h2 id="notice">Notice of death</h2><blockquote class="share">Q</blockquote><section id="comments"><p>On comments</p></section>
+    <p>so <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup><annotation encoding="x">x=y^2</annotation></math> holds</p><div class="share">no</div><p class="ad">no</p>"""
+    want = "Search\n\nNotice of death\n\nQ\n\nOn comments\n\nso x=y2 holds"
+    outside = '<h2 id="menu">Menu</h2><div id="sidebar">no</div>'
+    assert texts_of(spark, [("http://a.b/1", f"{outside}<article>{inside}</article>"), ("http://c.d/2", outside)]) == {0: want, 1: "Menu"}
+
+
 def test_html_attributes_and_headers(spark):
     page = """<article><p title=it's>one</p><p data-class="ad">two</p><p title="class=ad">three</p><header><h1>Title</h1><p>by x</p></header><div CLASS=ad>no</div><p aria-hidden="true">no</p><p style="display: none">no</p>
     <nav><h2>no</h2></nav><p data-a='>'>four</p></article>"""
