@@ -14,12 +14,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import free_names, hot_join, with_membership, written
 
 #: A group over this share of all rows is salted when its bytes are compared: at most 1 / share such groups exist.
 HEAVY = 1 / 1000
+#: Copies of one doc_id and text that are made at once.
+COPIES = 1024
 
 
 def normalised(text: Column) -> Column:
@@ -45,11 +46,16 @@ def content_groups(docs: DataFrame, hash_fn: Callable[[Column], Column] = hash12
     clash = written(_collisions(rows, groups, total), "dedup-collisions")
     if not clash.isEmpty():
         return _split(rows, units, groups, clash)
-    return _rows(hot_join(units, groups, ["h"], "group_size", total))
+    return _rows(hot_join(units, groups, ["h"], "group_size", total), units)
 
 
-def _rows(joined: DataFrame) -> DataFrame:
-    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+def _rows(joined: DataFrame, units: DataFrame) -> DataFrame:
+    """A row per copy. A unit's copies are dealt in parts of COPIES, so that neither an array nor a task holds all of them."""
+    joined = joined.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    if not units.filter(F.col("n") > COPIES).isEmpty():
+        joined = joined.repartition("h", "doc_id", "part")
+    within = F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("part") * COPIES))
+    copies = joined.withColumn("copy", F.explode(within)).withColumn("copy", F.col("part") * COPIES + F.col("copy"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return copies.select("doc_id", F.col("h").alias("group_key"), "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
@@ -76,16 +82,23 @@ def _split(rows: DataFrame, units: DataFrame, groups: DataFrame, clash: DataFram
     bad = bad.groupBy("h", "t", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_sha256").alias("text_sha256"))
     bad_groups = bad.groupBy("h", "t").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     bad = bad.join(bad_groups, ["h", "t"]).withColumn("h", F.concat("h", F.encode("t", "UTF-8")))
-    return _rows(clean).unionByName(_rows(bad))
+    return _rows(clean, units).unionByName(_rows(bad, units))
 
 
 def report(docs: DataFrame) -> DataFrame:
     return content_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def one_row(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The columns of one row of each group, one whose text has the smallest hash; groups are combined where they stand, so no task holds one whole."""
+    held = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    least = rows.groupBy(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.min_by(held, F.xxhash64("text")).alias("row"))
+    return least.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)])
+
+
 def drop_copies(docs: DataFrame, hash_fn: Callable[[Column], Column] = hash128) -> DataFrame:
     """docs without the rows whose text another row keeps; all columns stay."""
-    n = free_names(docs, "_key", "_maybe", "_first", "_id", "_sha")
+    n = free_names(docs, "_key", "_maybe", "_id", "_sha")
     groups = content_groups(docs, hash_fn).filter("group_size > 1").select(F.col("doc_id").alias(n["_id"]), F.col("text_sha256").alias(n["_sha"]), F.col("kept").alias("stays"))
     groups = written(groups, "dedup-verdicts")
     both = [n["_id"], n["_sha"]]
@@ -98,9 +111,7 @@ def drop_copies(docs: DataFrame, hash_fn: Callable[[Column], Column] = hash128)
     same = F.col("doc_id").eqNullSafe(F.col(n["_id"])) & (F.col(n["_key"]) == F.col(n["_sha"]))
     goes = groups.groupBy(*both).agg(F.max("stays").alias("stays")).filter("not stays").select(*both)
     rows = rows.join(goes, same, "left_anti")
-    one = Window.partitionBy("doc_id", n["_key"]).orderBy(F.xxhash64("text"))
-    rows = rows.withColumn(n["_first"], F.row_number().over(one)).filter(F.col(n["_first"]) == 1)
-    return alone.unionByName(rows.select(*columns))
+    return alone.unionByName(one_row(rows, ["doc_id", n["_key"]], docs.columns))
 
 
 SQL = r"""

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, free_names, hot_join, lean, with_membership, written
+from .exact_dedup import one_row
 
 WIDTH, COORDINATES, MATCHES = 5, 48, 23
 #: A link: PERCENT of the union at least is shared.
@@ -335,14 +336,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("set", *alone).orderBy("hash"))
     kept = each.filter("kept").withColumn("place", place).filter("place > 1 or copies > 1").select("doc_id", "hash", (F.col("place") == 1).alias("kept"))
     verdict = written(kept.unionByName(each.filter("not kept").select("doc_id", "hash", "kept")), "near-verdicts")
-    n = free_names(docs, "_maybe", "_kept", "_first", "_id", "_hash", "_text")
+    n = free_names(docs, "_maybe", "_kept", "_id", "_hash", "_text")
     rows = docs.withColumn(n["_text"], F.xxhash64("text"))
     rows = with_membership(rows, F.xxhash64("doc_id", n["_text"]), verdict.select(F.xxhash64("doc_id", "hash").alias("h")), n["_maybe"])
     sure = rows.filter(~F.col(n["_maybe"]))
     verdict = verdict.select(F.col("doc_id").alias(n["_id"]), F.col("hash").alias(n["_hash"]), F.col("kept").alias(n["_kept"]))
     same = F.col("doc_id").eqNullSafe(F.col(n["_id"])) & (F.col(n["_text"]) == F.col(n["_hash"]))
     rest = rows.filter(n["_maybe"]).join(verdict, same, "left").filter(F.coalesce(n["_kept"], F.lit(True)))
-    first = F.row_number().over(Window.partitionBy("doc_id", n["_text"]).orderBy(n["_text"]))
-    rest = rest.withColumn(n["_first"], first).filter(F.col(n["_first"]) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return sure.select(*columns).unionByName(rest.select(*columns))
+    return sure.select(*columns).unionByName(one_row(rest, ["doc_id", n["_text"]], docs.columns))

@@ -274,6 +274,25 @@ def test_suffix_array():
 # 3
 
 
+def test_one_id_on_most_rows(spark):
+    """Copies of one doc_id and text are dealt in parts; the classifier's sample is bounded by rows."""
+    rows = [(None, "", "en", "s", 0)] * 5000 + [(7, "a b", "en", "s", 3)] * 2049 + [(8, f"text {i % 40}", "en", "s", 6) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = exact_dedup.report(docs).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 42
+    assert collections.Counter(r["group_size"] for r in got) == {5000: 5000, 2049: 2049, 75: 3000}
+    assert exact_dedup.drop_copies(docs).count() == 42
+    labels = spark.createDataFrame([(8, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    found = []
+    fit = mil_classifier.Model.fit
+    mil_classifier.Model.fit = lambda self, bags, *a, **k: found.append(len(bags)) or fit(self, bags, *a, **k)
+    try:
+        mil_classifier.train(docs, labels, sample=10)
+    finally:
+        mil_classifier.Model.fit = fit
+    assert found[0] <= 2
+
+
 def test_hash_collisions_are_told_apart(spark):
     from pyspark.sql import functions as F
 
