@@ -193,3 +193,11 @@ def both(s, d):
     rows = tokens(s, d).join(o, "l_orderkey").withColumn("all", F.lit(1))
     r = A.outcome_and_steps(rows, "o_custkey", "l_orderkey", "pos", "outcome", "reward", "all", differential="half")
     return r.select("l_orderkey", "pos", F.round("advantage", 5).alias("advantage"))
+
+
+@query("long_returns", """WITH t AS (SELECT event_id, event_type, value / 701 AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS pos FROM events)
+SELECT a.event_id, round(sum(b.v * power(0.5::DOUBLE, b.pos - a.pos)), 6) AS returns FROM t a JOIN t b ON a.event_type = b.event_type AND b.pos BETWEEN a.pos AND a.pos + 80 GROUP BY 1""")
+def long_returns(s, d):
+    """Five sequences of a fifth of the table each, in blocks; the SQL leaves out what weighs under 2^-80."""
+    rows = table(s, d, "events").select("event_type", "event_id", (F.col("value") / 701).alias("v"))
+    return A.discounted_returns(rows, "event_type", "event_id", "v", 0.5).select("event_id", F.round("returns", 6).alias("returns"))

@@ -144,9 +144,9 @@ def constant(s, d):
     return r.select(F.round("l_discount", 6).alias("l_discount"), F.round("l_tax", 6).alias("l_tax"))
 
 
-@query("evaluation_table", f"WITH {PAIRED}, h AS (SELECT *, {NORM.format(c='predicted')} = {NORM.format(c='target')} AS hit FROM p), x AS (SELECT l_returnflag, avg(hit::INT) AS a, count(*) FILTER (hit) AS b, count(*) AS c FROM h WHERE l_returnflag IN ('A', 'R') GROUP BY 1) SELECT l_returnflag || '/match_accuracy' AS metric, round(a, 6) AS value FROM x UNION ALL SELECT l_returnflag || '/num_matches', b FROM x UNION ALL SELECT l_returnflag || '/num_total', c FROM x")
+@query("evaluation_table", f"WITH {PAIRED}, h AS (SELECT *, {NORM.format(c='predicted')} = {NORM.format(c='target')} AS hit FROM p), x AS (SELECT l_returnflag, avg(hit::INT) AS a, count(*) FILTER (hit) AS b, count(*) AS c FROM h GROUP BY 1) SELECT l_returnflag || '/match_accuracy' AS metric, round(a, 6) AS value FROM x UNION ALL SELECT l_returnflag || '/num_matches', b FROM x UNION ALL SELECT l_returnflag || '/num_total', c FROM x")
 def evaluations(s, d):
     rows = paired(s, d)
     grade = lambda df: G.match_accuracy(df, "predicted", "target")
-    r = G.evaluations(s, [(flag, rows.filter(F.col("l_returnflag") == flag), grade, None) for flag in ("A", "R")], "predicted")
+    r = G.evaluations(s, [(flag, rows.filter(F.col("l_returnflag") == flag), grade, None) for flag in ("A", "N", "R")], "predicted")
     return r.withColumn("value", F.round("value", 6))

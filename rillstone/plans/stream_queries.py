@@ -26,7 +26,7 @@ def _events(s, d):
 
 
 def running(s, d):
-    out = M.drained(M.running_metrics(_events(s, d), ["event_type"], "value"), f"running_{uuid.uuid4().hex}", "complete", _checkpoint(s))
+    out = _finished(s, M.running_metrics(_events(s, d), ["event_type"], "value"), "complete")
     return out.select("event_type", "n", F.round("mean", 5).alias("mean"), "least", "most")
 
 

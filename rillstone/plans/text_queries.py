@@ -133,9 +133,9 @@ def state_fits(s, d):
     return r.join(spread, "user_id", "left_semi").filter("n > 2").select("user_id", F.round("slope", 4).alias("slope"), "n")
 
 
-@query("centred_logs", "SELECT vec_id, list_transform(e, lambda x: round(ln(greatest(abs(x), 1e-12::DOUBLE)) - list_avg(list_transform(e, lambda y: ln(greatest(abs(y), 1e-12::DOUBLE)))), 4)) AS c, round(ln(least(greatest(abs(e[1]), 1e-6), 1 - 1e-6) / (1 - least(greatest(abs(e[1]), 1e-6), 1 - 1e-6))), 4) AS logit FROM (SELECT vec_id, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS e FROM embeddings)")
+@query("centred_logs", "SELECT vec_id, list_transform(e, lambda x: round(ln(greatest(abs(x), 1e-12::DOUBLE)) - list_avg(list_transform(e, lambda y: ln(greatest(abs(y), 1e-12::DOUBLE)))), 4)) AS c, round(ln(least(greatest(abs(e[1]), 1e-6), 1 - 1e-6) / (1 - least(greatest(abs(e[1]), 1e-6), 1 - 1e-6))), 4) AS logit FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)")
 def centred(s, d):
-    e = F.transform(F.slice("embedding", 1, 6), lambda x: F.abs(x.cast("double")))
+    e = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     rows = table(s, d, "embeddings").select("vec_id", e.alias("e"))
     return rows.select("vec_id", F.transform(D.centred_log(F.col("e")), lambda x: F.round(x, 4)).alias("c"), F.round(D.logit(F.get("e", F.lit(0))), 4).alias("logit"))
 
