@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import moves as M
 from ..functions.notation import is_legal
+from .quantiles import exact_quantiles
 
 #: Ways to grade one turn: the move alone, the move if the format holds, all of the player's moves in plain text.
 MODES = ("move", "formatted", "plain")
@@ -100,7 +101,8 @@ def centipawn_gap(played: DataFrame, scores: DataFrame, position: str, move: str
     after = scores.select(F.col(position).alias(child), (-F.col(cp)).alias("_after"))
     gap = F.greatest(F.col("_best") - F.col("_after"), F.lit(0)).cast("double")
     rows = played.filter(F.col(move).isNotNull()).join(best, position).join(after, child)
-    return rows.agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("cp_gap_mean"), F.coalesce(F.percentile(gap, F.lit(0.5)), F.lit(0.0)).alias("cp_gap_median"), F.count(F.lit(1)).alias("num_evaluated"))
+    median = exact_quantiles(rows, gap, [0.5])[0]
+    return rows.agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("cp_gap_mean"), F.lit(median or 0.0).alias("cp_gap_median"), F.count(F.lit(1)).alias("num_evaluated"))
 
 
 def capped_score(cp: Column, mate_in: Column, most: int = 10_000) -> Column:

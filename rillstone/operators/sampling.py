@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import exact_quantiles
+
 
 def uniform(seed: int, *keys: str | Column) -> Column:
     """A number in (0, 1) that depends on the seed and the keys alone."""
@@ -56,5 +58,5 @@ def clip_by_covariance(df: DataFrame, cov: str, low: float, high: float, ratio:
 
 def penalised_by_covariance(df: DataFrame, cov: str, ratio: float) -> DataFrame:
     """``penalised`` is 1 for the tokens whose covariance is in the top share; the border is an exact quantile."""
-    border = df.agg(F.percentile(cov, F.lit(1 - ratio)).alias("_b"))
-    return df.crossJoin(F.broadcast(border)).withColumn("penalised", (F.col(cov) > F.col("_b")).cast("int")).drop("_b")
+    border = exact_quantiles(df, cov, [1 - ratio])[0]
+    return df.withColumn("penalised", (F.col(cov) > F.lit(border)).cast("int"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import distributions as D
+from .quantiles import exact_quantiles
 
 #: The categories of a transition in order, and the rank of a truth that is no action.
 CATEGORIES = ("gt_amplification", "tail_discovery", "topk_correction", "gt_regression", "wrong_mode_amplification", "other")
@@ -140,7 +141,8 @@ def _best_alpha(low: Column, step: Column, points: int) -> Column:
 
 def trace_summary(per_trace: DataFrame, state: str, value: str) -> DataFrame:
     """One row: mean and median over the states of a per-state value, and their number; the values themselves stay in the table."""
-    return per_trace.agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n"))
+    median = exact_quantiles(per_trace, value, [0.5])[0]
+    return per_trace.agg(F.avg(value).alias("mean"), F.lit(median).cast("double").alias("median"), F.count(value).alias("n"))
 
 
 def state_summary(p: DataFrame, outcomes: DataFrame, truth: DataFrame, state: str, trace: str, action: str) -> DataFrame:
