@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..operators import evaluation as E
+from ..operators import logits as L
 from ..operators import states as S
+from ..operators.quantiles import exact_quantiles
 from ..sources.tables import table
 
 Q, SQL = {}, {}
@@ -209,6 +211,20 @@ def embedding(s, d):
     return table(s, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.round(D.entropy_from_logits(F.col("v")), 5).alias("entropy"), F.round(D.self_certainty(F.col("v")), 5).alias("self_certainty"))
 
 
+@query("chunked_entropies", "WITH e AS (SELECT vec_id, list_transform(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)), lambda x: x::DOUBLE * 400) AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS t FROM e WHERE len(v) > 0), z AS (SELECT vec_id, v, t, list_sum(list_transform(v, lambda x: exp(x - t))) AS z FROM m) SELECT vec_id, round(ln(z) - list_sum(list_transform(v, lambda x: exp(x - t) / z * (x - t))), 5) AS entropy, round(t + ln(z) - list_sum(v) / len(v), 5) AS self_certainty FROM z")
+def chunked(s, d):
+    finite = F.filter("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = table(s, d, "embeddings").select("vec_id", F.transform(finite, lambda x: x.cast("double") * 400).alias("v"))
+    return rounded(L.chunked_entropies(L.in_chunks(rows, ["vec_id"], "v", 16), ["vec_id"], "v"), "entropy", "self_certainty", digits=5)
+
+
+@query("whole_table_quantiles", "SELECT unnest(['l_extendedprice', 'l_quantity', 'l_discount']) AS metric, unnest([round(quantile_cont(l_extendedprice, 0.25), 6), round(quantile_cont(l_quantity, 0.25), 6), round(quantile_cont(l_discount, 0.25), 6)]) AS q25, unnest([round(quantile_cont(l_extendedprice, 0.5), 6), round(quantile_cont(l_quantity, 0.5), 6), round(quantile_cont(l_discount, 0.5), 6)]) AS median, unnest([round(quantile_cont(l_extendedprice, 0.999), 6), round(quantile_cont(l_quantity, 0.999), 6), round(quantile_cont(l_discount, 0.999), 6)]) AS q999 FROM lineitem")
+def whole_quantiles(s, d):
+    rows = table(s, d, "lineitem")
+    found = [(c, *exact_quantiles(rows, c, [0.25, 0.5, 0.999])) for c in ("l_extendedprice", "l_quantity", "l_discount")]
+    return rounded(s.createDataFrame(found, "metric string, q25 double, median double, q999 double"), "q25", "median", "q999")
+
+
 @query("masked_stats", "SELECT l_returnflag, round(avg(l_tax) FILTER (l_linestatus = 'O'), 6) AS l_tax_mean, max(l_tax) FILTER (l_linestatus = 'O') AS l_tax_max, min(l_tax) FILTER (l_linestatus = 'O') AS l_tax_min, round(avg(l_discount) FILTER (l_linestatus = 'O'), 6) AS l_discount_mean, max(l_discount) FILTER (l_linestatus = 'O') AS l_discount_max, min(l_discount) FILTER (l_linestatus = 'O') AS l_discount_min FROM lineitem GROUP BY 1")
 def masked_stats(s, d):
     t = table(s, d, "lineitem").withColumn("mask", (F.col("l_linestatus") == "O").cast("int"))

@@ -52,3 +52,37 @@ def test_quantile_is_read_in_few_rows(spark):
 
 def builtin_of(df, shares):
     return df.agg(F.percentile("x", F.array(*[F.lit(q) for q in shares]))).first()[0]
+
+
+def plain_entropy(xs):
+    top = max(xs)
+    z = sum(math.exp(x - top) for x in xs)
+    p = [math.exp(x - top) / z for x in xs]
+    return -sum(q * math.log(q) for q in p if q > 0), top + math.log(z) - sum(xs) / len(xs)
+
+
+def test_chunked_entropies_equal_the_array_form(spark):
+    from rillstone.operators import logits as L
+
+    rng = random.Random(3)
+    rows = {k: [rng.gauss(0, spread) + shift for _ in range(n)] for k, (spread, shift, n) in enumerate([(1, 0, 100), (300, 0, 333), (1, 1e6, 50), (1, -5000, 64), (0, 0, 1), (5000, 0, 40)])}
+    df = spark.createDataFrame(list(rows.items()), "pos long, v array<double>")
+    for size in (1, 7, 1000):
+        out = L.chunked_entropies(L.in_chunks(df, ["pos"], "v", size).repartition(5), ["pos"], "v").collect()
+        got = {r["pos"]: (r["entropy"], r["self_certainty"]) for r in out}
+        assert set(got) == set(rows)
+        for k, xs in rows.items():
+            assert got[k] == pytest.approx(plain_entropy(xs), rel=1e-9, abs=1e-8)
+
+
+def test_chunked_entropies_of_odd_logits(spark):
+    from rillstone.operators import logits as L
+
+    inf, nan = math.inf, math.nan
+    rows = [(1, [0.0, None]), (1, [-inf, 0.0]), (2, [-inf]), (2, []), (3, [nan, 1.0]), (4, [None]), (5, None), (6, [inf, 1.0]), (None, [1.0]), (None, [1.0]), (7, [-inf, -inf]), (7, [2.0])]
+    out = L.chunked_entropies(spark.createDataFrame(rows, "pos long, v array<double>"), ["pos"], "v").collect()
+    got = {r["pos"]: (r["entropy"], r["self_certainty"]) for r in out}
+    assert set(got) == {1, 2, 3, 6, None, 7}
+    assert got[1] == (pytest.approx(math.log(2)), inf) and got[2] == (None, None) and got[None] == (pytest.approx(math.log(2)), pytest.approx(math.log(2))) and got[7] == (pytest.approx(0), inf)
+    assert all(math.isnan(v) for k in (3, 6) for v in got[k])
+    assert L.chunked_entropies(spark.createDataFrame([], "pos long, v array<double>"), ["pos"], "v").collect() == []
