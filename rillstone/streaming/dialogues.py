@@ -33,7 +33,7 @@ class Dialogue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "next long, calls long, size long, due long, over boolean")
+        self.known = handle.getValueState("known", "next long, calls long, size long, due long, parked long, over boolean")
         self.waiting = handle.getMapState("waiting", "turn long", "model boolean, final boolean, size long, at long")
 
     def close(self) -> None:
@@ -47,56 +47,67 @@ class Dialogue(StatefulProcessor):
             self.handle.registerTimer(new)
         return new
 
-    def _end(self, key, status: str, taken: int, size: int, due: int, now: int) -> dict:
-        for turn in [t[0] for t in self.waiting.keys()]:
+    def _end(self, key, status: str, taken: int, size: int, due: int, parked: int, now: int) -> dict:
+        for turn in [t[0] for t in self.waiting.keys()] if parked else ():
             self.waiting.removeKey((turn,))
-        self.known.update((taken, 0, size, self._due(due, now + self.memory), True))
+        self.known.update((taken, 0, size, self._due(due, now + self.memory), 0, True))
         return {"key": key[0], "turn": taken, "model": None, "start": size, "size": 0, "status": status}
 
     def _state(self) -> tuple:
-        return tuple(self.known.get()) if self.known.exists() else (0, 0, 0, -1, False)
+        return tuple(self.known.get()) if self.known.exists() else (0, 0, 0, -1, 0, False)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turn, calls, size, due, over = self._state()
-        first = None
+        """Turns that can be taken at once never touch the map of what waits; a batch of rows is held, not a dialogue."""
+        turn, calls, size, due, parked, over = self._state()
+        out, status, last, first = [], None, None, None
         for pdf in rows:
-            if over:
+            if over or status:
                 continue
+            fresh: dict[int, tuple] = {}
             for r in pdf.sort_values(["turn", "at_ms", "size", "model", "final"]).itertuples():
-                if r.turn >= turn and not self.waiting.containsKey((int(r.turn),)):
-                    self.waiting.updateValue((int(r.turn),), (bool(r.model), bool(r.final), int(r.size), int(r.at_ms)))
-                    first = int(r.at_ms) if first is None else min(first, int(r.at_ms))
+                if r.turn >= turn:
+                    fresh.setdefault(int(r.turn), (bool(r.model), bool(r.final), int(r.size), int(r.at_ms)))
+            while status is None:
+                if parked and self.waiting.containsKey((turn,)):
+                    message, parked = self.waiting.getValue((turn,)), parked - 1
+                    self.waiting.removeKey((turn,))
+                    fresh.pop(turn, None)
+                elif turn in fresh:
+                    message = fresh.pop(turn)
+                else:
+                    break
+                model, final, length, at = message
+                if turn and at > (due if last is None else last + self.patience):
+                    status = "expired"
+                    break
+                out.append({"key": key[0], "turn": turn, "model": model, "start": size, "size": length, "status": None})
+                turn, calls, size, last = turn + 1, calls + model, size + length, at
+                status = "end" if model and final else "calls" if calls >= self.calls else "length" if size >= self.size else None
+            for place, message in fresh.items() if status is None else ():
+                if not (parked and self.waiting.containsKey((place,))):
+                    self.waiting.updateValue((place,), message)
+                    parked, first = parked + 1, message[3] if first is None else min(first, message[3])
         if over:
             return
-        out, status, last = [], None, None
-        while status is None and self.waiting.containsKey((turn,)):
-            model, final, length, at = self.waiting.getValue((turn,))
-            if turn and at > (due if last is None else last + self.patience):
-                status = "expired"
-                break
-            self.waiting.removeKey((turn,))
-            out.append({"key": key[0], "turn": turn, "model": model, "start": size, "size": length, "status": None})
-            turn, calls, size, last = turn + 1, calls + model, size + length, at
-            status = "end" if model and final else "calls" if calls >= self.calls else "length" if size >= self.size else None
         if status:
-            out.append(self._end(key, status, turn, size, due, max(timerValues.getCurrentWatermarkInMs(), last or 0, first or 0)))
+            out.append(self._end(key, status, turn, size, due, parked, max(timerValues.getCurrentWatermarkInMs(), last or 0, first or 0)))
         else:
             if last is not None:
                 due = self._due(due, last + self.patience)
             elif turn == 0 and first is not None:
                 due = self._due(due, first + self.patience if due < 0 else min(due, first + self.patience))
-            self.known.update((turn, calls, size, due, False))
+            self.known.update((turn, calls, size, due, parked, False))
         if out:
             yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        turn, _, size, due, over = self._state()
+        turn, _, size, due, parked, over = self._state()
         if expiredTimerInfo.getExpiryTimeInMs() != due:
             return
         if over:
             self.known.clear()
             return
-        yield _frame([self._end(key, "expired", turn, size, -1, timerValues.getCurrentWatermarkInMs())])
+        yield _frame([self._end(key, "expired", turn, size, -1, parked, timerValues.getCurrentWatermarkInMs())])
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
