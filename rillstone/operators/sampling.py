@@ -14,10 +14,15 @@ from pyspark.sql.window import Window
 from .quantiles import exact_quantiles
 
 
+def hashed(seed: int, *keys: str | Column) -> Column:
+    """A whole number below 2^48 that depends on the seed and the keys alone."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def uniform(seed: int, *keys: str | Column) -> Column:
     """A number in (0, 1) that depends on the seed and the keys alone."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys])
-    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    return (hashed(seed, *keys).cast("double") + 0.5) / float(16**12)
 
 
 def gumbel_sample(df: DataFrame, group: str, action: str, score: str, n: int = 1, temperature: float = 1.0, seed: int = 0) -> DataFrame:

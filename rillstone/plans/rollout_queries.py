@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..functions import math_answers as A
 from ..operators import rollouts as R
+from ..operators import walks as W
 from ..sources.tables import table
 
 Q, SQL = {}, {}
@@ -74,3 +75,25 @@ def formula_equality(s, d):
         formulas.same_formula(join(r"\sqrt{", size * k * k, "}"), join(k + off(4), r"\sqrt{", size, "}")).alias("roots"),
         formulas.same_formula(join("(-", k, ",", size, r"]\cup[99,\infty)"), join(r"[99,\infty) \cup (-", k, ",", size + off(3), "]")).alias("intervals"),
     )
+
+
+NUMBER = "CAST('0x' || substr(md5({k}), 1, 12) AS BIGINT)"
+
+
+@query("sampled_rollouts", f"""WITH RECURSIVE e AS (SELECT 'i' || item_id AS a, 'v' || vendor_id AS b, CAST(sum(coalesce(quantity, 0)) AS DOUBLE) AS s FROM sale_lines WHERE item_id IS NOT NULL AND vendor_id IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT a AS position, b AS move, s FROM e UNION ALL SELECT b, a, s FROM e),
+w AS (SELECT *, CAST(greatest(floor(exp((s - max(s) OVER (PARTITION BY position)) / 20.0::DOUBLE) * 1073741824.0::DOUBLE), 1) AS HUGEINT) AS w FROM m),
+c AS (SELECT *, sum(w) OVER (PARTITION BY position ORDER BY md5(move), move) AS up, sum(w) OVER (PARTITION BY position) AS total FROM w),
+d AS (SELECT position, move, (up - w) * 281474976710656 // total AS low, up * 281474976710656 // total AS high FROM c),
+u AS (SELECT item_id AS tree, move, s / 20.0::DOUBLE - ln(-ln(({NUMBER.format(k="'5:' || item_id || ':' || move")} + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)) AS g FROM (SELECT DISTINCT item_id FROM items WHERE item_id IS NOT NULL) JOIN m ON position = 'i' || item_id),
+g AS (SELECT tree, move, CAST(row_number() OVER (PARTITION BY tree ORDER BY g DESC, move) AS INTEGER) AS draw FROM u QUALIFY draw <= 2),
+t AS (SELECT tree, draw, walk, 0 AS step, move FROM g, range(3) r(walk) UNION ALL SELECT t.tree, t.draw, t.walk, t.step + 1, d.move FROM (SELECT *, {NUMBER.format(k="'5:' || tree || ':' || draw || ':' || walk || ':' || (step + 1)")} AS at FROM t WHERE step < 3) t JOIN d ON d.position = t.move AND t.at >= d.low AND t.at < d.high)
+SELECT tree, draw, walk, CAST(step AS INTEGER) AS step, move FROM t""")
+def sampled(s, d):
+    """From each item over its vendors and their items: a move leads to the node it names, by the quantity sold."""
+    node = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    sold = table(s, d, "sale_lines").groupBy(node("i", "item_id").alias("a"), node("v", "vendor_id").alias("b")).agg(F.sum(F.coalesce("quantity", F.lit(0))).cast("double").alias("score"))
+    way = lambda x, y: F.struct(F.col(x).alias("position"), F.col(y).alias("move"), F.col(y).alias("child"))
+    scores = sold.filter("a IS NOT NULL AND b IS NOT NULL").select("score", F.inline(F.array(way("a", "b"), way("b", "a"))))
+    roots = table(s, d, "items").select(F.col("item_id").alias("tree"), node("i", "item_id").alias("position"))
+    return W.rollouts(roots, scores, 2, 3, 4, 20.0, 5).drop("position")

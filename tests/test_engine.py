@@ -26,7 +26,7 @@ from rillstone.streaming import metrics as M
 
 F = pytest.importorskip("pyspark.sql.functions")
 SMALL = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations sale_lines items".split()
 
 
 @pytest.fixture(scope="module")
