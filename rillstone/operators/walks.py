@@ -37,10 +37,14 @@ def intervals(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
 
     Two-level: a position's moves are dealt into 4,096 ranges by hash; maxima and sums per range meet in a window of at most so many rows a position, and only a range is sorted.
     """
+    return _laid_out(moves_of(scores), temperature)
+
+
+def _laid_out(moves: DataFrame, temperature: float) -> DataFrame:
     if temperature <= 0:
         raise ValueError("temperature must be above 0")
     mark = F.md5(F.col("move").cast("string").cast("binary"))
-    rows = moves_of(scores).withColumn("_mark", mark).withColumn("_range", F.substring("_mark", 1, 3))
+    rows = moves.withColumn("_mark", mark).withColumn("_range", F.substring("_mark", 1, 3))
     place = Window.partitionBy("position")
     peaks = rows.groupBy("position", "_range").agg(F.max("score").alias("_m")).select("position", "_range", F.max("_m").over(place).alias("_peak"))
     share = F.exp((F.col("score") - F.col("_peak")) / F.lit(float(temperature)))
@@ -62,8 +66,8 @@ def candidates(roots: DataFrame, scores: DataFrame, n: int, temperature: float =
 
     roots: (tree, position), one row a tree. Perturbed scores are cut to the n largest before the shuffle.
     """
-    moves = roots.select("tree", "position").join(moves_of(scores), "position")
-    return gumbel_sample(moves, "tree", "move", "score", n, temperature, seed).select("tree", "draw", "move", F.col("child").alias("position"))
+    drawn = gumbel_sample(roots.select("tree", "position").join(moves_of(scores), "position"), "tree", "move", "score", n, temperature, seed)
+    return drawn.select("tree", "draw", "move", F.col("child").alias("position"))
 
 
 def walks(starts: DataFrame, laid: DataFrame, keys: list[str], depth: int, seed: int = 0) -> DataFrame:
@@ -102,12 +106,14 @@ def rollouts(roots: DataFrame, scores: DataFrame, n_candidates: int, n_walks: in
     wanted = F.col(n_walks) if isinstance(n_walks, str) else F.lit(n_walks)
     known = roots.filter("tree IS NOT NULL AND position IS NOT NULL").select("tree", F.struct("position", wanted.cast("long").alias("n")).alias("_r"))
     known = known.groupBy("tree").agg(F.min("_r").alias("_r")).select("tree", "_r.position", F.col("_r.n").alias("_n")).filter("_n > 0")
-    laid = written(intervals(scores, temperature), "walk-intervals")
-    first = candidates(known, scores, n_candidates, temperature, seed).join(known.select("tree", "_n"), "tree")
-    blocks = first.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK).cast("long"))))
+    moves = written(moves_of(scores), "walk-moves")
+    laid = written(_laid_out(moves, temperature), "walk-intervals")
+    first = gumbel_sample(known.join(moves, "position"), "tree", "move", "score", n_candidates, temperature, seed)
+    blocks = first.drop("position").withColumnRenamed("child", "position").withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK).cast("long"))))
     end = F.least(F.col("_n"), (F.col("_block") + 1) * BLOCK) - 1
     starts = blocks.withColumn("walk", F.explode(F.sequence(F.col("_block") * BLOCK, end)))
     starts = written(starts.select("tree", "draw", "walk", F.lit(0).alias("step"), "move", "position"), "walk-starts")
+    discard(moves)
     return starts.unionByName(walks(starts, laid, ["tree", "draw", "walk"], depth - 1, seed))
 
 
