@@ -1,8 +1,8 @@
 """Sampled rollouts: first moves drawn without replacement, then seeded random walks over a table of scored moves.
 
 The policy of a position is the softmax of its moves' scores. It is laid out once as intervals of whole numbers below 2^48, so a draw is the
-hash of a seed and a walk's keys, found by an equi-join on (position, one of 64 bins) and a comparison inside the bin: a walk meets the few
-moves of its bin, a position that holds a third of all walks is spread over 64 keys, and no row is multiplied by a position's moves.
+hash of a seed and a walk's keys, found by an equi-join on (position, one of 32 bins) and a comparison inside the bin: a walk meets the few
+moves of its bin, a position that holds a third of all walks is spread over 32 keys, which skewed joins split further, and no row is multiplied by a position's moves.
 All walks take a step per round, so rollouts cost as many joins as they are deep, however many run at once. Lost tasks draw the same again.
 """
 
@@ -17,8 +17,8 @@ from .sampling import gumbel_sample, hashed
 
 #: Weights relative to a position's best move, in whole units; each move keeps at least one.
 UNITS = 1 << 30
-#: A draw is below 2^48; its upper 6 bits are the bin.
-SPAN, SHIFT = 1 << 48, 42
+#: A draw is below 2^48; its upper 5 bits are the bin.
+SPAN, SHIFT = 1 << 48, 43
 #: Walks of a root are numbered in blocks, so that no single row holds them all.
 BLOCK = 1024
 

@@ -79,10 +79,10 @@ def test_intervals_tile_the_span(spark):
     rng = random.Random(5)
     rows = [("wide", f"m{i}", "x", rng.gauss(0, 2)) for i in range(6000)] + [("one", "m", "x", 1e300)] + [("far", "a", "x", 1e6), ("far", "b", "x", -1e6)]
     laid = W.intervals(spark.createDataFrame(rows, SCORES), 1.5)
-    assert laid.groupBy("position", "bin").agg(F.max("low")).filter("bin < 0 OR bin > 63").isEmpty()
+    assert laid.groupBy("position", "bin").agg(F.max("low")).filter("bin < 0 OR bin > 31").isEmpty()
     by = defaultdict(set)
     for r in laid.collect():
-        assert r["low"] >> 42 <= r["bin"] <= (r["high"] - 1) >> 42
+        assert r["low"] >> W.SHIFT <= r["bin"] <= (r["high"] - 1) >> W.SHIFT
         by[r["position"]].add((r["low"], r["high"], r["move"]))
     for p in ("wide", "one", "far"):
         spans = sorted(by[p])
