@@ -85,6 +85,12 @@ def _boxed_text(text: str) -> str | None:
     return None
 
 
+def _lowered(text: str) -> str:
+    """Lower case, place by place: the few letters that grow when lowered stay, so that positions hold in the text itself."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def _cut(text: str) -> tuple[bool, str]:
     marked = False
     rules = [(m, True) for m in BEFORE] + [(m, False) for m in AFTER] + [(None, None), (". ", False)] + [(m, True) for m in LEADS]
@@ -93,7 +99,7 @@ def _cut(text: str) -> tuple[bool, str]:
             inner = _boxed_text(text)
             marked, text = marked or inner is not None, text if inner is None else inner
             continue
-        head, found, tail = text.lower().rpartition(mark)
+        head, found, _ = _lowered(text).rpartition(mark)
         if found:
             at = len(head)
             text = (text[at + len(mark) :] if keep_tail else text[:at]).strip()

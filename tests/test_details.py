@@ -465,3 +465,9 @@ def test_padded_chunks_and_batches(spark):
     tokens = named.TOKENIZERS["moves"]()
     r = one(spark, tokens.batch(F.lit("Pe2e4"), 8), tokens.batch(F.lit("Pe2e4 Pe7e5"), 4, left=True, cut="left"))
     assert r[0]["attention_mask"] == [1, 1, 1, 1, 1, 0, 0, 0] and len(r[1]["input_ids"]) == 4 and r[1]["attention_mask"] == [1, 1, 1, 1]
+
+
+def test_cuts_hold_where_lowering_grows_a_text():
+    mark = N.BEFORE[0]
+    plain = N._cut(f"so {mark.upper()} 42 apples")
+    assert plain[0] and N._cut(f"{chr(0x130) * 9} so {mark.upper()} 42 apples") == plain
