@@ -8,7 +8,7 @@ from ..functions import formulas
 from ..functions import math_answers as A
 from ..operators import rollouts as R
 from ..operators import walks as W
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 Q, SQL = {}, {}
 
@@ -64,7 +64,7 @@ def steps(s, d):
 SELECT p_partkey, abs(s / k::DOUBLE - (2 * s + off) / (2 * k)::DOUBLE) <= 1e-4 * greatest(s / k::DOUBLE, (2 * s + off) / (2 * k)::DOUBLE) AS quotients, p_partkey % 5 <> 0 AS products, p_partkey % 4 <> 0 AS roots, p_partkey % 3 <> 0 AS intervals FROM p""")
 def formula_equality(s, d):
     """Quotients, products and roots made from the columns, some of them off; the SQL decides by arithmetic."""
-    p = table(s, d, "part").select("p_partkey", F.col("p_size").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k"))
+    p = spread(table(s, d, "part").select("p_partkey", F.col("p_size").alias("s"), (F.col("p_partkey") % 7 + 1).alias("k")))
     off = lambda n: (F.col("p_partkey") % n == 0).cast("int")
     join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
     size, k = F.col("s"), F.col("k")

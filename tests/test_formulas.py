@@ -65,3 +65,20 @@ def test_on_batches(spark):
     df = spark.createDataFrame([*EQUAL[:6], *UNEQUAL[:6], (None, None)], "a string, b string")
     got = [r["e"] for r in df.select(formulas.same_formula(F.col("a"), F.col("b")).alias("e")).collect()]
     assert sorted(got) == [False] * 7 + [True] * 6
+
+
+def test_a_pair_is_decided_once_and_in_many_tasks(spark, monkeypatch, tmp_path):
+    import pandas as pd
+
+    calls = []
+    monkeypatch.setattr(formulas, "same", lambda a, b: calls.append((a, b)) or a == b)
+    pairs = [("1", "1"), ("x", "y"), (None, "1"), ("9" * 300, "1")]
+    batch = (pd.Series([a for a, _ in pairs] * 50, dtype=object), pd.Series([b for _, b in pairs] * 50, dtype=object))
+    got = [list(s) for s in formulas._verdicts(iter([batch, batch]))]
+    assert got == [[True, False, False, False] * 50] * 2
+    assert len(calls) == 3 + 100  # long texts aren't held
+    monkeypatch.undo()
+    from rillstone.plans.rollout_queries import formula_equality
+
+    spark.range(500).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert formula_equality(spark, str(tmp_path)).rdd.getNumPartitions() >= 32
