@@ -15,6 +15,11 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half away from zero, and the sign stays: what is just below zero becomes -0.0, as in IEEE and DuckDB; Spark's own round gives 0.0."""
+    return F.round(F.abs(x), places) * F.signum(x)
+
+
 def _each(v: Column, f) -> Column:
     return F.transform(v, f)
 
@@ -63,7 +68,7 @@ def power(p: Column, alpha: float | Column) -> Column:
 
 def centred_log(p: Column) -> Column:
     logs = _each(p, lambda x: F.ln(F.greatest(x, F.lit(TINY))))
-    return let(logs, lambda v: let(total(v) / F.size(v), lambda m: _each(v, lambda x: x - m)))
+    return let(logs, lambda v: let(F.try_divide(total(v), F.size(v)), lambda m: _each(v, lambda x: x - m)))
 
 
 def logit(p: Column) -> Column:

@@ -137,7 +137,7 @@ def state_fits(s, d):
 def centred(s, d):
     e = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     rows = table(s, d, "embeddings").select("vec_id", e.alias("e"))
-    return rows.select("vec_id", F.transform(D.centred_log(F.col("e")), lambda x: F.round(x, 4)).alias("c"), F.round(D.logit(F.get("e", F.lit(0))), 4).alias("logit"))
+    return rows.select("vec_id", F.transform(D.centred_log(F.col("e")), lambda x: D.rounded(x, 4)).alias("c"), D.rounded(D.logit(F.get("e", F.lit(0))), 4).alias("logit"))
 
 
 @query("estimator_by_name", "WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 701 AS r, avg(l_extendedprice / 701) OVER w AS m, count(*) OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN n = 1 THEN r ELSE (r - m) * n / (n - 1)::DOUBLE END, 6) AS advantage FROM g")

@@ -471,3 +471,25 @@ def test_cuts_hold_where_lowering_grows_a_text():
     mark = N.BEFORE[0]
     plain = N._cut(f"so {mark.upper()} 42 apples")
     assert plain[0] and N._cut(f"{chr(0x130) * 9} so {mark.upper()} 42 apples") == plain
+
+
+def sql_equals(spark, folder, name, tables):
+    """The query over tables of these rows against its SQL, by text, so that -0.0 isn't 0.0."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    ours = entry.queries()[name](spark, str(folder))
+    theirs = con.sql(entry.oracle_sql()[name])
+    columns = [theirs.columns.index(c) for c in ours.columns]
+    a, b = sorted(map(repr, map(tuple, ours.collect()))), sorted(repr(tuple(r[k] for k in columns)) for r in theirs.fetchall())
+    assert a == b
+
+
+def test_centred_logs_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
+    rows = [(1, [0.5, 0.50001]), (2, [0.49999, 3.0]), (3, [1.0, 1.0]), (4, []), (5, None), (6, [None, 2.0])]
+    sql_equals(spark, tmp_path, "centred_logs", {"embeddings": spark.createDataFrame(rows, "vec_id long, embedding array<float>")})
