@@ -12,10 +12,12 @@ overwrite. Folders are whatever ``pyarrow.fs`` opens by its address: local or mo
 from __future__ import annotations
 
 import fnmatch
+import math
 import posixpath
 import urllib.parse
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,15 +62,18 @@ class TokenReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
         self.pattern = options.get("pattern", "*.npy")
-        self.split, self.chunk = int(options.get("split", SPLIT)), int(options.get("chunk", CHUNK))
+        self.split, self.chunk, self.tasks = int(options.get("split", SPLIT)), int(options.get("chunk", CHUNK)), int(options.get("tasks", 1))
 
     def partitions(self) -> list[Ranges]:
         system, top = opened(self.root)
         inside = lambda p: posixpath.relpath(p, top).split("/")
         found = [i.path for i in system.get_file_info(fs.FileSelector(top, recursive=True)) if i.is_file and fnmatch.fnmatch(i.base_name, self.pattern) and not any(x[0] in "_." for x in inside(i.path))]
-        out, now, room = [], [], self.split
-        for path in sorted(found):
-            offset, n, kind = _header(system, path)
+        found.sort()
+        with ThreadPoolExecutor(16) as pool:
+            headers = list(pool.map(lambda path: _header(system, path), found))
+        size = min(self.split, max(CHUNK, math.ceil(sum(n for _, n, _ in headers) / self.tasks))) if self.tasks > 1 else self.split
+        out, now, room = [], [], size
+        for path, (offset, n, kind) in zip(found, headers, strict=True):
             at = 0
             while at < n:
                 take = min(room, n - at)
@@ -76,7 +81,7 @@ class TokenReader(DataSourceReader):
                 at, room = at + take, room - take
                 if not room:
                     out.append(Ranges(tuple(now)))
-                    now, room = [], self.split
+                    now, room = [], size
         return [*out, Ranges(tuple(now))] if now or not out else out
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
@@ -176,10 +181,11 @@ class TokenFiles(DataSource):
         return TokenWriter(dict(self.options), overwrite)
 
 
-def read_tokens(spark: SparkSession, root: str, split: int = SPLIT, chunk: int = CHUNK, pattern: str = "*.npy") -> DataFrame:
-    """(path, at, ids): the ids of the files below root, in rows of up to ``chunk``."""
+def read_tokens(spark: SparkSession, root: str, split: int | None = None, chunk: int = CHUNK, pattern: str = "*.npy") -> DataFrame:
+    """(path, at, ids): the ids of the files below root, in rows of up to ``chunk``. Without a ``split``, small inputs are cut finer, so that all cores have ranges to read."""
     spark.dataSource.register(TokenFiles)
-    return spark.read.format(NAME).option("split", split).option("chunk", chunk).option("pattern", pattern).load(root)
+    tasks = 1 if split else 4 * spark.sparkContext.defaultParallelism
+    return spark.read.format(NAME).option("split", split or SPLIT).option("tasks", tasks).option("chunk", chunk).option("pattern", pattern).load(root)
 
 
 def write_tokens(df: DataFrame, shard: str, order: str, ids: str, root: str, overwrite: bool = False) -> None:

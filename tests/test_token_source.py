@@ -70,3 +70,20 @@ def test_files_of_other_writers(spark, tmp_path):
 
 def test_no_file_at_all(spark, tmp_path):
     assert S.read_tokens(spark, str(tmp_path)).count() == 0
+
+
+def test_small_inputs_are_cut_for_all_cores(spark, tmp_path):
+    root = f"{tmp_path}/t"
+    S.write_tokens(spark.range(4).selectExpr("CAST(id DIV 2 AS STRING) AS s", "id AS k", "sequence(0, 199999) AS ids"), "s", "k", "ids", root)
+    df = S.read_tokens(spark, root)
+    assert df.rdd.getNumPartitions() >= 8
+    rows = df.selectExpr("path", "posexplode(ids) AS (k, id)", "at").groupBy("path").agg({"id": "sum", "*": "count"}).collect()
+    assert [(r["count(1)"], r["sum(id)"]) for r in rows] == [(400_000, 2 * sum(range(200_000)))] * 2
+
+
+def test_names_are_read_once_a_file(spark):
+    from rillstone.plans.corpus_queries import token_files
+
+    lines = token_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda word: [k for k, x in enumerate(lines) if word in x]
+    assert len(at("regexp_extract")) == 1 and at("regexp_extract") <= at("Aggregate") < at("Generate")
