@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import distributions as D
 from . import math_answers as A
 
 #: Replacements in order, and expressions that are removed in order.
@@ -27,15 +28,17 @@ LEADS = ("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n"
 
 def boxed(text: Column) -> Column:
     r"""The body of the last \boxed{}, its braces counted; NULL if there is none or it isn't closed."""
-    tail = F.when(F.contains(text, F.lit("\\boxed{")), F.substring_index(text, "\\boxed{", -1))
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
 
-    def step(acc: Column, c: Column) -> Column:
-        depth = acc["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        return F.struct(depth.alias("depth"), (acc["at"] + 1).alias("at"), F.coalesce(acc["end"], F.when(depth == 0, acc["at"])).alias("end"))
+    def step(acc: Column, piece: Column) -> Column:
+        depth, at = acc["depth"] + F.when(F.endswith(piece, F.lit("{")), 1).when(F.endswith(piece, F.lit("}")), -1).otherwise(0), acc["at"] + F.length(piece)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.coalesce(acc["end"], F.when(depth == 0, at - 1)).alias("end"))
 
-    end = F.aggregate(F.split(tail, ""), start, step, lambda acc: acc["end"])
-    return F.when(end.isNotNull(), F.substring(tail, F.lit(1), end))
+    def body(tail: Column) -> Column:
+        end = F.aggregate(F.split(tail, r"(?<=[{}])"), start, step, lambda acc: acc["end"])  # a piece ends with its brace
+        return D.let(end, lambda e: F.when(e.isNotNull(), F.substring(tail, F.lit(1), e)))
+
+    return D.let(text, lambda t: D.let(F.when(F.contains(t, F.lit("\\boxed{")), F.substring_index(t, "\\boxed{", -1)), body))
 
 
 def normalised(answer: Column) -> Column:
@@ -67,7 +70,7 @@ def answer_line_right(text: Column, gold: Column, gold_is_boxed: bool = False) -
 
 def strict_box(text: Column, gold: Column, last: int = 100) -> Column:
     """1 if the last box within the last characters equals the gold answer, else -1."""
-    tail = F.when(F.length(text) > last, F.substring(text, F.length(text) - last + 1, F.lit(last))).otherwise(text)
+    tail = D.let(text, lambda t: F.when(F.length(t) > last, F.substring(t, F.length(t) - last + 1, F.lit(last))).otherwise(t))
     return F.when(F.coalesce(boxed(tail) == gold, F.lit(False)), 1).otherwise(-1)
 
 
@@ -128,9 +131,8 @@ def weighted(text: Column, gold: Column, use_box: bool = True, format_share: flo
 
 def after_thought_right(text: Column, golds: Column, opening: str = "<think>", closing: str = "</think>") -> Column:
     """Whether the box after the closing tag equals any gold answer; golds may be boxed themselves. Without both tags, or a box, it is wrong."""
-    tail = F.when(F.contains(text, F.lit(opening)) & F.contains(text, F.lit(closing)), F.get(F.split(text, closing), F.lit(1)))
-    answer = boxed(tail)
-    return F.coalesce(F.exists(golds, lambda g: A.equal(answer, F.coalesce(boxed(g), g))), F.lit(False))
+    tail = D.let(text, lambda t: F.when(F.contains(t, F.lit(opening)) & F.contains(t, F.lit(closing)), F.get(F.split(t, closing), F.lit(1))))
+    return D.let(boxed(tail), lambda answer: F.coalesce(F.exists(golds, lambda g: A.equal(answer, F.coalesce(boxed(g), g))), F.lit(False)))
 
 
 def boxed_or_typed(text: Column) -> Column:

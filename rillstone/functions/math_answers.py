@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .distributions import let
+
 
 def canonical(text: Column) -> Column:
     """Mark-up that doesn't change a value goes; simple fractions become a/b; blanks and a closing full stop go."""
@@ -20,9 +22,13 @@ def canonical(text: Column) -> Column:
 
 def value(text: Column) -> Column:
     """The number a canonical answer stands for: digits with commas, or a quotient of two; NULL otherwise."""
-    plain = F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?:\D|$))", "")
-    top, low = F.regexp_extract(plain, r"^\(?(-?[\d.]+)/(-?[\d.]+)\)?$", 1).try_cast("double"), F.regexp_extract(plain, r"^\(?(-?[\d.]+)/(-?[\d.]+)\)?$", 2).try_cast("double")
-    return F.coalesce(plain.try_cast("double"), F.try_divide(top, low))
+    quotient = r"^\(?(-?[\d.]+)/(-?[\d.]+)\)?$"
+
+    def number(plain: Column) -> Column:
+        top, low = F.regexp_extract(plain, quotient, 1).try_cast("double"), F.regexp_extract(plain, quotient, 2).try_cast("double")
+        return F.coalesce(plain.try_cast("double"), F.try_divide(top, low))
+
+    return let(F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?:\D|$))", ""), number)
 
 
 def parts(text: Column) -> Column:
@@ -37,13 +43,17 @@ def brackets(text: Column) -> Column:
 
 
 def same_part(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
-    x, y = value(a), value(b)
     near = lambda u, v: F.abs(u - v) <= F.lit(tolerance) * F.greatest(F.abs(v), F.lit(1e-12))
-    return (a == b) | F.coalesce(near(x, y) | near(x, y / 100) | near(x, y * 100), F.lit(False))
+    numbers = let(value(a), lambda x: let(value(b), lambda y: near(x, y) | near(x, y / 100) | near(x, y * 100)))
+    return (a == b) | F.coalesce(numbers, F.lit(False))
 
 
 def equal(answer: Column, gold: Column) -> Column:
-    """Equal in every part, in order, with the same brackets; numbers within a tolerance, also as percent."""
-    a, b = canonical(answer), canonical(gold)
-    p, q = parts(a), parts(b)
-    return F.coalesce((F.size(p) == F.size(q)) & (brackets(a) == brackets(b)) & F.forall(F.zip_with(p, q, lambda x, y: same_part(x, y)), lambda x: x), F.lit(False))
+    """Equal in every part, in order, with the same brackets; numbers within a tolerance, also as percent. Every step is evaluated once a pair."""
+
+    def by_part(a: Column, b: Column) -> Column:
+        alike = lambda p, q: (F.size(p) == F.size(q)) & F.forall(F.zip_with(p, q, lambda x, y: same_part(x, y)), lambda x: x)
+        return (brackets(a) == brackets(b)) & let(parts(a), lambda p: let(parts(b), lambda q: alike(p, q)))
+
+    pair = let(canonical(answer), lambda a: let(canonical(gold), lambda b: F.when(a == b, F.lit(True)).otherwise(by_part(a, b))))
+    return F.coalesce(pair, F.lit(False))

@@ -8,7 +8,7 @@ from ..functions import final_answers as N
 from ..functions import moves as M
 from ..operators import training_rows as R
 from ..sources.loaders import passages
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 Q, SQL = {}, {}
 
@@ -46,7 +46,7 @@ def boxed(s, d):
     body = F.concat(F.lit("{"), F.col("p_size").cast("string"), F.lit("}{"), F.col("p_name"), F.lit("}"))
     text = F.concat(F.lit("x" * 120 + " \\boxed{old} so \\boxed{"), body, F.when(F.col("p_size") % 4 == 0, "").otherwise("} done"))
     gold = F.when(F.col("p_size") % 2 == 0, body).otherwise("none")
-    return table(s, d, "part").select("p_partkey", N.boxed(text).alias("answer"), N.strict_box(text, gold).alias("strict"))
+    return spread(table(s, d, "part").select("p_partkey", "p_size", "p_name")).select("p_partkey", N.boxed(text).alias("answer"), N.strict_box(text, gold).alias("strict"))
 
 
 @query("answer_lines", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '[INVALID]' ELSE p_name END AS answer, p_size % 3 <> 0 AND p_size % 2 = 0 AS is_right FROM part")
@@ -60,14 +60,14 @@ def answer_lines(s, d):
 def weighted(s, d):
     gold = F.when(F.col("p_size") % 2 == 0, F.col("p_partkey")).otherwise(F.col("p_partkey") * 3 + 1).cast("string")
     text = F.concat(F.when(F.col("p_size") % 3 == 0, "<think>a</think> ").otherwise("a "), F.lit("\\boxed{"), F.col("p_partkey").cast("string"), F.lit("}"))
-    return table(s, d, "part").select("p_partkey", F.round(N.weighted(text, gold), 6).alias("score"))
+    return spread(table(s, d, "part").select("p_partkey", "p_size")).select("p_partkey", F.round(N.weighted(text, gold), 6).alias("score"))
 
 
 @query("answers_after_thought", "SELECT p_partkey, p_size % 3 = 0 AND p_size % 2 = 0 AS is_right FROM part")
 def after_thought(s, d):
     text = F.concat(F.when(F.col("p_size") % 3 == 0, "<think>\\boxed{0}</think> ").otherwise("\\boxed{0} "), F.lit("\\boxed{"), F.col("p_partkey").cast("string"), F.lit("}"))
     golds = F.array(F.lit("-1"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\\boxed{"), F.col("p_partkey").cast("string"), F.lit("}"))).otherwise("-2"))
-    return table(s, d, "part").select("p_partkey", N.after_thought_right(text, golds).alias("is_right"))
+    return spread(table(s, d, "part").select("p_partkey", "p_size")).select("p_partkey", N.after_thought_right(text, golds).alias("is_right"))
 
 
 @query("listed_moves", "SELECT s_suppkey, (list_filter(string_split(coalesce(s_name, '') || ', ,' || s_nationkey, ','), lambda x: trim(x) <> ''))[1] AS first, contains(s_name, '<T>') AS tagged FROM supplier")

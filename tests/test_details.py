@@ -498,3 +498,21 @@ def test_centred_logs_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
 def test_one_per_key_orders_by_the_weighted_sum(spark, tmp_path):
     rows = [(1, 30_000, 10.0), (1, 5, 10.01), (2, 7, 20.0), (2, 6, 20.0), (3, None, 1.0), (3, 4, 2.0), (4, 9, None), (4, 8, 3.0), (5, 1, None), (None, 2, 4.0)]
     sql_equals(spark, tmp_path, "one_per_key", {"lineitem": spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_extendedprice double")})
+
+
+def test_boxes_are_counted_by_brace_and_evaluated_once(spark, tmp_path):
+    c = F.col("t")
+    texts = ["\\boxed{a{b}c}", "\\boxed{\U0001d465{\U0001d466}} z", "\\boxed{}", "\\boxed{{}", "no", None, "\\boxed{1} \\boxed{2", "\\boxed{1} \\boxed{{2}{}}}}", "\\boxed{line\nbreak}"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = ["a{b}c", "\U0001d465{\U0001d466}", "", None, None, None, None, "{2}{}", "line\nbreak"]
+    assert [r["b"] for r in df.select(N.boxed(c).alias("b")).collect()] == want
+    # the text of a row is read once a check, however many comparisons follow
+    plan = df.select(N.after_thought_right(F.upper(c), F.array(F.lit("1"), F.lit("2"))).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
+    rows = [(k, "Brand {name}" if k % 3 else None, k % 9) for k in range(300)]
+    tables = {"part": spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int")}
+    sql_equals(spark, tmp_path, "answers_after_thought", tables)
+    from rillstone.plans import answer_queries
+
+    for query in (answer_queries.boxed, answer_queries.after_thought):
+        assert query(spark, str(tmp_path)).rdd.getNumPartitions() >= 32
