@@ -21,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_OPTION = "spark.sql.streaming.stateStore.rocksdb"
+STORE = {PROVIDER: ROCKSDB, f"{_OPTION}.trackTotalNumberOfRows": "false", f"{_OPTION}.changelogCheckpointing.enabled": "true"}
 #: status is null for a taken turn and set for the row that ends a dialogue, whose turn is the number of turns taken.
 OUTPUT = "key string, turn long, model boolean, start long, size long, status string"
 
@@ -127,14 +129,19 @@ def timed_dialogues(stream: DataFrame, late: str, patience_s: int, most_calls: i
 
 
 class rocksdb:
-    """Timers and map state need the RocksDB state store: set while a query is started, and put back."""
+    """Timers, map state and large joins need the RocksDB state store: set while a query is started, and put back.
+
+    Rows of state aren't counted, as that reads each key before it is written, and a batch uploads its changes alone, not the whole store.
+    """
 
     def __init__(self, spark):
         self.spark = spark
 
     def __enter__(self):
-        self.before = self.spark.conf.get(PROVIDER, None)
-        self.spark.conf.set(PROVIDER, ROCKSDB)
+        self.before = {name: self.spark.conf.get(name, None) for name in STORE}
+        for name, value in STORE.items():
+            self.spark.conf.set(name, value)
 
     def __exit__(self, *_):
-        self.spark.conf.unset(PROVIDER) if self.before is None else self.spark.conf.set(PROVIDER, self.before)
+        for name, value in self.before.items():
+            self.spark.conf.unset(name) if value is None else self.spark.conf.set(name, value)

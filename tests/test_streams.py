@@ -140,3 +140,13 @@ def test_sinks_resume_where_one_failed(spark, tmp_path):
     assert sorted(tuple(m) for m in marks) == sorted((s, k, n, n - 1.0) for s in ("table", "log") for k, n in enumerate([3, 5, 2]))
     with pytest.raises(ValueError):
         K.fan_out(stream, {"a/b": counted}, K.Ledger(spark, str(tmp_path / "l2")), str(tmp_path / "c2"))
+
+
+def test_state_is_written_without_reading_it_first(spark):
+    from rillstone.streaming import dialogues
+
+    before = {name: spark.conf.get(name, None) for name in dialogues.STORE}
+    with dialogues.rocksdb(spark):
+        assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows") == "false"
+        assert spark.conf.get(dialogues.PROVIDER) == dialogues.ROCKSDB
+    assert {name: spark.conf.get(name, None) for name in dialogues.STORE} == before
