@@ -2,8 +2,8 @@
 
 The policy of a position is the softmax of its moves' scores. It is laid out once as intervals of whole numbers below 2^48, so a draw is the
 hash of a seed and a walk's keys, found by an equi-join on (position, one of 32 bins) and a comparison inside the bin: a walk meets the few
-moves of its bin, a position that holds a third of all walks is spread over 32 keys, which skewed joins split further, and no row is multiplied by a position's moves.
-All walks take a step per round, so rollouts cost as many joins as they are deep, however many run at once. Lost tasks draw the same again.
+moves of its bin, a position that holds a third of all walks is spread over 32 keys, and no row is multiplied by a position's moves.
+All walks take a step per round, so rollouts cost as many joins as they are deep, however many run at once; the policies are shuffled once for all rounds. Lost tasks draw the same again.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from ..sources.scratch import discard, written
 from .sampling import gumbel_sample, hashed
@@ -76,6 +77,8 @@ def walks(starts: DataFrame, laid: DataFrame, keys: list[str], depth: int, seed:
     starts: (keys, position), one row a walk. laid: the table of ``intervals``. A walk ends in a position without moves, or in none; walks that can't start have no rows.
     """
     done, front = [], starts.select(*keys, "position")
+    if depth > 1:  # dealt once for all rounds, which shuffle walks alone; a lost executor's part is read and dealt again
+        laid = laid.repartition(int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "position", "bin").persist(StorageLevel.DISK_ONLY)
     for step in range(1, depth + 1):
         point = hashed(seed, *keys, F.lit(step))
         front = front.filter("position IS NOT NULL").withColumn("_at", point).withColumn("bin", F.shiftright("_at", SHIFT))
@@ -86,6 +89,8 @@ def walks(starts: DataFrame, laid: DataFrame, keys: list[str], depth: int, seed:
             break
         done.append(taken)
         front = taken.select(*keys, "position")
+    if depth > 1:
+        laid.unpersist()
     if not done:
         none = starts.select(*keys, "position").limit(0)
         return none.join(laid.select("position", "move", "child").limit(0), "position").select(*keys, F.lit(1).alias("step"), "move", F.col("child").alias("position"))

@@ -133,3 +133,14 @@ def test_reruns_agree_and_odd_rows(spark):
         W.intervals(table, 0.0)
     with pytest.raises(ValueError):
         W.rollouts(df, table, 0, 1, 1)
+
+
+def test_policies_are_dealt_once_for_all_rounds(spark, monkeypatch):
+    rows = [(f"p{k}", f"m{j}", f"p{(k * 3 + j) % 20}", float(j)) for k in range(20) for j in range(4)]
+    laid = W.written(W.intervals(spark.createDataFrame(rows, "position string, move string, child string, score double")), "test-laid")
+    plans, kept = [], W.written
+    monkeypatch.setattr(W, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    starts = spark.range(50).selectExpr("id AS tree", "concat('p', id % 20) AS position")
+    assert W.walks(starts, laid, ["tree"], 3).count() == 150
+    assert len(plans) == 3 and all("InMemoryTableScan" in p for p in plans)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
