@@ -10,6 +10,8 @@ from .text import CALL, CLOSE, OPEN
 #: A complete move, and its parts (piece, from, to, promotion).
 MOVE = r"^(?:O-O-O|O-O|[PNBRQK][a-h][1-8]x?[a-h][1-8](?:=[QRBN])?)[+#]*$"
 PARTS = r"^[PNBRQK]([a-h][1-8])x?([a-h][1-8])(?:=([QRBN]))?[+#]*$"
+#: The parts with a line's end, which $ passes over, so that a replacement takes the whole word.
+SQUARES = PARTS.removesuffix("$") + r"(?:\r\n|[\n\r\u0085\u2028\u2029])?\z"
 #: What castling becomes where the side isn't known.
 SHORT_CASTLE, LONG_CASTLE = "castle_kingside", "castle_queenside"
 
@@ -57,18 +59,18 @@ def own_moves(text: Column) -> Column:
 def to_uci(word: Column, white: bool | Column = True) -> Column:
     """Strict: a complete move as coordinates, castling by side; NULL for anything else."""
     rank = F.when(F.lit(white) if isinstance(white, bool) else white, "1").otherwise("8")
-    bare = F.regexp_replace(word, r"[+#]+$", "")
-    squares = F.concat(F.regexp_extract(bare, PARTS, 1), F.regexp_extract(bare, PARTS, 2), F.lower(F.regexp_extract(bare, PARTS, 3)))
-    return F.when(bare == "O-O", F.concat(F.lit("e"), rank, F.lit("g"), rank)).when(bare == "O-O-O", F.concat(F.lit("e"), rank, F.lit("c"), rank)).when(bare.rlike(PARTS), squares)
+    bare = F.rtrim(word, F.lit("+#"))
+    squares = F.lower(F.regexp_replace(word, SQUARES, "$1$2$3"))
+    return F.when(bare == "O-O", F.concat(F.lit("e"), rank, F.lit("g"), rank)).when(bare == "O-O-O", F.concat(F.lit("e"), rank, F.lit("c"), rank)).when(word.rlike(PARTS), squares)
 
 
 def coordinates(word: Column) -> Column:
     """Lenient: decorations and the piece go, a promotion follows in lower case; castling is a sentinel. Nothing is checked."""
-    bare = F.regexp_replace(F.trim(word), "[+#]", "")
-    plain = F.regexp_replace(bare, "x", "")
+    bare = F.translate(F.trim(word), "+#", "")
+    plain = F.translate(bare, "x", "")
     at = F.locate("=", plain)
     body, promoted = F.when(at > 0, F.substring(plain, F.lit(1), at - 1)).otherwise(plain), F.when(at > 0, F.lower(F.substring(plain, at + 1, F.length(plain)))).otherwise("")
-    body = F.when((F.length(body) >= 5) & body.rlike("^[PNBRQK]"), F.substring(body, F.lit(2), F.length(body))).otherwise(body)
+    body = F.when((F.length(body) >= 5) & F.substring(body, 1, 1).isin(*"PNBRQK"), F.substring(body, F.lit(2), F.length(body))).otherwise(body)
     return F.when(bare.isin("O-O", "0-0"), SHORT_CASTLE).when(bare.isin("O-O-O", "0-0-0"), LONG_CASTLE).otherwise(F.concat(body, promoted))
 
 
