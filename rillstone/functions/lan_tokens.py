@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,11 @@ MARKS = ("x", "=", "+", "#", "O-O", "O-O-O", ".", "...")
 RESULTS = ("*", "0-1", "1-0", "1/2-1/2")
 SPECIALS = ("<T>", "</T>", "<sep>")
 
-_MOVE = r"^([KQRBNP])([a-h][1-8])?(x)?([a-h][1-8])?(=)?([QRBN])?([+#])?"
+#: Parts of a vocabulary's table.
+DEALS = 128
+
+# a promotion is read only after its sign; what follows a move goes
+_MOVE = r"^([KQRBNP])([a-h][1-8])?(x)?([a-h][1-8])?(?:(=)([QRBN])?|[QRBN])?([+#])?[\s\S]*"
 
 
 def vocabulary(bos: str = "<bos>", eos: str = "<eos>", unk: str = "<unk>", pad: str | None = None, numbers: bool = True, results: bool = False, specials: tuple[str, ...] = ()) -> dict[str, int]:
@@ -23,14 +29,12 @@ def vocabulary(bos: str = "<bos>", eos: str = "<eos>", unk: str = "<unk>", pad:
 
 def word_tokens(word: Column) -> Column:
     """A move's component tokens; castling with its suffix apart; what doesn't start with a piece stays whole."""
-    bare = F.regexp_replace(word, "[+#]+$", "")
+    bare = F.rtrim(word, F.lit("+#"))
     castling = F.filter(F.array(bare, F.substring(word, F.length(bare) + 1, F.length(word))), lambda t: t != "")
-    # a promotion is read only after its sign
-    parts = [F.regexp_extract(word, _MOVE, k) for k in range(1, 8)]
-    parts[5] = F.when(parts[4] != "", parts[5]).otherwise("")
+    parts = F.split(F.regexp_replace(word, _MOVE, "$1 $2 $3 $4 $5 $6 $7"), " ")
     return (
         F.when(bare.isin("O-O", "O-O-O"), castling)
-        .when(word.rlike("^[KQRBNP]"), F.filter(F.array(*parts), lambda t: t != ""))
+        .when(F.substring(word, 1, 1).isin(*PIECES), F.filter(parts, lambda t: t != ""))
         .otherwise(F.array(word))
     )
 
@@ -62,15 +66,20 @@ def trace_tokens(text: Column, specials: tuple[str, ...] = SPECIALS) -> Column:
 
 def ids_of(tokens: Column, vocab: dict[str, int], bos: str = "<bos>", eos: str = "<eos>", unk: str = "<unk>") -> Column:
     """Ids between the start and the end id; unknown tokens get the unknown id. The vocabulary is a literal of some hundred words."""
-    table = F.create_map(*[F.lit(x) for w, k in vocab.items() for x in (w, k)])
-    one = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), F.lit(vocab[unk])))
+    # a map is searched from its start: words are dealt by checksum into maps of one or two
+    deals = [[F.lit(x) for w, k in vocab.items() if zlib.crc32(w.encode()) % DEALS == d for x in (w, k)] for d in range(DEALS)]
+    table = F.array(*[F.create_map(*d) if d else F.create_map().cast("map<string,int>") for d in deals])
+    one = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(F.get(table, (F.crc32(t) % DEALS).cast("int")), t), F.lit(vocab[unk])))
     return F.concat(F.array(F.lit(vocab[bos])), one, F.array(F.lit(vocab[eos])))
 
 
 def text_of(ids: Column, vocab: dict[str, int], bos: str = "<bos>", eos: str = "<eos>", unk: str = "<unk>") -> Column:
     """The text of ids: numbers, dots, moves and suffixes are put together again; start and end ids go, ids out of the vocabulary read as unknown."""
-    table = F.create_map(*[F.lit(x) for w, k in vocab.items() for x in (k, w)])
-    shown = F.filter(F.transform(ids, lambda i: F.coalesce(F.try_element_at(table, i), F.lit(unk))), lambda t: ~t.isin(bos, eos))
+    if sorted(vocab.values()) == list(range(len(vocab))):
+        table, word = F.array(*[F.lit(w) for w, _ in sorted(vocab.items(), key=lambda x: x[1])]), F.get
+    else:
+        table, word = F.create_map(*[F.lit(x) for w, k in vocab.items() for x in (k, w)]), F.try_element_at
+    shown = F.filter(F.transform(ids, lambda i: F.coalesce(word(table, i), F.lit(unk))), lambda t: ~t.isin(bos, eos))
     text = F.array_join(shown, " ")
     for pattern, by in (
         (r"(?<=(?:^| )[0-9]) (?=[0-9](?: |$))", ""),  # digits

@@ -516,3 +516,31 @@ def test_boxes_are_counted_by_brace_and_evaluated_once(spark, tmp_path):
 
     for query in (answer_queries.boxed, answer_queries.after_thought):
         assert query(spark, str(tmp_path)).rdd.getNumPartitions() >= 32
+
+
+def test_words_of_moves_against_plain_patterns(spark):
+    import re
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["P", "N", "K", "a1", "e4", "h8", "x", "=", "=Q", "R", "+", "#", "O-O", "O-O-O", "z", "-"]) for _ in range(rng.randrange(1, 7))) for _ in range(600)]
+    words += ["Pe7xd8=N#", "Pe2e4+", "O-O+", "O-O-O#+", "Pe7d8Q+", "Pe2e4\n", "Pe2e4+\n\n", "Pe2e4\x0c"]
+    c = F.col("w")
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", M.to_uci(c).alias("uci"), L.word_tokens(c).alias("tokens"))
+    for w, uci, tokens in df.collect():
+        move = re.search(r"^[PNBRQK]([a-h][1-8])x?([a-h][1-8])(?:=([QRBN]))?[+#]*$", w)
+        bare = re.sub(r"[+#]+$", "", w)
+        assert uci == ({"O-O": "e1g1", "O-O-O": "e1c1"}.get(bare) or (move and "".join(g or "" for g in move.groups()).replace("Q", "q").replace("R", "r").replace("B", "b").replace("N", "n"))) or (uci is None and move is None), w
+        if bare in ("O-O", "O-O-O"):
+            want = [bare, w[len(bare) :]]
+        elif w[0] in "KQRBNP":
+            g = list(re.match(r"^([KQRBNP])([a-h][1-8])?(x)?([a-h][1-8])?(=)?([QRBN])?([+#])?", w).groups())
+            want = [*g[:5], g[5] if g[4] else "", g[6]]
+        else:
+            want = [w]
+        assert tokens == [t for t in want if t], w
+    # one look-up a word, among a few; one pattern a move
+    plan = df.select("tokens")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") <= 2
+    vocab = L.vocabulary()
+    ids = spark.range(1).select(L.ids_of(F.array(*[F.lit(w) for w in vocab]), vocab).alias("i")).first()["i"]
+    assert ids == [0, *vocab.values(), 1]
